@@ -59,9 +59,10 @@ def compare(spark, connection, name, query, sql, folder):
     wrong = [(a, b) for a, b in zip(ours, theirs, strict=True) if a != b]
     if wrong:
         return f"{len(wrong)} of {len(ours)} rows differ, e.g. {wrong[:2]}"
+    firsts = zip(sorted(columns), ours[0], theirs[0], strict=True) if ours else ()
     kinds = [
         (n, type(a), type(b))
-        for n, a, b in zip(sorted(columns), ours[0] if ours else (), theirs[0] if theirs else (), strict=True)
+        for n, a, b in firsts
         if a is not None and b is not None and type(a) is not type(b)
     ]
     return f"types differ: {kinds}" if kinds else None

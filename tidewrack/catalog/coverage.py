@@ -59,23 +59,23 @@ def redo(spark, folder):
 @query(
     "c3_bucket_days",
     """SELECT kind, as_of, bucket, day FROM (
-         SELECT p.kind, p.as_of, p.bucket, p.bucket + cast(o AS int) AS day, k.*
-         FROM fx_plan p JOIN fx_kind k ON k.kind = p.kind,
-              LATERAL (SELECT unnest(range(chunk_days)) AS o))
+         SELECT *, bucket + cast(o AS int) AS day FROM (
+           SELECT p.kind, p.as_of, p.bucket, k.* EXCLUDE (kind), unnest(range(chunk_days)) AS o
+           FROM fx_plan p JOIN fx_kind k ON k.kind = p.kind))
        WHERE rolling OR (day >= first_ok AND day <= least(last_ok, as_of + ahead_days - lag_days))""",
 )
 def covered_days(spark, folder):
     return coverage.bucket_days(_plan(spark, folder), coverage.kinds(spark))
 
 
-INGESTED = """SELECT DISTINCT r.kind, d AS day
+INGESTED = """SELECT DISTINCT kind, day FROM (SELECT r.kind, r.as_of, k.* EXCLUDE (kind),
+      r.bucket + cast(unnest(range(k.chunk_days)) AS int) AS day
   FROM (SELECT p.kind, p.bucket, c.as_of FROM (SELECT kind, bucket, min(as_of) AS t0 FROM fx_plan GROUP BY 1, 2) p
         JOIN fx_kind k ON k.kind = p.kind AND NOT k.rolling
         JOIN fx_calendar c ON c.as_of = p.t0 OR (c.as_of > p.t0 AND p.bucket >= c.as_of - k.volatile_days
                                                  AND k.volatile_days > 0)) r
-  JOIN fx_kind k ON k.kind = r.kind,
-  LATERAL (SELECT r.bucket + cast(unnest(range(k.chunk_days)) AS int) AS d)
-  WHERE d >= first_ok AND d <= least(last_ok, as_of + ahead_days - lag_days)"""
+  JOIN fx_kind k ON k.kind = r.kind)
+  WHERE day >= first_ok AND day <= least(last_ok, as_of + ahead_days - lag_days)"""
 WANTED = """SELECT kind, cast(unnest(generate_series(
     cast(greatest((SELECT min(as_of) FROM fx_calendar) - 14, first_ok) AS timestamp),
     cast(least((SELECT max(as_of) FROM fx_calendar) - lag_days, last_ok) AS timestamp), INTERVAL 1 DAY)) AS date) AS day

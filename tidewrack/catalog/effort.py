@@ -41,11 +41,11 @@ SEEDS = """(SELECT day, hour, lat, lon, effort * season * 0.31e0 AS weight FROM
 
 @query(
     "a2_release_seeds",
-    f"""SELECT day, cast(hour AS int) AS hour, lat, lon, round(weight, 6) AS weight FROM {SEEDS}""",
+    f"""SELECT day, cast(hour AS int) AS hour, lat, lon, round(weight, 9) AS weight FROM {SEEDS}""",
 )
 def seeds(spark, folder):
     return effort.release_seeds(inputs.vessels(spark, folder)).select(
-        "day", "hour", "lat", "lon", r6("weight")
+        "day", "hour", "lat", "lon", F.round("weight", 9).alias("weight")
     )
 
 
@@ -76,7 +76,7 @@ def arrivals(spark, folder):
     f"""WITH released AS (SELECT day AS release_day, sum(weight) AS released FROM {SEEDS} GROUP BY 1),
           stranded AS (SELECT release_day + 8400 AS release_day, sum(drift_index) AS stranded, count(*) AS segment_days
              FROM fx_drift_daily GROUP BY 1)
-        SELECT release_day, round(released, 6) AS released, round(coalesce(stranded, 0), 6) AS stranded,
+        SELECT release_day, round(released, 9) AS released, round(coalesce(stranded, 0), 6) AS stranded,
           coalesce(segment_days, 0) AS segment_days
         FROM released LEFT JOIN stranded USING (release_day)""",
 )
@@ -87,7 +87,7 @@ def balance(spark, folder):
     )
     seeded = effort.release_seeds(inputs.vessels(spark, folder))
     return effort.mass_balance(seeded, drift).select(
-        "release_day", r6("released"), r6("stranded"), "segment_days"
+        "release_day", F.round("released", 9).alias("released"), r6("stranded"), "segment_days"
     )
 
 

@@ -13,13 +13,8 @@ from tidewrack.session import new_folder
 from tidewrack.sources.positions import parse_position_reports
 from tidewrack.streaming.positions import off_roster, read_hourly, start_hourly
 
-EVENTS = (
-    "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-)
-
-
 def _event_stream(spark, folder):
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.readStream.schema(inputs.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
 def _reports(events):

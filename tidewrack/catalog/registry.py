@@ -50,7 +50,7 @@ VIEWS: dict[str, str] = {
     "fx_line_point": """
         SELECT c_custkey AS line_id, k AS seq,
                42e0 + c_nationkey * 0.35e0 + ((c_custkey + k * k) % 7) * 0.005e0 AS lat,
-               -6e0 + (c_custkey * 13 % 310) * 0.05e0 + k * 0.03e0 AS lon
+               -5.997e0 + (c_custkey * 13 % 310) * 0.05e0 + k * 0.03e0 AS lon
         FROM customer, (SELECT unnest(range(40)) AS k)""",
     "fx_stranding": """
         SELECT cast(o_orderkey AS varchar) AS external_id,
@@ -145,7 +145,7 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT kind, as_of,
                CASE WHEN rolling THEN as_of ELSE date '2020-01-06' + cast(
                  floor((d - date '2020-01-06') / cast(chunk_days AS double)) * chunk_days AS int) END AS bucket
-        FROM (SELECT *, as_of + o AS d FROM fx_calendar, fx_kind,
+        FROM (SELECT *, as_of + cast(o AS int) AS d FROM fx_calendar, fx_kind,
                      (SELECT unnest(range(-14, 4)) AS o))
         WHERE rolling OR (d >= first_ok AND d <= least(last_ok, as_of + ahead_days - lag_days))""",
     # snapping, by comparing every node with every segment point

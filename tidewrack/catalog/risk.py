@@ -41,7 +41,7 @@ def risk_inputs(spark, folder, history=None):
         segments=inputs.segments(spark, folder),
         condition=inputs.condition(spark, folder),
         drift=inputs.drift_daily(spark, folder),
-        observed=history if history is not None else observed(spark, folder),
+        observed=history if history is not None else settled(observed(spark, folder)),
     )
 
 
@@ -109,7 +109,7 @@ def refreshed(spark, folder):
     "SELECT day, segment_id, struck FROM fx_labelled",
 )
 def labelled(spark, folder):
-    history = observed(spark, folder)
+    history = settled(observed(spark, folder))
     return evaluation.label_struck(risk_table(spark, folder, history=history), history).select(
         "day", "segment_id", "struck"
     )
@@ -203,7 +203,7 @@ def scales(spark, folder):
        WHERE struck = 1 OR n <= 2 * (SELECT count(*) FROM fx_labelled WHERE struck = 1)""",
 )
 def sample(spark, folder):
-    history = observed(spark, folder)
+    history = settled(observed(spark, folder))
     rows = evaluation.label_struck(risk_table(spark, folder, history=history), history)
     chosen = evaluation.balanced_sample(settled(rows), ratio=2, seed=7)
     return chosen.select("day", "segment_id", "struck")

@@ -182,6 +182,10 @@ def sampled(spark, folder):
     ).select(*key, r6("current_u"), r6("wave_m"))
 
 
+# Means of tenths often end exactly half-way at the sixth decimal.
+TIE_NUDGE = 3e-9
+
+
 def _filled(n: int) -> str:
     """Pass n over the planes: holes take the mean of the non-zero cells beside them."""
     beside = " UNION ALL ".join(
@@ -201,12 +205,12 @@ def _filled(n: int) -> str:
                  (SELECT unnest(range(63)) AS j)
             LEFT JOIN {FIELD} f ON f.valid_at = h.valid_at AND f.row_i = i AND f.col_j = j),
           {", ".join(_filled(n) for n in range(1, 7))}
-        SELECT valid_at, cast(row_i AS int) AS row_i, cast(col_j AS int) AS col_j, round(v, 6) AS wave_m FROM p6""",
+        SELECT valid_at, cast(row_i AS int) AS row_i, cast(col_j AS int) AS col_j, round(v + 3e-9, 6) AS wave_m FROM p6""",
 )
 def filled(spark, folder):
     field = lattice.forcing_fields(inputs.condition(spark, folder))
     return lattice.fill_gaps(field, "wave_m").select(
-        "valid_at", "row_i", "col_j", r6("wave_m")
+        "valid_at", "row_i", "col_j", r6("wave_m", F.col("wave_m") + TIE_NUDGE)
     )
 
 
@@ -243,8 +247,8 @@ def extent(spark, folder):
     return lattice.coverage_extent(condition, days)
 
 
-LEG = """6371.0088e0 * 2 * asin(least(1, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2)
-  + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))))"""
+LEG = """CASE WHEN a.lat IS NULL THEN 0 ELSE 6371.0088e0 * 2 * asin(least(1, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2)
+  + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) END"""
 
 
 @query(
@@ -288,7 +292,7 @@ def cut_lines(spark, folder):
         SELECT line_id, cast(seq AS int) AS leg, cast(step AS int) AS step,
           round(CASE WHEN step > floor(km / 2) THEN lat ELSE a_lat + (lat - a_lat) * step * 2 / km END, 6) AS lat,
           round(CASE WHEN step > floor(km / 2) THEN lon ELSE a_lon + (lon - a_lon) * step * 2 / km END, 6) AS lon
-        FROM leg, LATERAL (SELECT unnest(range(1, cast(floor(km / 2) AS int) + 2)) AS step)""",
+        FROM (SELECT *, unnest(range(1, cast(floor(km / 2) AS int) + 2)) AS step FROM leg)""",
 )
 def densified(spark, folder):
     return shoreline.densify_line(inputs.lines(spark, folder)).select(

@@ -33,7 +33,7 @@ def half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
 
 
 def chord_to_km(chord: Column) -> Column:
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.sqrt(chord), F.lit(1.0)))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(chord > 1.0, 1.0).otherwise(chord)))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

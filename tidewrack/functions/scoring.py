@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from tidewrack.constants import INDEX_FLOOR, PRIOR_EVENTS, WINDOW_SLOTS
 
 
+def clamp(value: Column, low: Column | float | int, high: Column | float | int) -> Column:
+    """`value` kept within [low, high]; unlike greatest/least, null stays null."""
+    return F.when(value < low, low).when(value > high, high).otherwise(value)
+
+
 def log1p_scaled(value: Column, scale: Column | float) -> Column:
     scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-    return F.log1p(F.greatest(value, F.lit(0.0)) / F.greatest(scale, F.lit(1e-9)))
+    return F.log1p(clamp(value, 0.0, float("inf")) / F.greatest(scale, F.lit(1e-9)))
 
 
 def logit(chance: Column) -> Column:
-    safe = F.greatest(F.least(chance, F.lit(1.0 - 1e-9)), F.lit(1e-9))
+    safe = clamp(chance, 1e-9, 1.0 - 1e-9)
     return F.ln(safe / (F.lit(1.0) - safe))
 
 
@@ -33,8 +38,7 @@ def poisson_chance(count: Column, years: Column) -> Column:
 
 def risk_index(probability: Column, low: Column, high: Column) -> Column:
     """0-100, log-spaced between the anchors; flat 0 without a usable pair of anchors."""
-    position = (F.ln(F.greatest(probability, F.lit(INDEX_FLOOR))) - F.ln(low)) / (
+    position = (F.ln(clamp(probability, INDEX_FLOOR, float("inf"))) - F.ln(low)) / (
         F.ln(high) - F.ln(low)
     )
-    clipped = F.greatest(F.least(position, F.lit(1.0)), F.lit(0.0))
-    return F.when((high > low) & (low > 0), clipped * 100.0).otherwise(F.lit(0.0))
+    return F.when((high > low) & (low > 0), clamp(position, 0.0, 1.0) * 100.0).otherwise(F.lit(0.0))

@@ -12,12 +12,13 @@ ISO_DATE_TIME = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
+NO_SECONDS = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?!:)"
 HAS_OFFSET = r"[T ].*(Z|[+-]\d{2}:?\d{2})$"
 
 
 def utc_instant(text: Column) -> Column:
     """Strict ISO text to an instant; text without an offset is UTC, bad text is null."""
-    value = F.trim(text)
+    value = F.regexp_replace(F.trim(text), NO_SECONDS, "$1:00")
     zoned = F.when(value.rlike(HAS_OFFSET), value).otherwise(
         F.when(F.length(value) == 10, F.concat(value, F.lit("T00:00:00Z"))).otherwise(
             F.concat(value, F.lit("Z"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from tidewrack.constants import (
     Box,
 )
 from tidewrack.functions.geodesy import grid_cell, polar_to_uv
+from tidewrack.functions.scoring import clamp
 
 CELLS = GRID_ROWS * GRID_COLUMNS
 
@@ -77,20 +80,30 @@ def forcing_fields(condition: DataFrame) -> DataFrame:
     )
 
 
-def _filled_once(plane: str) -> Column:
-    """One pass over a row-major plane: a 0 cell takes the mean of its non-zero neighbours."""
-    sides = (
-        f"get({plane}, i - {GRID_COLUMNS})",
-        f"get({plane}, i + {GRID_COLUMNS})",
-        f"IF(i % {GRID_COLUMNS} = 0, 0D, get({plane}, i - 1))",
-        f"IF(i % {GRID_COLUMNS} = {GRID_COLUMNS - 1}, 0D, get({plane}, i + 1))",
-    )
-    known = [f"coalesce({side}, 0D)" for side in sides]
-    total = " + ".join(known)
-    count = " + ".join(f"IF({side} <> 0D, 1, 0)" for side in known)
-    return F.expr(
-        f"transform({plane}, (v, i) -> IF(v <> 0D, v, coalesce(try_divide({total}, {count}), 0D)))"
-    )
+def _fill_planes(cells: pd.Series, values: pd.Series, passes: int) -> pd.Series:
+    """Dense row-major planes from sparse cells, with holes filled; many planes at a time."""
+    planes = np.zeros((len(cells), CELLS))
+    for plane, cell, value in zip(planes, cells, values, strict=True):
+        plane[np.asarray(cell, dtype=np.int64)] = np.asarray(value, dtype=np.float64)
+    planes = planes.reshape(-1, GRID_ROWS, GRID_COLUMNS)
+    for _ in range(passes):
+        total, count = np.zeros_like(planes), np.zeros_like(planes)
+        for here, beside in BESIDE:
+            total[here] += planes[beside]
+            count[here] += planes[beside] != 0.0
+        hole = (planes == 0.0) & (count > 0)
+        planes[hole] = total[hole] / count[hole]
+    return pd.Series(list(planes.reshape(-1, CELLS)))
+
+
+# Each cell and the one above, below, left and right of it.
+_ALL, _HEAD, _TAIL = slice(None), slice(None, -1), slice(1, None)
+BESIDE = (
+    ((_ALL, _TAIL, _ALL), (_ALL, _HEAD, _ALL)),
+    ((_ALL, _HEAD, _ALL), (_ALL, _TAIL, _ALL)),
+    ((_ALL, _ALL, _TAIL), (_ALL, _ALL, _HEAD)),
+    ((_ALL, _ALL, _HEAD), (_ALL, _ALL, _TAIL)),
+)
 
 
 def fill_gaps(
@@ -98,31 +111,21 @@ def fill_gaps(
 ) -> DataFrame:
     """Dense planes per key with holes filled from their neighbours, `passes` times.
 
-    A hole is a value of 0 (or a missing cell). One group is one plane of the lattice, so
-    its size is fixed; all passes run on it as array expressions after a single shuffle.
+    A hole is a value of 0 (or a missing cell) and takes the mean of its non-zero neighbours.
+    A group is the known cells of one plane, at most the lattice, so all passes run on it
+    after one shuffle; the stencil works on Arrow batches of whole planes.
     """
     cell = F.col("row_i") * GRID_COLUMNS + F.col("col_j")
     one_per_cell = field.groupBy(*key, cell.alias("cell")).agg(F.max(name).alias("value"))
-    # A lattice of zeros per key makes the planes dense.
-    zeros = (
-        field.select(*key)
-        .distinct()
-        .select(
-            *key,
-            F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"),
-            F.lit(None).cast("double").alias("value"),
-        )
+    fill = F.pandas_udf(
+        lambda cells, values: _fill_planes(cells, values, passes), "array<double>"
     )
     planes = (
-        one_per_cell.unionByName(zeros)
-        .groupBy(*key, "cell")
-        .agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))
+        one_per_cell.withColumn("value", F.coalesce("value", F.lit(0.0)))
         .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("cell", "value"))).alias("cells"))
-        .select(*key, F.col("cells.value").alias("plane"))
+        .agg(F.collect_list(F.struct("cell", "value")).alias("known"))
+        .select(*key, fill(F.col("known.cell"), F.col("known.value")).alias("plane"))
     )
-    for _ in range(passes):
-        planes = planes.withColumn("plane", _filled_once("plane"))
     return planes.select(*key, F.posexplode("plane").alias("cell", name)).select(
         *key,
         F.floor(F.col("cell") / GRID_COLUMNS).cast("int").alias("row_i"),
@@ -138,11 +141,10 @@ def standardise(field: DataFrame, name: str) -> DataFrame:
     )
     spread = F.when(F.col("_std") > 1e-6, F.col("_std")).otherwise(F.lit(1.0))
     z = (F.col(name) - F.col("_mean")) / spread
-    clipped = F.greatest(F.least(z, F.lit(2.0)), F.lit(-2.0))
     # Statistics are bounded by the lattice: one row per cell.
     return (
         field.join(F.broadcast(stats), ["row_i", "col_j"])
-        .withColumn(name, F.when(z.isNull(), F.lit(0.0)).otherwise(clipped))
+        .withColumn(name, F.coalesce(clamp(z, -2.0, 2.0), F.lit(0.0)))
         .drop("_mean", "_std")
     )
 
@@ -158,10 +160,10 @@ def sample_field(
     column = (F.col("lon") - REGION.min_lon) / GRID_STEP_DEG
 
     def low(value: Column, count: int) -> Column:
-        return F.greatest(F.least(F.floor(value), F.lit(count - 2)), F.lit(0)).cast("int")
+        return clamp(F.floor(value), 0, count - 2).cast("int")
 
     def fraction(value: Column, base: str) -> Column:
-        return F.greatest(F.least(value - F.col(base), F.lit(1.0)), F.lit(0.0))
+        return clamp(value - F.col(base), 0.0, 1.0)
 
     based = (
         points.withColumn("_r0", low(row, GRID_ROWS))

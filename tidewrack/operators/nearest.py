@@ -26,6 +26,7 @@ from tidewrack.constants import (
     SNAP_RADIUS_KM,
 )
 from tidewrack.functions.geodesy import chord_to_km, half_chord, planar_km
+from tidewrack.functions.scoring import clamp
 from tidewrack.functions.timeline import utc_day
 
 # Bounds come from the same arithmetic as the distance; the slack covers the last bits.
@@ -95,13 +96,13 @@ def nearest_sites(
     )
     spread = points.select(
         *point_key,
-        "lat",
-        "lon",
+        F.col("lat").alias("_lat"),
+        F.col("lon").alias("_lon"),
         F.explode(F.sequence(tile("lat") - rows, tile("lat") + rows)).alias("tile_row"),
     ).select(
-        "*", F.explode(F.sequence(tile("lon") - columns, tile("lon") + columns)).alias("tile_col")
+        "*", F.explode(F.sequence(tile("_lon") - columns, tile("_lon") + columns)).alias("tile_col")
     )
-    lat, lon = F.col("lat"), F.col("lon")
+    lat, lon = F.col("_lat"), F.col("_lon")
     near = [_gap(lat, F.col("south"), F.col("north")), _gap(lon, F.col("west"), F.col("east"))]
     far = [_far(lat, F.col("south"), F.col("north")), _far(lon, F.col("west"), F.col("east"))]
     if planar:
@@ -115,7 +116,7 @@ def nearest_sites(
         within = F.pow(F.sin(F.lit(limit_km / (2 * 6371.0088))), F.lit(2.0))
     bounded = (
         spread.join(boxes, ["tile_row", "tile_col"])
-        .select(*point_key, "lat", "lon", "tile_row", "tile_col",
+        .select(*point_key, "_lat", "_lon", "tile_row", "tile_col",
                 lower.alias("lower"), upper.alias("upper"))
         .filter(F.col("lower") <= within * SLACK)
     )
@@ -123,24 +124,24 @@ def nearest_sites(
     best = (
         bounded.groupBy(*point_key)
         .agg(
-            F.first("lat").alias("lat"),
-            F.first("lon").alias("lon"),
+            F.first("_lat").alias("_lat"),
+            F.first("_lon").alias("_lon"),
             F.min("upper").alias("ceiling"),
             F.collect_list(F.struct("tile_row", "tile_col", "lower")).alias("tiles"),
         )
         .select(
             *point_key,
-            "lat",
-            "lon",
+            "_lat",
+            "_lon",
             F.inline(F.expr(f"filter(tiles, t -> t.lower <= ceiling * {SLACK}D)")),
         )
         .drop("lower")
     )
     paired = best.join(distinct, ["tile_row", "tile_col"])
     if planar:
-        measure = planar_km(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon"))
+        measure = planar_km(lat, lon, F.col("site_lat"), F.col("site_lon"))
     else:
-        measure = half_chord(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon"))
+        measure = half_chord(lat, lon, F.col("site_lat"), F.col("site_lon"))
     found = (
         paired.select(*point_key, "site_id", measure.alias("measure"))
         .groupBy(*point_key)
@@ -157,7 +158,7 @@ def raster_node(df: DataFrame) -> DataFrame:
 
     def index(value: Column, origin: float, count: int) -> Column:
         step = F.rint((value - origin) / RASTER_STEP_DEG)
-        return F.greatest(F.least(step, F.lit(float(count - 1))), F.lit(0.0)).cast("int")
+        return clamp(step, 0.0, float(count - 1)).cast("int")
 
     return df.withColumn(
         "node_row", index(F.col("lat"), REGION.min_lat, RASTER_ROWS)
@@ -219,9 +220,8 @@ def nearest_within(
     points: DataFrame, sites: DataFrame, point_key: Sequence[str], limit_km: float
 ) -> DataFrame:
     """Every point with the great-circle distance to its nearest site, null beyond the limit."""
-    distinct = points.select(*point_key, "lat", "lon")
     found = nearest_sites(
-        distinct,
+        points,
         sites.select(F.lit(0).alias("site_id"), "lat", "lon"),
         point_key,
         limit_km=limit_km,
