@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.registry import FIRST_DAY, LAST_DAY, query
 from tidewrack.operators import history, sea
-from tidewrack.operators.nearest import observed_strandings
+from tidewrack.operators.nearest import coast_raster, observed_strandings
 from tidewrack.plans import inputs
 from tidewrack.plans.risk import days_between, slots_between
 
 
 def observed(spark, folder):
     return observed_strandings(
-        inputs.strandings(spark, folder), inputs.segment_points(spark, folder)
+        inputs.strandings(spark, folder), coast_raster(inputs.segment_points(spark, folder))
     )
 
 

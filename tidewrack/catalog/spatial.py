@@ -17,7 +17,7 @@ from tidewrack.plans import inputs
 )
 def snapped(spark, folder):
     return nearest.snap_to_segment(
-        inputs.strandings(spark, folder), inputs.segment_points(spark, folder)
+        inputs.strandings(spark, folder), nearest.coast_raster(inputs.segment_points(spark, folder))
     ).select("external_id", "segment_id", r6("distance_km"))
 
 
@@ -27,7 +27,7 @@ def snapped(spark, folder):
 )
 def observed(spark, folder):
     return nearest.observed_strandings(
-        inputs.strandings(spark, folder), inputs.segment_points(spark, folder)
+        inputs.strandings(spark, folder), nearest.coast_raster(inputs.segment_points(spark, folder))
     )
 
 

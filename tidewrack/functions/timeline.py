@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 from tidewrack.constants import CHUNK_EPOCH, FORECAST, OBSERVED, SEA_LAG_DAYS
 
-# ISO date or date-time, optional fraction and offset.
-ISO_DATE_TIME = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+# Steps that complete an ISO text to seconds and offset, and the shape it must then have.
+DATE_ONLY = r"^(\d{4}-\d{2}-\d{2})$"
+TO_MINUTES = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?!:)"
+NO_OFFSET = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)$"
+COMPLETE = (
+    r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?\d{2}))$"
 )
-NO_SECONDS = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?!:)"
-HAS_OFFSET = r"[T ].*(Z|[+-]\d{2}:?\d{2})$"
 
 
 def utc_instant(text: Column) -> Column:
-    """Strict ISO text to an instant; text without an offset is UTC, bad text is null."""
-    value = F.regexp_replace(F.trim(text), NO_SECONDS, "$1:00")
-    zoned = F.when(value.rlike(HAS_OFFSET), value).otherwise(
-        F.when(F.length(value) == 10, F.concat(value, F.lit("T00:00:00Z"))).otherwise(
-            F.concat(value, F.lit("Z"))
-        )
-    )
-    return F.when(value.rlike(ISO_DATE_TIME), zoned.try_cast("timestamp"))
+    """Strict ISO text to an instant; text without an offset is UTC, bad text is null.
+
+    One chain of replacements: the text is only read once, whatever its shape.
+    """
+    value = F.regexp_replace(F.trim(text), DATE_ONLY, "$1T00:00:00Z")
+    value = F.regexp_replace(value, TO_MINUTES, "$1:00")
+    value = F.regexp_replace(value, NO_OFFSET, "$1Z")
+    return F.regexp_extract(value, COMPLETE, 1).try_cast("timestamp")
 
 
 def event_window(text: Column) -> Column:

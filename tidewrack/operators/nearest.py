@@ -94,13 +94,23 @@ def nearest_sites(
         F.min(F.cos(F.radians("site_lat"))).alias("cos_low"),
         F.max(F.cos(F.radians("site_lat"))).alias("cos_high"),
     )
-    spread = points.select(
+    # Boxes are the side bounded by the tiles of the region: they are repeated into the tiles
+    # they may matter to, and a point only looks at its own tile.
+    row_shifts = F.sequence(F.lit(-rows), F.lit(rows))
+    column_shifts = F.sequence(F.lit(-columns), F.lit(columns))
+    reaching = (
+        boxes.withColumn("_shift", F.explode(row_shifts))
+        .withColumn("at_row", F.col("tile_row") + F.col("_shift"))
+        .withColumn("_shift", F.explode(column_shifts))
+        .withColumn("at_col", F.col("tile_col") + F.col("_shift"))
+        .drop("_shift")
+    )
+    placed = points.select(
         *point_key,
         F.col("lat").alias("_lat"),
         F.col("lon").alias("_lon"),
-        F.explode(F.sequence(tile("lat") - rows, tile("lat") + rows)).alias("tile_row"),
-    ).select(
-        "*", F.explode(F.sequence(tile("_lon") - columns, tile("_lon") + columns)).alias("tile_col")
+        tile("lat").alias("at_row"),
+        tile("lon").alias("at_col"),
     )
     lat, lon = F.col("_lat"), F.col("_lon")
     near = [_gap(lat, F.col("south"), F.col("north")), _gap(lon, F.col("west"), F.col("east"))]
@@ -115,7 +125,7 @@ def nearest_sites(
         upper = _chord_square(*far, here * F.col("cos_high"))
         within = F.pow(F.sin(F.lit(limit_km / (2 * 6371.0088))), F.lit(2.0))
     bounded = (
-        spread.join(boxes, ["tile_row", "tile_col"])
+        placed.join(reaching, ["at_row", "at_col"])
         .select(*point_key, "_lat", "_lon", "tile_row", "tile_col",
                 lower.alias("lower"), upper.alias("upper"))
         .filter(F.col("lower") <= within * SLACK)
@@ -133,7 +143,7 @@ def nearest_sites(
             *point_key,
             "_lat",
             "_lon",
-            F.inline(F.expr(f"filter(tiles, t -> t.lower <= ceiling * {SLACK}D)")),
+            F.inline_outer(F.expr(f"filter(tiles, t -> t.lower <= ceiling * {SLACK}D)")),
         )
         .drop("lower")
     )
@@ -171,49 +181,47 @@ def node_position(row: Column, column: Column) -> tuple[Column, Column]:
     return lat, lon
 
 
-def snap_to_segment(
-    events: DataFrame, segment_points: DataFrame, radius_km: float = SNAP_RADIUS_KM
-) -> DataFrame:
-    """Events plus (segment_id, distance_km) of the nearest segment within the radius.
+def coast_raster(segment_points: DataFrame, radius_km: float = SNAP_RADIUS_KM) -> DataFrame:
+    """(node_row, node_col, segment_id, distance_km) of every raster node near a segment.
 
-    Distances are measured from the raster node of the event, so the range join runs on
-    the distinct nodes (never more than the raster holds) however many events there are.
+    It depends on the coastline only and never has more rows than the raster has nodes.
     """
-    noded = raster_node(events)
-    lat, lon = node_position(F.col("node_row"), F.col("node_col"))
-    nodes = (
-        noded.select("node_row", "node_col")
-        .distinct()
-        .select("node_row", "node_col", lat.alias("lat"), lon.alias("lon"))
+    node = segment_points.sparkSession.range(RASTER_ROWS * RASTER_COLUMNS).select(
+        F.floor(F.col("id") / RASTER_COLUMNS).cast("int").alias("node_row"),
+        (F.col("id") % RASTER_COLUMNS).cast("int").alias("node_col"),
     )
-    sites = segment_points.select(F.col("segment_id").alias("site_id"), "lat", "lon")
-    nearest = nearest_sites(
-        nodes,
-        sites,
+    lat, lon = node_position(F.col("node_row"), F.col("node_col"))
+    return nearest_sites(
+        node.select("node_row", "node_col", lat.alias("lat"), lon.alias("lon")),
+        segment_points.select(F.col("segment_id").alias("site_id"), "lat", "lon"),
         ["node_row", "node_col"],
         limit_km=radius_km,
         planar=True,
         tile_deg=0.1,
         max_abs_lat=REGION.max_lat + 1.0,
     ).withColumnRenamed("site_id", "segment_id")
-    return noded.join(nearest, ["node_row", "node_col"]).drop("node_row", "node_col")
 
 
-def observed_strandings(strandings: DataFrame, segment_points: DataFrame) -> DataFrame:
-    """Records per (segment_id, day): the form every history operator starts from.
+def snap_to_segment(events: DataFrame, raster: DataFrame) -> DataFrame:
+    """Events plus (segment_id, distance_km) of the nearest segment within the radius.
 
-    Strandings are counted per (node, day) before the join, so hot nodes travel as one row.
+    Distances are measured from the raster node of the event. The raster is bounded (some
+    370,000 short rows at most), so it is broadcast and the events are not shuffled at all.
     """
-    counted = (
-        raster_node(strandings)
-        .groupBy("node_row", "node_col", utc_day(F.col("recorded_at")).alias("day"))
-        .agg(F.count("*").alias("records"))
+    return (
+        raster_node(events)
+        .join(F.broadcast(raster), ["node_row", "node_col"])
+        .drop("node_row", "node_col")
     )
-    lat, lon = node_position(F.col("node_row"), F.col("node_col"))
-    snapped = snap_to_segment(
-        counted.select("day", "records", lat.alias("lat"), lon.alias("lon")), segment_points
+
+
+def observed_strandings(strandings: DataFrame, raster: DataFrame) -> DataFrame:
+    """Records per (segment_id, day): the form every history operator starts from."""
+    return (
+        snap_to_segment(strandings, raster)
+        .groupBy("segment_id", utc_day(F.col("recorded_at")).alias("day"))
+        .agg(F.count("*").alias("records"))
     )
-    return snapped.groupBy("segment_id", "day").agg(F.sum("records").alias("records"))
 
 
 def nearest_within(

@@ -47,9 +47,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write `df` out once and read it back: later jobs neither recompute nor reorder it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` to a table in the shared folder and read that: lineage ends there.
+
+    Later jobs neither recompute nor reorder it, survive lost executors, and read only the
+    columns they need.
+    """
+    path = new_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def range_partitions(spark: SparkSession) -> int:

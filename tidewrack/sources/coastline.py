@@ -20,14 +20,14 @@ def parse_coastline(
     """
     keep = [c for c in payloads.columns if c != text]
     shape = payloads.select(
-        *keep, F.posexplode(F.from_json(F.col(text), FEATURES)["features"]).alias("feature", "f")
+        *keep, F.posexplode_outer(F.from_json(F.col(text), FEATURES)["features"]).alias("feature", "f")
     ).select(*keep, "feature", "f.geometry.type", "f.geometry.coordinates")
     kind, coordinates = F.col("type"), F.col("coordinates")
     single = F.array(F.from_json(coordinates, "array<array<double>>"))
     several = F.from_json(coordinates, "array<array<array<double>>>")
     lines = F.when(kind == "LineString", single).when(kind == "MultiLineString", several)
     return (
-        shape.select(*keep, "feature", F.posexplode(lines).alias("part", "line"))
+        shape.select(*keep, "feature", F.posexplode_outer(lines).alias("part", "line"))
         .select(
             *keep,
             "feature",
@@ -58,11 +58,11 @@ def parse_grid_points(payloads: DataFrame, text: str = "value") -> DataFrame:
     """`{"points": [[lat, lon], ...]}` texts to cells rounded to 4 decimals."""
     keep = [c for c in payloads.columns if c != text]
     points = F.from_json(F.col(text), "points array<array<double>>")["points"]
-    return payloads.select(*keep, F.explode(points).alias("p")).select(
+    return payloads.select(*keep, F.explode_outer(points).alias("p")).select(
         *keep,
         grid_cell(F.get("p", F.lit(0))).alias("lat"),
         grid_cell(F.get("p", F.lit(1))).alias("lon"),
-    )
+    ).dropna(subset=["lat", "lon"])
 
 
 def read_grid_points(spark: SparkSession, path: str) -> DataFrame:

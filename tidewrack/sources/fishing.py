@@ -36,7 +36,8 @@ def parse_fishing_effort(
             F.expr(f"filter(nodes, v -> {IS_CELL})")
         ),
     )
-    cells = nodes.select(*keep, F.posexplode("nodes").alias("cell", "v"))
+    # Outer: an inner explode would evaluate the whole descent once more to skip empty ones.
+    cells = nodes.select(*keep, F.posexplode_outer("nodes").alias("cell", "v"))
 
     def part(name: str, kind: str) -> Column:
         return F.try_variant_get("v", f"$.{name}", kind)

@@ -36,7 +36,7 @@ EVENT_LINE = r"^\s*(\d{4}-\d{2}-\d{2})\s*/\s*(\d+)\s*/\s*([^/]+?)\s*/\s*(.+?)\s*
 def parse_occurrences(payloads: DataFrame, text: str = "value") -> DataFrame:
     """Occurrence pages to strandings; records without place or a usable date are dropped."""
     occurrence = payloads.select(
-        F.explode(F.from_json(F.col(text), PAGE)["results"]).alias("o")
+        F.explode_outer(F.from_json(F.col(text), PAGE)["results"]).alias("o")
     ).select("o.*")
     dated = (
         occurrence.dropna(subset=["decimalLatitude", "decimalLongitude", "eventDate"])
@@ -75,7 +75,7 @@ def parse_event_text(lines: DataFrame, chunk: list[str], order: list[str], box:
         .filter(in_box(F.col("lat"), F.col("lon"), box))
     )
     events = placed.select(
-        *chunk, *order, "lat", "lon", F.posexplode(F.split("events", "<br>")).alias("nth", "event")
+        *chunk, *order, "lat", "lon", F.posexplode_outer(F.split("events", "<br>")).alias("nth", "event")
     ).filter(F.col("event").rlike(EVENT_LINE))
     groups = {name: F.regexp_extract("event", EVENT_LINE, i) for i, name in
               enumerate(("day", "count", "label", "place"), start=1)}

@@ -45,7 +45,8 @@ def parse_hourly_weather(payloads: DataFrame, product: Product, text: str = "val
         "r.points", F.from_json("r.answer", f"array<{location}>").alias("answer")
     )
     paired = request.select(
-        F.explode(
+        # Outer, here and below: an inner explode would parse once more to skip empty ones.
+        F.explode_outer(
             _checked(
                 F.size("points") == F.size("answer"),
                 F.arrays_zip("points", "answer"),
@@ -72,7 +73,7 @@ def parse_hourly_weather(payloads: DataFrame, product: Product, text: str = "val
         F.arrays_zip(*(c.alias(n) for c, n in zip(hourly, names, strict=True))),
         "payload series have unequal lengths",
     )
-    rows = paired.filter(near <= tolerance).select("lat", "lon", F.inline(zipped))
+    rows = paired.filter(near <= tolerance).select("lat", "lon", F.inline_outer(zipped))
     columns = list(product.variables.values())
     return (
         rows.withColumnsRenamed(product.variables)
