@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -25,47 +24,41 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def plain(value):
-    if isinstance(value, float):
-        if math.isnan(value):
-            return "NaN"
-        return value + 0.0
-    return value
+CLASSES = {
+    "TINYINT": "int", "SMALLINT": "int", "INTEGER": "int", "BIGINT": "int", "HUGEINT": "int",
+    "FLOAT": "float", "DOUBLE": "float",
+}
 
 
-def sorted_rows(rows, names):
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    picked = [tuple(plain(row[i]) for i in order) for row in rows]
-    return sorted(picked, key=lambda row: tuple((v is None, str(type(v)), v) if not isinstance(v, float) else (False, "n", v) for v in row))
-
-
-def same(a, b, tolerance=0.0) -> bool:
-    if isinstance(a, float) and isinstance(b, float) and tolerance:
-        return abs(a - b) <= tolerance
-    return a == b and (a is None) == (b is None)
+def kinds(connection, relation: str) -> dict[str, str]:
+    rows = connection.execute(f"DESCRIBE {relation}").fetchall()
+    return {r[0]: CLASSES.get(r[1], r[1].split("(")[0]) for r in rows}
 
 
 def compare(spark, connection, name, query, sql, folder):
-    """None when equal, else a description of the difference."""
-    frame = query(spark, folder)
-    ours = sorted_rows([tuple(r) for r in frame.collect()], frame.columns)
-    cursor = connection.execute(sql)
-    columns = [d[0] for d in cursor.description]
-    theirs = sorted_rows(cursor.fetchall(), columns)
-    if sorted(frame.columns) != sorted(columns):
-        return f"columns {sorted(frame.columns)} != {sorted(columns)}"
-    if len(ours) != len(theirs):
-        return f"{len(ours)} rows, oracle has {len(theirs)}"
-    wrong = [(a, b) for a, b in zip(ours, theirs, strict=True) if a != b]
-    if wrong:
-        return f"{len(wrong)} of {len(ours)} rows differ, e.g. {wrong[:2]}"
-    firsts = zip(sorted(columns), ours[0], theirs[0], strict=True) if ours else ()
-    kinds = [
-        (n, type(a), type(b))
-        for n, a, b in firsts
-        if a is not None and b is not None and type(a) is not type(b)
+    """None when both give the same bag of rows, else a description of the difference."""
+    connection.register("ours", query(spark, folder).toArrow())
+    connection.execute(f"CREATE OR REPLACE TEMP TABLE theirs AS {sql}")
+    mine, other = kinds(connection, "ours"), kinds(connection, "theirs")
+    if mine != other:
+        return f"columns {mine} != {other}"
+    columns = ", ".join(f'"{c}"' for c in sorted(mine))
+
+    def extra(a: str, b: str) -> list:
+        return connection.execute(
+            f"SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b} LIMIT 3"
+        ).fetchall()
+
+    counts = [
+        connection.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("ours", "theirs")
     ]
-    return f"types differ: {kinds}" if kinds else None
+    only_ours, only_theirs = extra("ours", "theirs"), extra("theirs", "ours")
+    connection.unregister("ours")
+    if counts[0] != counts[1]:
+        return f"{counts[0]} rows, oracle has {counts[1]}: {only_ours} / {only_theirs}"
+    if only_ours or only_theirs:
+        return f"rows differ, e.g. {only_ours} / {only_theirs}"
+    return None
 
 
 def main(folder: str, only: list[str]) -> int:
