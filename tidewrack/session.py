@@ -19,6 +19,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Test data is small: keep every core busy where few bytes fan out into much work.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

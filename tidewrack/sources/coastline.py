@@ -48,7 +48,7 @@ def read_coastline(spark: SparkSession, path: str, whole_files: bool = False) ->
 
     One collection per text line; `whole_files` is for collections spread over many lines.
     """
-    texts = spark.read.option("wholetext", whole_files).text(path)
+    texts = spark.read.text(path, wholetext=whole_files)
     return parse_coastline(texts).select(
         F.monotonically_increasing_id().alias("line_id"), "points"
     )
