@@ -75,7 +75,6 @@ def test_nearest_within_finds_the_true_minimum(spark):
     got = nearest.nearest_within(
         spark.createDataFrame(points, "id int, lat double, lon double"),
         spark.createDataFrame(sites, "lat double, lon double"),
-        ["id"],
         120.0,
     ).collect()
     assert len(got) == 150

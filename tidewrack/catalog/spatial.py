@@ -45,7 +45,7 @@ HAVERSINE = """6371.0088e0 * 2 * asin(least(1, sqrt(power(sin(radians({0}.lat -
 )
 def grid_distance(spark, folder):
     return nearest.nearest_within(
-        lattice.grid(spark), inputs.segment_points(spark, folder), ["lat", "lon"], COAST_LIMIT_KM
+        lattice.grid(spark), inputs.segment_points(spark, folder), COAST_LIMIT_KM
     ).select("lat", "lon", r6("distance_km"))
 
 
@@ -62,7 +62,7 @@ def event_distance(spark, folder):
         F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon")
     )
     events = inputs.strandings(spark, folder).select("external_id", "lat", "lon")
-    return nearest.nearest_within(events, centers, ["external_id"], 40.0).select(
+    return nearest.nearest_within(events, centers, 40.0).select(
         "external_id", r6("distance_km")
     )
 
@@ -84,7 +84,7 @@ def sampled_grid(spark, folder):
         .agg((F.lit(2.0) - F.avg("wave_height_m")).alias("elevation_m"))
     )
     measured = nearest.nearest_within(
-        lattice.grid(spark), inputs.segment_points(spark, folder), ["lat", "lon"], COAST_LIMIT_KM
+        lattice.grid(spark), inputs.segment_points(spark, folder), COAST_LIMIT_KM
     ).join(height, ["lat", "lon"], "left")
     return lattice.select_grid(measured).select("lat", "lon", r6("distance_km"), r6("elevation_m"))
 
@@ -177,9 +177,7 @@ def sampled(spark, folder):
     """Fields at one moving point per line item."""
     field = lattice.forcing_fields(inputs.condition(spark, folder))
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return lattice.sample_field(
-        _points(spark, folder), field, ["current_u", "wave_m"], key
-    ).select(*key, r6("current_u"), r6("wave_m"))
+    return lattice.sample_field(_points(spark, folder), field, ["current_u", "wave_m"]).select(*key, r6("current_u"), r6("wave_m"))
 
 
 # Means of tenths often end exactly half-way at the sixth decimal.

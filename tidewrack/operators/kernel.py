@@ -17,12 +17,16 @@ def longitude_scale(segments: DataFrame) -> Column:
     ).scalar()
 
 
-def kernel_weights(segments: DataFrame, cells: DataFrame, reach_km: float = REACH_KM) -> DataFrame:
-    """Gaussian weights (center_lat, center_lon, lat, lon, weight) for pairs within 3 reaches.
+def kernel_means(
+    segments: DataFrame, values: DataFrame, names: Sequence[str], reach_km: float = REACH_KM
+) -> DataFrame:
+    """(center_lat, center_lon, day, *names): weighted means over the cells with a row that day.
 
-    Works on distinct centres and distinct cells. The tile is as wide as the cut-off at the
-    mean latitude, so a pair in range is always in adjacent tiles; cells, the side bounded
-    by the lattice, are the ones repeated into the 3 x 3 neighbourhood.
+    Gaussian weights, zero beyond 3 reaches. Works on distinct centres. The tile is as wide
+    as the cut-off at the mean latitude, so a pair in range is always in adjacent tiles;
+    cells, the side bounded by the lattice, are repeated into the 3 x 3 neighbourhood with a
+    month of their values in one row. All cells of a centre meet it in its own tile, so its
+    sums are complete before the shuffle and only (centre, day) rows travel.
     """
     cutoff = REACH_CUTOFF * reach_km
     span = cutoff / KERNEL_KM_PER_DEG * (1.0 + 1e-9)
@@ -35,14 +39,17 @@ def kernel_weights(segments: DataFrame, cells: DataFrame, reach_km: float = REAC
         .withColumn("tile_col", F.floor(F.col("center_lon") * F.col("scale") / span).cast("int"))
     )
     around = F.sequence(F.lit(-1), F.lit(1))
+    # At most 31 days per array.
+    monthly = values.groupBy("lat", "lon", F.trunc("day", "month").alias("month")).agg(
+        F.collect_list(F.struct("day", *names)).alias("days")
+    )
     placed = (
-        cells.select("lat", "lon")
-        .distinct()
-        .withColumn("row_shift", F.explode(around))
+        monthly.withColumn("row_shift", F.explode(around))
         .withColumn("col_shift", F.explode(around))
         .select(
             "lat",
             "lon",
+            "days",
             (F.floor(F.col("lat") / span).cast("int") + F.col("row_shift")).alias("tile_row"),
             (F.floor(F.col("lon") * scale / span).cast("int") + F.col("col_shift")).alias(
                 "tile_col"
@@ -61,21 +68,11 @@ def kernel_weights(segments: DataFrame, cells: DataFrame, reach_km: float = REAC
         .select(
             "center_lat",
             "center_lon",
-            "lat",
-            "lon",
             F.exp(F.lit(-0.5) * ratio * ratio).alias("weight"),
+            F.inline("days"),
         )
-    )
-
-
-def kernel_means(weights: DataFrame, values: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Weighted means per (center, day) over the cells that have a row that day."""
-    weighted = weights.join(values, ["lat", "lon"])
-    return weighted.groupBy("center_lat", "center_lon", "day").agg(
-        *(
-            (F.sum(F.col("weight") * F.col(n)) / F.sum("weight")).alias(n)
-            for n in names
-        )
+        .groupBy("center_lat", "center_lon", "day")
+        .agg(*((F.sum(F.col("weight") * F.col(n)) / F.sum("weight")).alias(n) for n in names))
     )
 
 
@@ -86,9 +83,7 @@ def kernel_interpolate(
 
     Segments without one are absent; a dense result fills them with 0.
     """
-    weights = kernel_weights(segments, values, reach_km)
-    means = kernel_means(weights, values, names)
+    means = kernel_means(segments, values, names, reach_km)
     return segments.select("segment_id", "center_lat", "center_lon").join(
         means, ["center_lat", "center_lon"]
     ).select("segment_id", "day", *names)
-

@@ -149,46 +149,53 @@ def standardise(field: DataFrame, name: str) -> DataFrame:
     )
 
 
-def sample_field(
-    points: DataFrame, field: DataFrame, names: Sequence[str], point_key: Sequence[str]
-) -> DataFrame:
-    """Bilinear values at (valid_at, lat, lon); corners and fractions clamp to the lattice.
+def sample_field(points: DataFrame, field: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`points` with the bilinear values of `names` at their (valid_at, lat, lon).
 
-    A point needs all four corner rows; a corner missing from the field counts as 0.
+    Positions clamp to the lattice; a corner missing from the field counts as 0. Each field
+    row is first handed to the four squares it is a corner of, so points, the large side,
+    are joined once, to one row that has all four corners, and are not grouped again.
     """
     row = (F.col("lat") - REGION.min_lat) / GRID_STEP_DEG
     column = (F.col("lon") - REGION.min_lon) / GRID_STEP_DEG
-
-    def low(value: Column, count: int) -> Column:
-        return clamp(F.floor(value), 0, count - 2).cast("int")
-
-    def fraction(value: Column, base: str) -> Column:
-        return clamp(value - F.col(base), 0.0, 1.0)
-
     based = (
-        points.withColumn("_r0", low(row, GRID_ROWS))
-        .withColumn("_c0", low(column, GRID_COLUMNS))
-        .withColumn("_fr", fraction(row, "_r0"))
-        .withColumn("_fc", fraction(column, "_c0"))
+        points.withColumn("_r0", clamp(F.floor(row), 0, GRID_ROWS - 2).cast("int"))
+        .withColumn("_c0", clamp(F.floor(column), 0, GRID_COLUMNS - 2).cast("int"))
+        .withColumn("_fr", clamp(row - F.col("_r0"), 0.0, 1.0))
+        .withColumn("_fc", clamp(column - F.col("_c0"), 0.0, 1.0))
     )
-    corners = F.expr(
-        "array(struct(_r0 AS row_i, _c0 AS col_j, (1 - _fr) * (1 - _fc) AS share),"
-        " struct(_r0 AS row_i, _c0 + 1 AS col_j, (1 - _fr) * _fc AS share),"
-        " struct(_r0 + 1 AS row_i, _c0 AS col_j, _fr * (1 - _fc) AS share),"
-        " struct(_r0 + 1 AS row_i, _c0 + 1 AS col_j, _fr * _fc AS share))"
+    corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    offered = field.select(
+        "valid_at",
+        "row_i",
+        "col_j",
+        *names,
+        F.explode(F.array(*(F.lit(n) for n in range(4)))).alias("_corner"),
     )
-    return (
-        based.select(*point_key, "valid_at", F.inline(corners))
-        .join(field.select("valid_at", "row_i", "col_j", *names), ["valid_at", "row_i", "col_j"], "left")
-        .groupBy(*point_key)
-        .agg(
-            *(
-                F.sum(F.col("share") * F.coalesce(F.col(n), F.lit(0.0))).alias(n)
-                for n in names
-            )
+    squares = offered.groupBy(
+        "valid_at",
+        (F.col("row_i") - F.floor(F.col("_corner") / 2).cast("int")).alias("_r0"),
+        (F.col("col_j") - F.col("_corner") % 2).alias("_c0"),
+    ).agg(
+        *(
+            F.max(F.when(F.col("_corner") == n, F.col(name))).alias(f"_{name}_{n}")
+            for name in names
+            for n in range(4)
         )
     )
 
+    def blended(name: str) -> Column:
+        total = F.lit(0.0)
+        for n, (down, right) in enumerate(corners):
+            share = (F.col("_fr") if down else 1 - F.col("_fr")) * (
+                F.col("_fc") if right else 1 - F.col("_fc")
+            )
+            total = total + share * F.coalesce(F.col(f"_{name}_{n}"), F.lit(0.0))
+        return total.alias(name)
+
+    joined = based.join(squares, ["valid_at", "_r0", "_c0"], "left")
+    return joined.select(*points.columns, *(blended(name) for name in names))
+
 
 def coverage_extent(condition: DataFrame, days: DataFrame, hours: int = DRIFT_HOURS) -> DataFrame:
     """Per release day: contiguous hours of forcing from its midnight, all and archived only.

@@ -4,8 +4,8 @@ Sites are grouped into square tiles and each tile is summarised by a bounding bo
 every point the boxes within reach give a lower and an upper bound on the distance to the
 nearest site inside; tiles whose lower bound exceeds the best upper bound cannot win and
 are dropped before any site is looked at. The bounds are exact, so the answer is the true
-minimum. Both joins are equi-joins on the tile key; the only aggregate after them is a
-`min_by`, combined on the map side. Skewed tiles are split by adaptive execution.
+minimum. All joins are equi-joins on tile keys; the aggregate after them is a minimum,
+combined on the map side. Skewed tiles are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.constants import (
+    EARTH_RADIUS_KM,
     KM_PER_LAT_DEG,
     KM_PER_LON_DEG,
     RASTER_COLUMNS,
@@ -53,105 +54,140 @@ def _chord_square(d_lat: Column, d_lon: Column, cos_both: Column) -> Column:
     return north * north + cos_both * east * east
 
 
+def _tile(value: Column, tile_deg: float) -> Column:
+    return F.floor(value / tile_deg).cast("int")
+
+
+def _boxes(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bounding box of the sites of each tile."""
+    return sites.groupBy(*keys).agg(
+        F.min("site_lat").alias("south"),
+        F.max("site_lat").alias("north"),
+        F.min("site_lon").alias("west"),
+        F.max("site_lon").alias("east"),
+        F.min(F.cos(F.radians("site_lat"))).alias("cos_low"),
+        F.max(F.cos(F.radians("site_lat"))).alias("cos_high"),
+    )
+
+
+def _bounds(planar: bool) -> tuple[Column, Column]:
+    """Lower and upper bound on the measure from (_lat, _lon) to the nearest site of a box."""
+    lat, lon = F.col("_lat"), F.col("_lon")
+    south, north, west, east = (F.col(n) for n in ("south", "north", "west", "east"))
+    near = (_gap(lat, south, north), _gap(lon, west, east))
+    far = (_far(lat, south, north), _far(lon, west, east))
+    if planar:
+        return _planar_square(*near, F.col("cos_low")), _planar_square(*far, F.col("cos_high"))
+    here = F.cos(F.radians(lat))
+    return (
+        _chord_square(*near, here * F.col("cos_low")),
+        _chord_square(*far, here * F.col("cos_high")),
+    )
+
+
+def _winnow(
+    bounded: DataFrame, point_key: Sequence[str], tile_key: Sequence[str], within: Column
+) -> DataFrame:
+    """Per point the tiles that may still hold its nearest site.
+
+    The grouped array holds the tiles in reach of one point: a fixed number, not the sites.
+    """
+    return (
+        bounded.filter(F.col("lower") <= within * SLACK)
+        .groupBy(*point_key)
+        .agg(
+            F.first("_lat").alias("_lat"),
+            F.first("_lon").alias("_lon"),
+            F.min("upper").alias("ceiling"),
+            F.collect_list(F.struct(*tile_key, "lower")).alias("tiles"),
+        )
+        .select(
+            *point_key,
+            "_lat",
+            "_lon",
+            F.inline_outer(F.expr(f"filter(tiles, t -> t.lower <= ceiling * {SLACK}D)")),
+        )
+        .drop("lower")
+    )
+
+
 def nearest_sites(
     points: DataFrame,
     sites: DataFrame,
     point_key: Sequence[str],
     limit_km: float,
     planar: bool,
-    tile_deg: float,
+    tiles_deg: Sequence[float],
     max_abs_lat: float,
 ) -> DataFrame:
     """Per point the nearest site within `limit_km`: point_key + (site_id, distance_km).
 
     `points` has unique `point_key` with columns lat, lon; `sites` has site_id, lat, lon.
     Equal distances go to the lowest site_id. Points with no site in reach are absent.
+    `tiles_deg` are tile sizes from coarse to fine: each level looks only inside the tiles
+    the one before has left, so a densely populated tile is never compared as a whole.
     `max_abs_lat` bounds the latitudes involved and sets how many tiles wide the reach is.
     """
+    coarse = tiles_deg[0]
     lat_km, lon_km = (KM_PER_LAT_DEG, KM_PER_LON_DEG) if planar else (111.19, 111.19)
-    rows = ceil(limit_km / (lat_km * tile_deg))
-    columns = ceil(limit_km / (lon_km * cos(radians(max_abs_lat)) * tile_deg))
-
-    def tile(name: str) -> Column:
-        return F.floor(F.col(name) / tile_deg).cast("int")
-
+    rows = ceil(limit_km / (lat_km * coarse))
+    columns = ceil(limit_km / (lon_km * cos(radians(max_abs_lat)) * coarse))
+    keys = [[f"row_{n}", f"col_{n}"] for n in range(len(tiles_deg))]
     distinct = (
         sites.groupBy("lat", "lon")
         .agg(F.min("site_id").alias("site_id"))
         .select(
-            tile("lat").alias("tile_row"),
-            tile("lon").alias("tile_col"),
             F.col("lat").alias("site_lat"),
             F.col("lon").alias("site_lon"),
             "site_id",
+            *(
+                _tile(F.col(axis), size).alias(name)
+                for names, size in zip(keys, tiles_deg, strict=True)
+                for axis, name in zip(("lat", "lon"), names, strict=True)
+            ),
         )
     )
-    boxes = distinct.groupBy("tile_row", "tile_col").agg(
-        F.min("site_lat").alias("south"),
-        F.max("site_lat").alias("north"),
-        F.min("site_lon").alias("west"),
-        F.max("site_lon").alias("east"),
-        F.min(F.cos(F.radians("site_lat"))).alias("cos_low"),
-        F.max(F.cos(F.radians("site_lat"))).alias("cos_high"),
-    )
     # Boxes are the side bounded by the tiles of the region: they are repeated into the tiles
     # they may matter to, and a point only looks at its own tile.
-    row_shifts = F.sequence(F.lit(-rows), F.lit(rows))
-    column_shifts = F.sequence(F.lit(-columns), F.lit(columns))
     reaching = (
-        boxes.withColumn("_shift", F.explode(row_shifts))
-        .withColumn("at_row", F.col("tile_row") + F.col("_shift"))
-        .withColumn("_shift", F.explode(column_shifts))
-        .withColumn("at_col", F.col("tile_col") + F.col("_shift"))
+        _boxes(distinct, keys[0])
+        .withColumn("_shift", F.explode(F.sequence(F.lit(-rows), F.lit(rows))))
+        .withColumn("at_row", F.col("row_0") + F.col("_shift"))
+        .withColumn("_shift", F.explode(F.sequence(F.lit(-columns), F.lit(columns))))
+        .withColumn("at_col", F.col("col_0") + F.col("_shift"))
         .drop("_shift")
     )
     placed = points.select(
         *point_key,
         F.col("lat").alias("_lat"),
         F.col("lon").alias("_lon"),
-        tile("lat").alias("at_row"),
-        tile("lon").alias("at_col"),
+        _tile(F.col("lat"), coarse).alias("at_row"),
+        _tile(F.col("lon"), coarse).alias("at_col"),
     )
-    lat, lon = F.col("_lat"), F.col("_lon")
-    near = [_gap(lat, F.col("south"), F.col("north")), _gap(lon, F.col("west"), F.col("east"))]
-    far = [_far(lat, F.col("south"), F.col("north")), _far(lon, F.col("west"), F.col("east"))]
-    if planar:
-        lower = _planar_square(*near, F.col("cos_low"))
-        upper = _planar_square(*far, F.col("cos_high"))
-        within = F.lit(limit_km * limit_km)
-    else:
-        here = F.cos(F.radians(lat))
-        lower = _chord_square(*near, here * F.col("cos_low"))
-        upper = _chord_square(*far, here * F.col("cos_high"))
-        within = F.pow(F.sin(F.lit(limit_km / (2 * 6371.0088))), F.lit(2.0))
-    bounded = (
-        placed.join(reaching, ["at_row", "at_col"])
-        .select(*point_key, "_lat", "_lon", "tile_row", "tile_col",
-                lower.alias("lower"), upper.alias("upper"))
-        .filter(F.col("lower") <= within * SLACK)
+    lower, upper = _bounds(planar)
+    within = (
+        F.lit(limit_km * limit_km)
+        if planar
+        else F.pow(F.sin(F.lit(limit_km / (2 * EARTH_RADIUS_KM))), F.lit(2.0))
     )
-    # At most (2*rows+1)*(2*columns+1) tiles per point, so the grouped arrays are small.
-    best = (
-        bounded.groupBy(*point_key)
-        .agg(
-            F.first("_lat").alias("_lat"),
-            F.first("_lon").alias("_lon"),
-            F.min("upper").alias("ceiling"),
-            F.collect_list(F.struct("tile_row", "tile_col", "lower")).alias("tiles"),
-        )
-        .select(
-            *point_key,
-            "_lat",
-            "_lon",
-            F.inline_outer(F.expr(f"filter(tiles, t -> t.lower <= ceiling * {SLACK}D)")),
+
+    def bounded(joined: DataFrame, tile_key: Sequence[str]) -> DataFrame:
+        return joined.select(
+            *point_key, "_lat", "_lon", *tile_key, lower.alias("lower"), upper.alias("upper")
         )
-        .drop("lower")
+
+    best = _winnow(
+        bounded(placed.join(reaching, ["at_row", "at_col"]), keys[0]), point_key, keys[0], within
     )
-    paired = best.join(distinct, ["tile_row", "tile_col"])
-    if planar:
-        measure = planar_km(lat, lon, F.col("site_lat"), F.col("site_lon"))
-    else:
-        measure = half_chord(lat, lon, F.col("site_lat"), F.col("site_lon"))
+    for level in range(1, len(keys)):
+        path = [name for names in keys[: level + 1] for name in names]
+        finer = _boxes(distinct, path)
+        parent = path[:-2]
+        best = _winnow(bounded(best.join(finer, parent), path), point_key, path, within)
+    path = [name for names in keys for name in names]
+    paired = best.join(distinct, path)
+    place = (F.col("_lat"), F.col("_lon"), F.col("site_lat"), F.col("site_lon"))
+    measure = planar_km(*place) if planar else half_chord(*place)
     found = (
         paired.select(*point_key, "site_id", measure.alias("measure"))
         .groupBy(*point_key)
@@ -197,7 +233,7 @@ def coast_raster(segment_points: DataFrame, radius_km: float = SNAP_RADIUS_KM) -
         ["node_row", "node_col"],
         limit_km=radius_km,
         planar=True,
-        tile_deg=0.1,
+        tiles_deg=(0.1,),
         max_abs_lat=REGION.max_lat + 1.0,
     ).withColumnRenamed("site_id", "segment_id")
 
@@ -224,17 +260,18 @@ def observed_strandings(strandings: DataFrame, raster: DataFrame) -> DataFrame:
     )
 
 
-def nearest_within(
-    points: DataFrame, sites: DataFrame, point_key: Sequence[str], limit_km: float
-) -> DataFrame:
-    """Every point with the great-circle distance to its nearest site, null beyond the limit."""
+def nearest_within(points: DataFrame, sites: DataFrame, limit_km: float) -> DataFrame:
+    """Every point with the great-circle distance to its nearest site, null beyond the limit.
+
+    The search runs once per distinct position, however many points share it.
+    """
     found = nearest_sites(
-        points,
+        points.select("lat", "lon").distinct(),
         sites.select(F.lit(0).alias("site_id"), "lat", "lon"),
-        point_key,
+        ["lat", "lon"],
         limit_km=limit_km,
         planar=False,
-        tile_deg=0.5,
+        tiles_deg=(0.5, 0.1, 0.02),
         max_abs_lat=REGION.max_lat + 5.0,
     )
-    return points.join(found.drop("site_id"), list(point_key), "left")
+    return points.join(found.drop("site_id"), ["lat", "lon"], "left")

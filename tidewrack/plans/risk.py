@@ -20,7 +20,7 @@ from tidewrack.operators.history import (
     persistence,
     with_seasonal,
 )
-from tidewrack.operators.kernel import kernel_means, kernel_weights
+from tidewrack.operators.kernel import kernel_means
 from tidewrack.operators.merging import replace_scope
 from tidewrack.operators.sea import SEA_VALUES, daily_sea_state, drift_recent
 from tidewrack.sources.tables import scan_span
@@ -84,8 +84,7 @@ def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
         (F.date_add(last, 1) - lag).cast(kind),
     )
     sea = daily_sea_state(seen).withColumn("day", F.date_add("day", SEA_LAG_DAYS))
-    weights = kernel_weights(inputs.segments, sea)
-    means = kernel_means(weights, sea, SEA_VALUES)
+    means = kernel_means(inputs.segments, sea, SEA_VALUES)
     # Bounded by the days of the span.
     scored_days = F.broadcast(sea.select("day").distinct())
     spine = inputs.segments.select(
