@@ -24,6 +24,13 @@ from tidewrack.sources import coastline, fishing, positions, sightings, weather
         WHERE wind_speed_kmh IS NOT NULL OR wind_direction_deg IS NOT NULL""",
 )
 def hourly_weather(spark, folder):
+    rows = weather.parse_hourly_weather(
+        weather_payloads(spark, folder), weather.PRODUCTS["weather_archive"]
+    )
+    return rows.withColumn("valid_at", F.col("valid_at").cast("timestamp_ntz"))
+
+
+def weather_payloads(spark, folder):
     """One request per line item: one cell answered alone, or two, the second perhaps too far."""
     location = """named_struct('latitude', lat + {lat_off}, 'longitude', lon + {lon_off}, 'hourly', named_struct(
         'time', array(date_format(t, "yyyy-MM-dd'T'HH:mm"), date_format(timestampadd(HOUR, 1, t), "yyyy-MM-dd'T'HH:mm")),
@@ -37,7 +44,7 @@ def hourly_weather(spark, folder):
                  ',"answer":', to_json(array({near}, {far})), '}}'),
           concat('{{"points":', to_json(array(array(lat, lon))), ',"answer":', to_json({near}), '}}'))"""
     )
-    payloads = (
+    return (
         inputs.table(spark, folder, "lineitem")
         .withColumn(
             "t",
@@ -47,8 +54,6 @@ def hourly_weather(spark, folder):
         .withColumn("lon", F.expr("-6e0 + 0.25e0 * (l_suppkey * 31 % 63)"))
         .select(text.alias("value"))
     )
-    rows = weather.parse_hourly_weather(payloads, weather.PRODUCTS["weather_archive"])
-    return rows.withColumn("valid_at", F.col("valid_at").cast("timestamp_ntz"))
 
 
 @query(
@@ -61,6 +66,13 @@ def hourly_weather(spark, folder):
        FROM cell WHERE event_type <> 'error'""",
 )
 def fishing_effort(spark, folder):
+    return fishing.parse_fishing_effort(effort_payloads(spark, folder)).select(
+        "event_id", "cell", "mmsi", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"),
+        r6("lat"), "source", "gear_type", "effort_hours",
+    )
+
+
+def effort_payloads(spark, folder):
     """Cells at two depths; `error` events have no vessel and `purchase` ones a blank gear."""
     cell = """named_struct('mmsi', IF(event_type = 'error', null, user_id),
         'lat', 42e0 + (event_id * 7919 % 9500) / 1000e0, 'lon', -6e0 + (event_id * 104729 % 15500) / 1000e0,
@@ -72,11 +84,7 @@ def fishing_effort(spark, folder):
           concat('{{"total":2,"entries":[{{"public:v3":[', to_json({one}), ']}},[[', to_json({two}), ']]]}}'),
           concat('{{"total":1,"entries":[{{"public:v3":[', to_json({one}), ']}}]}}'))"""
     )
-    payloads = inputs.table(spark, folder, "events").select("event_id", "event_type", text.alias("value"))
-    return fishing.parse_fishing_effort(payloads).select(
-        "event_id", "cell", "mmsi", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"),
-        r6("lat"), "source", "gear_type", "effort_hours",
-    )
+    return inputs.table(spark, folder, "events").select("event_id", text.alias("value"))
 
 
 @query(
