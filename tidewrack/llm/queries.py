@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import ann, topk
+from tidewrack.llm import ann, simhash, topk, warc
+from tidewrack.session import new_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, folder, "pages"), new_folder(spark, "warc"))
+    return (
+        warc.read_chunks(archives)
+        .where("is_last")
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    )
+
+
+def op3_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
 def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"))
 
@@ -19,9 +33,30 @@ def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_products(table(spark, folder, "embeddings"))
 
 
-QUERIES = {q.__name__: q for q in (op4_nearest_neighbours, op5_exact_topk)}
+QUERIES = {q.__name__: q for q in (op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk)}
 
 SQL = {
+    "op2_warc_chunks": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept
+            FROM pages
+        ), digits AS (
+            SELECT page_id, kept, octet_length(payload) AS n, sha1(payload) AS hex FROM p
+        ), bits AS (
+            SELECT page_id, kept, n,
+                   list_transform(generate_series(0, 31), lambda i:
+                       CAST(('0x' || hex[((i * 5) // 20) * 5 + 1 : ((i * 5) // 20) * 5 + 5]) AS BIGINT)
+                           >> (15 - (i * 5) % 20) & 31) AS fives
+            FROM digits
+        )
+        SELECT page_id, n AS payload_bytes,
+               list_aggregate(list_transform(fives, lambda f: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', f + 1, 1)),
+                              'string_agg', '') AS payload_digest,
+               CASE WHEN kept > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN kept > page_id THEN kept END AS refers_to
+        FROM bits
+    """,
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
