@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import ann, simhash, topk, warc
+from tidewrack.llm import ann, classifier, mixing, packing, simhash, topk, warc
 from tidewrack.session import new_folder
 
 
@@ -33,7 +34,21 @@ def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_products(table(spark, folder, "embeddings"))
 
 
-QUERIES = {q.__name__: q for q in (op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk)}
+def op7_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents")).drop("text_hash")
+
+
+def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed(table(spark, folder, "documents"), str(path))
+
+
+def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk,
+                                op7_mixed_sources, op8_packed_sequences, op9_quality_scores)}
 
 SQL = {
     "op2_warc_chunks": """
