@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import ann, classifier, mixing, packing, simhash, topk, warc
+from tidewrack.llm import ann, classifier, lines, mixing, packing, simhash, topk, warc
 from tidewrack.session import new_folder
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(table(spark, folder, "pages"), new_folder(spark, "warc"))
     return (
@@ -47,10 +51,42 @@ def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk,
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk,
                                 op7_mixed_sources, op8_packed_sequences, op9_quality_scores)}
 
 SQL = {
+    "op1_line_dedup": r"""
+        WITH line AS (
+            SELECT doc_id, i AS line, split[i] AS content,
+                   list_sort(list_distinct(list_filter(string_split_regex(split[i], '[ \t-\r]+'),
+                                                       lambda w: w <> ''))) AS words
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS split FROM documents WHERE text IS NOT NULL) d,
+                 LATERAL (SELECT unnest(generate_series(1, len(split))) AS i)
+        ), sets AS (
+            SELECT words, len(words) AS n, min((doc_id, line)) AS first, row_number() OVER () AS s
+            FROM line WHERE len(words) > 0 GROUP BY words
+        ), word AS (
+            SELECT s, n, first, unnest(words) AS w FROM sets
+        ), alike AS (
+            SELECT DISTINCT s FROM (
+                SELECT a.s AS s, b.s AS t, a.n AS n, b.n AS m, count(*) AS shared
+                FROM word a JOIN word b ON a.w = b.w AND b.first < a.first AND b.n >= 0.8 * a.n AND a.n >= 0.8 * b.n
+                GROUP BY ALL
+            ) WHERE shared::DOUBLE / (n + m - shared) >= 0.8::DOUBLE
+        ), judged AS (
+            SELECT l.doc_id, l.line, l.content,
+                   sets.s IS NOT NULL AND ((l.doc_id, l.line) > sets.first OR alike.s IS NOT NULL) AS gone
+            FROM line l LEFT JOIN sets ON l.words = sets.words LEFT JOIN alike ON alike.s = sets.s
+        ), rebuilt AS (
+            SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines,
+                   CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_removed,
+                   coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS text
+            FROM judged GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+               CASE WHEN d.text IS NOT NULL THEN r.text END AS text
+        FROM documents d LEFT JOIN rebuilt r USING (doc_id)
+    """,
     "op2_warc_chunks": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload,
