@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import ann, classifier, lines, mixing, packing, simhash, topk, warc
+from tidewrack.llm import ann, classifier, lines, mixing, packing, passages, simhash, topk, warc
 from tidewrack.session import new_folder
 
 
@@ -38,6 +38,10 @@ def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_products(table(spark, folder, "embeddings"))
 
 
+def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.without_repeats(table(spark, folder, "documents"))
+
+
 def op7_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).drop("text_hash")
 
@@ -51,7 +55,7 @@ def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk,
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk, op6_repeated_passages,
                                 op7_mixed_sources, op8_packed_sequences, op9_quality_scores)}
 
 SQL = {
