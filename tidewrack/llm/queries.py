@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import ann, classifier, lines, mixing, packing, passages, simhash, topk, warc
+from tidewrack.llm import ann, classifier, lines, masked, mixing, packing, passages, simhash, topk, warc
 from tidewrack.session import new_folder
 
 
@@ -55,8 +55,12 @@ def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_masked_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return masked.pseudo_likelihood(table(spark, folder, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk, op6_repeated_passages,
-                                op7_mixed_sources, op8_packed_sequences, op9_quality_scores)}
+                                op7_mixed_sources, op8_packed_sequences, op9_quality_scores, op10_masked_likelihood)}
 
 SQL = {
     "op1_line_dedup": r"""
