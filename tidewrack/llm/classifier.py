@@ -175,6 +175,19 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return model
 
 
+def _scorer(docs: DataFrame, model: Model):
+    """What gives the model in a task; it is broadcast, in single precision, at a fixed size."""
+    parts = (model.s, model.edges, model.w.astype(np.float32), model.v.astype(np.float32), model.w0)
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def own() -> Model:
+        here = Model.__new__(Model)
+        here.s, here.edges, here.w, here.v, here.w0 = sent.value
+        return here
+
+    return own
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings = Settings()
 ) -> DataFrame:
@@ -183,14 +196,10 @@ def quality_scores(
     Only the text makes a score. Null, empty and blank texts are scored as a text without words.
     Repeated rows score alike. Other columns of both tables are not used.
     """
-    model = fit(docs, labels, settings)
-    parts = (settings, model.edges, model.w.astype(np.float32), model.v.astype(np.float32), model.w0)
-    sent = docs.sparkSession.sparkContext.broadcast(parts)  # fixed size
+    scorer = _scorer(docs, fit(docs, labels, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, edges, w, v, w0 = sent.value
-        own = Model.__new__(Model)
-        own.s, own.edges, own.w, own.v, own.w0 = s, edges, w, v, w0
+        own = scorer()
         for batch in batches:
             scores = pa.array([own.score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -201,3 +210,18 @@ def quality_scores(
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings = Settings()
+) -> DataFrame:
+    """The rows of `docs` with all their columns whose score is at least `threshold`."""
+    scorer = _scorer(docs, fit(docs, labels, settings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scorer()
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            yield batch.filter(pa.array([own.score(t.as_py()) >= threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
