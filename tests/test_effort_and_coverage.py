@@ -114,3 +114,24 @@ def test_status_and_failures(spark):
     assert [r.error for r in coverage.latest_failures(ledger).collect()] == ["-", "boom"]
     waiting = ledger.withColumn("not_before", F.lit("2024-02-01").cast("timestamp_ntz"))
     assert tuple(coverage.waiting_on_inputs(waiting, F.lit("2024-01-15").cast("timestamp_ntz")).first()) == ("a", 1, 4)
+
+
+def test_landed_effort_becomes_seeds(spark, tmp_path):
+    import json
+
+    from tidewrack.sources.fishing import read_fishing_effort
+
+    def cell(hours, gear="trawlers"):
+        return {"mmsi": "7", "date": "2024-01-05T03:00Z", "lat": 44.0, "lon": 1.0, "hours": hours, "geartype": gear}
+
+    deep = cell(2.0, "seiners")
+    for _ in range(11):
+        deep = {"x": [deep]} if isinstance(deep, dict) else [deep]
+    text = [{"entries": [cell(1.0), cell(3.0, "set_gillnets"), cell(3.0)]}, deep, {"note": "a ] in text [ {"}]
+    (tmp_path / "a.txt").write_text("\n".join(json.dumps(t) for t in text))
+    landed = read_fishing_effort(spark, str(tmp_path))
+    assert landed.count() == 4
+    (row,) = effort.collapse_cells(landed).collect()
+    assert (row.effort_hours, row.gear_type) == (9.0, "set_gillnets")
+    seeds = effort.release_seeds(effort.collapse_cells(landed)).collect()
+    assert [(s.hour, s.lat, s.lon) for s in seeds] == [(3, 44.0, 1.0)]

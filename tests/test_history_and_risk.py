@@ -54,12 +54,11 @@ def near(a, b):
 
 def test_seasonal_chance_equals_brute_force(spark):
     rows = observed_rows(seed=8)
-    start, end = "2020-12-25", "2021-01-20"
     days = [date(2020, 12, 25) + timedelta(days=i) for i in range(27)]
     observed = spark.createDataFrame(rows, OBSERVED)
     spine = spark.createDataFrame([(s, d) for s in range(5) for d in days], "segment_id int, day date")
     calendar = spine.select("day").distinct()
-    sums = history.circular_window_sum(history.climatology_counts(observed), slots_between(start, end))
+    sums = history.circular_window_sum(history.climatology_counts(observed), slots_between(calendar))
     held = history.leave_one_year_out(sums, calendar)
     years = {d.year for _, d, _ in rows}
     for r in history.with_seasonal(spine, held, observed).collect():
@@ -68,6 +67,24 @@ def test_seasonal_chance_equals_brute_force(spark):
         assert r.seasonal == pytest.approx(1 - math.exp(-(count + 0.5) / (divisor * 31)))
 
 
+def test_seasonal_chance_over_three_years_keeps_29_february(spark):
+    from tidewrack.plans.risk import seasonal
+
+    rows = [(1, date(2002, 3, 1), 2), (1, date(2004, 2, 20), 5), (1, date(2003, 12, 30), 1), (2, date(2001, 2, 14), 3)]
+    observed = spark.createDataFrame(rows, OBSERVED)
+    days = [date(2001, 3, 1) + timedelta(days=i) for i in range((date(2004, 3, 1) - date(2001, 3, 1)).days + 1)]
+    spine = spark.createDataFrame([(s, d) for s in (1, 2, 3) for d in days], "segment_id int, day date")
+    years = {d.year for _, d, _ in rows}
+    got = seasonal(spine, observed, "2001-03-01", "2004-03-01").collect()
+    assert len(got) == 3 * len(days)
+    for r in got:
+        count = sum(n for s, d, n in rows if s == r.segment_id and d.year != r.day.year and near(slot(d), slot(r.day)))
+        divisor = max(len(years) - (r.day.year in years), 1)
+        assert r.seasonal == pytest.approx(1 - math.exp(-(count + 0.5) / (divisor * 31))), r
+    leap = next(r for r in got if r.day == date(2004, 2, 29) and r.segment_id == 1)
+    assert leap.seasonal > 0.01
+
+
 def test_only_year_scored_against_itself_has_nothing_left(spark):
     observed = spark.createDataFrame([(1, date(2020, 6, 1), 4)], OBSERVED)
     spine = spark.createDataFrame([(1, date(2020, 6, 2))], "segment_id int, day date")

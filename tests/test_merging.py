@@ -47,6 +47,16 @@ def test_upsert_without_overwrite_keeps_the_first(spark):
     ]
 
 
+def test_repeated_keys_in_a_batch_give_one_row(spark):
+    stored = spark.createDataFrame([("a", 1, 0)], "k string, v int, n int")
+    batch = spark.createDataFrame([("a", 7, 2), ("a", 9, 1), ("b", 5, 1), ("b", 4, 2)], "k string, v int, n int")
+    after = merging.merge_upsert(stored, batch, ["k"], overwrite=True, order=["n"])
+    assert rows(after, "k", "v") == [("a", 7), ("b", 4)]
+    first = merging.merge_upsert(stored, batch, ["k"], overwrite=False, order=["n"])
+    assert rows(first, "k", "v") == [("a", 1), ("b", 5)]
+    assert merging.merge_upsert(stored, batch, ["k"], overwrite=True).count() == 2
+
+
 def test_live_write_leaves_archived_rows_and_may_null_forecast_ones(spark):
     stored = condition(
         spark,

@@ -86,6 +86,27 @@ def test_nearest_within_finds_the_true_minimum(spark):
             assert row.distance_km == pytest.approx(best, abs=1e-6)
 
 
+def test_nearest_within_is_exact_up_to_80_degrees_and_across_the_date_line(spark):
+    rng = random.Random(9)
+    sites = [(62.0, 4.2)] + [(rng.uniform(-82, 82), rng.choice([-1, 1]) * rng.uniform(160, 180)) for _ in range(150)]
+    points = [(0, 62.0, 0.49), (1, 10.0, 180.0), (2, 10.0, -180.0)] + [
+        (3 + i, rng.uniform(-80, 80), rng.choice([-1, 1]) * rng.uniform(165, 180)) for i in range(200)
+    ]
+    got = nearest.nearest_within(
+        spark.createDataFrame(points, "id int, lat double, lon double"),
+        spark.createDataFrame(sites, "lat double, lon double"),
+        400.0,
+    ).collect()
+    assert len(got) == len(points)
+    for row in got:
+        best = min(haversine((row.lat, row.lon), s) for s in sites)
+        if best > 400.0:
+            assert row.distance_km is None
+        else:
+            assert row.distance_km == pytest.approx(best, abs=1e-6)
+    assert next(r for r in got if r.id == 0).distance_km == pytest.approx(194, abs=2)
+
+
 def test_kernel_weights_equal_the_dense_matrix(spark):
     rng = random.Random(1)
     segments = [(i, 43 + rng.random() * 7, -5 + rng.random() * 13) for i in range(40)] + [(40, 43.0, 30.0)]

@@ -98,14 +98,11 @@ def gaps(spark, folder):
 @query(
     "u3_missing_days",
     f"""WITH wanted AS ({WANTED}) SELECT kind, day FROM wanted
-        WHERE kind IN ('gfw', 'drift', 'risk')
         EXCEPT SELECT kind, day FROM fx_ledger WHERE status = 'done'""",
 )
 def missing(spark, folder):
-    """Days wanted by the per-day kinds that the ledger does not hold as done."""
-    wanted = coverage.wanted_days(coverage.kinds(spark), inputs.calendar(spark, folder)).filter(
-        F.col("kind").isin("gfw", "drift", "risk")
-    )
+    """Days wanted of every kind that the ledger does not hold as done."""
+    wanted = coverage.wanted_days(coverage.kinds(spark), inputs.calendar(spark, folder))
     done = inputs.ledger(spark, folder).filter(F.col("status") == "done").select("kind", "day")
     return coverage.missing_days(wanted, done)
 

@@ -75,8 +75,7 @@ def sources(spark, folder):
 @query(
     "p9_hour_offset",
     """SELECT event_id, cast(floor((epoch_us(ts) - epoch_us(timestamp '2024-01-10')) / 3600e6) AS bigint)
-         AS hours FROM events
-       WHERE floor((epoch_us(ts) - epoch_us(timestamp '2024-01-10')) / 3600e6) BETWEEN -100 AND 479""",
+         AS hours FROM events""",
 )
 def offsets(spark, folder):
     start = F.lit("2024-01-10").cast("timestamp")
@@ -84,7 +83,6 @@ def offsets(spark, folder):
     return (
         inputs.table(spark, folder, "events")
         .select("event_id", hours.alias("hours"))
-        .filter(F.col("hours").between(-100, 479))
     )
 
 

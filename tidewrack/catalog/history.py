@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewrack.catalog.expressions import r6
-from tidewrack.catalog.registry import FIRST_DAY, LAST_DAY, query
+from tidewrack.catalog.registry import query
 from tidewrack.operators import history, sea
 from tidewrack.operators.nearest import coast_raster, observed_strandings
 from tidewrack.plans import inputs
-from tidewrack.plans.risk import days_between, slots_between
+from tidewrack.plans.risk import slots_between
 
 
 def observed(spark, folder):
@@ -18,10 +18,19 @@ def observed(spark, folder):
     )
 
 
-def spine(spark, folder, start=FIRST_DAY, end=LAST_DAY):
-    return inputs.segments(spark, folder).select(
-        "segment_id", F.explode(days_between(start, end)).alias("day")
+def order_days(spark, folder):
+    """Every day from the first to the last order."""
+    edges = inputs.table(spark, folder, "orders").agg(
+        F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")
     )
+    return edges.select(F.explode(F.sequence("a", "b")).alias("day"))
+
+
+def spine(spark, folder):
+    days = F.broadcast(order_days(spark, folder).agg(F.collect_list("day").alias("days")))
+    return inputs.segments(spark, folder).withColumn("one", F.lit(1)).join(
+        days.withColumn("one", F.lit(1)), "one"
+    ).select("segment_id", F.explode("days").alias("day"))
 
 
 @query(
@@ -50,14 +59,12 @@ def recent(spark, folder):
     "a6_persistence",
     """SELECT s.segment_id, s.day,
          round(coalesce(sum(o.records * power(0.5e0, ((s.day - 3) - o.day) / 365e0)), 0), 6) AS persistence
-       FROM (SELECT segment_id, cast(unnest(generate_series(timestamp '1998-01-01', timestamp '1998-12-31',
-               INTERVAL 1 DAY)) AS date) AS day FROM fx_segment) s
+       FROM (SELECT segment_id, day FROM fx_segment, fx_order_day) s
        LEFT JOIN fx_observed o ON o.segment_id = s.segment_id AND o.day < s.day - 3 GROUP BY 1, 2""",
 )
 def decayed(spark, folder):
-    """A whole year of days in one pass."""
-    days = spine(spark, folder, "1998-01-01", "1998-12-31")
-    return history.persistence(observed(spark, folder), days).select(
+    """All days in one pass."""
+    return history.persistence(observed(spark, folder), spine(spark, folder)).select(
         "segment_id", "day", r6("persistence")
     )
 
@@ -82,16 +89,14 @@ def windowed(spark, folder):
 
 def _leave_out(spark, folder):
     counted = observed(spark, folder)
-    calendar = spark.range(1).select(F.explode(days_between(FIRST_DAY, LAST_DAY)).alias("day"))
-    sums = history.circular_window_sum(
-        history.climatology_counts(counted), slots_between(FIRST_DAY, LAST_DAY)
-    )
+    calendar = order_days(spark, folder)
+    sums = history.circular_window_sum(history.climatology_counts(counted), slots_between(calendar))
     return counted, history.leave_one_year_out(sums, calendar)
 
 
 @query(
     "w2_leave_one_year_out",
-    """SELECT segment_id, day, cast(records AS bigint) AS records FROM fx_seasonal WHERE records > 0""",
+    """SELECT segment_id, day, cast(records AS bigint) AS records FROM fx_long_seasonal WHERE records > 0""",
 )
 def held_out(spark, folder):
     return _leave_out(spark, folder)[1]
@@ -99,7 +104,7 @@ def held_out(spark, folder):
 
 @query(
     "m2_seasonal",
-    "SELECT segment_id, day, round(seasonal, 6) AS seasonal FROM fx_seasonal",
+    "SELECT segment_id, day, round(seasonal, 6) AS seasonal FROM fx_long_seasonal",
 )
 def seasonal(spark, folder):
     counted, sums = _leave_out(spark, folder)

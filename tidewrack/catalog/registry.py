@@ -221,6 +221,20 @@ VIEWS: dict[str, str] = {
         JOIN fx_drift_recent USING (segment_id, day)
         LEFT JOIN fx_kernel k ON k.segment_id = s.segment_id AND k.day = s.day - 2""",
     "fx_year": "SELECT DISTINCT year FROM fx_slotted",
+    "fx_order_day": """
+        SELECT cast(unnest(generate_series(cast(min(o_orderdate) AS timestamp), cast(max(o_orderdate) AS timestamp),
+                 INTERVAL 1 DAY)) AS date) AS day FROM orders""",
+    "fx_long_seasonal": """
+        SELECT segment_id, day, n AS records,
+               1e0 - exp(-(n + 0.5e0) / (greatest(years, 1) * 31e0)) AS seasonal
+        FROM (SELECT s.segment_id, s.day, coalesce(sum(w.records), 0) AS n,
+                     (SELECT count(*) FROM fx_year)
+                       - CASE WHEN year(s.day) IN (SELECT year FROM fx_year) THEN 1 ELSE 0 END AS years
+              FROM (SELECT segment_id, day FROM fx_segment, fx_order_day) s
+              LEFT JOIN fx_windowed w ON w.segment_id = s.segment_id
+                AND w.slot = dayofyear(make_date(2000, month(s.day), day(s.day))) - 1
+                AND w.year <> year(s.day)
+              GROUP BY 1, 2)""",
     "fx_seasonal": """
         SELECT segment_id, day, n AS records,
                1e0 - exp(-(n + 0.5e0) / (greatest(years, 1) * 31e0)) AS seasonal

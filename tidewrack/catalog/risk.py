@@ -156,10 +156,10 @@ def mapped(spark, folder):
 @query(
     "t1_top_risk",
     f"""SELECT segment_id, round(probability, 6) AS probability FROM {MAP_SQL}
-        ORDER BY probability DESC, segment_id LIMIT 20""",
+        ORDER BY probability DESC, segment_id""",
 )
 def top(spark, folder):
-    return serving.top_risk(_map(spark, folder), 20).select("segment_id", r6("probability"))
+    return serving.top_risk(_map(spark, folder)).select("segment_id", r6("probability"))
 
 
 @query(

@@ -120,13 +120,12 @@ def interpolated(spark, folder):
 @query(
     "j8_densify_on_segments",
     """SELECT s.segment_id, round(coalesce(v, 0), 6) AS drift_index FROM fx_segment s
-       LEFT JOIN (SELECT coastal_segment_id, sum(drift_index) AS v FROM fx_drift_daily
-                  WHERE day = date '1999-03-03' GROUP BY 1) d ON d.coastal_segment_id = s.segment_id""",
+       LEFT JOIN (SELECT coastal_segment_id, sum(drift_index) AS v FROM fx_drift_daily GROUP BY 1) d
+         ON d.coastal_segment_id = s.segment_id""",
 )
 def dense(spark, folder):
     landed = (
         inputs.drift_daily(spark, folder)
-        .filter(F.col("day") == F.lit("1999-03-03").cast("date"))
         .groupBy(F.col("coastal_segment_id").alias("segment_id"))
         .agg(F.sum("drift_index").alias("drift_index"))
     )

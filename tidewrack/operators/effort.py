@@ -15,16 +15,15 @@ ROSTER_FIELDS = ("flag", "gear_type", "vessel_type", "ship_name")
 def collapse_cells(positions: DataFrame) -> DataFrame:
     """One row per vessel-hour: total effort, other columns of the strongest cell.
 
-    Equal efforts go to the first cell seen (lowest `ordinal`).
+    Equal efforts go to the first cell seen (lowest `ordinal`, of any type with an order).
     """
     keys = ["mmsi", "recorded_at"]
     rest = [c for c in positions.columns if c not in (*keys, "effort_hours", "ordinal")]
     effort = F.coalesce(F.col("effort_hours"), F.lit(0.0))
-    # A cell only displaces the first one with strictly positive effort.
-    strength = F.struct(F.greatest(effort, F.lit(0.0)), -F.col("ordinal"))
+    order = F.struct(-effort, F.col("ordinal"))
     return (
         positions.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), strength).alias("best"), F.sum(effort).alias("effort_hours"))
+        .agg(F.min_by(F.struct(*rest), order).alias("best"), F.sum(effort).alias("effort_hours"))
         .select(*keys, "best.*", "effort_hours")
     )
 

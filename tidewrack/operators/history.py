@@ -6,8 +6,6 @@ day, so a segment's group never holds more rows than the calendar has days.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +66,11 @@ def climatology_counts(observed: DataFrame) -> DataFrame:
     ).agg(F.sum("records").alias("records"))
 
 
-def circular_window_sum(counts: DataFrame, slots: Sequence[int] | None = None) -> DataFrame:
-    """Moving +-15 slot sums that wrap inside the same year; optionally only some slots."""
+def circular_window_sum(counts: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """Moving +-15 slot sums that wrap inside the same year; optionally only of the rows of `slots`.
+
+    `slots(slot)` has at most one row per slot of the year, so it is broadcast.
+    """
     shift = F.sequence(F.lit(-WINDOW_HALF_SLOTS), F.lit(WINDOW_HALF_SLOTS))
     spread = counts.select("segment_id", "year", "slot", "records", F.explode(shift).alias("o"))
     moved = spread.select(
@@ -79,23 +80,24 @@ def circular_window_sum(counts: DataFrame, slots: Sequence[int] | None = None) -
         "records",
     )
     if slots is not None:
-        moved = moved.filter(F.col("slot").isin(list(slots)))
+        moved = moved.join(F.broadcast(slots), "slot", "left_semi")
     return moved.groupBy("segment_id", "year", "slot").agg(F.sum("records").alias("records"))
 
 
 def leave_one_year_out(windowed: DataFrame, days: DataFrame) -> DataFrame:
     """(segment_id, day, records): window sums of every year but the day's own.
 
-    `days` is a calendar (bounded by its span) and is broadcast; absent pairs are 0.
+    The sum over all years less the own year's row, so the work is that of the result. `days` is a
+    calendar (bounded by its span) and is broadcast; absent pairs are 0.
     """
-    asked = days.select(
-        "day", F.year("day").alias("own_year"), event_slot(F.col("day")).alias("slot")
-    )
+    asked = days.select("day", F.year("day").alias("year"), event_slot(F.col("day")).alias("slot"))
+    every = windowed.groupBy("segment_id", "slot").agg(F.sum("records").alias("every"))
+    others = F.col("every") - F.coalesce(F.col("records"), F.lit(0))
     return (
-        windowed.join(F.broadcast(asked), "slot")
-        .filter(F.col("year") != F.col("own_year"))
-        .groupBy("segment_id", "day")
-        .agg(F.sum("records").alias("records"))
+        every.join(F.broadcast(asked), "slot")
+        .join(windowed, ["segment_id", "slot", "year"], "left")
+        .select("segment_id", "day", others.alias("records"))
+        .filter(F.col("records") > 0)
     )
 
 

@@ -22,6 +22,14 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return picked.select(*keys, "_kept.*").select(*df.columns)
 
 
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The row with the least `order` per key."""
+    rest = [name for name in df.columns if name not in keys]
+    ranking = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order))
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ranking).alias("_kept"))
+    return picked.select(*keys, "_kept.*").select(*df.columns)
+
+
 def merge_upsert(
     target: DataFrame,
     updates: DataFrame,
@@ -29,14 +37,17 @@ def merge_upsert(
     overwrite: bool,
     only: Sequence[str] | None = None,
     where: str | None = None,
+    order: Sequence[Column | str] | None = None,
 ) -> DataFrame:
     """Insert new keys; on conflict keep the row, or set `only` where `where` holds on it.
 
-    `updates` must be unique on `keys` (see `last_per_key`); columns it lacks are null for
-    inserted rows. `where` is an SQL predicate over the columns of the existing row.
+    Of updates that repeat a key the last in `order` counts (without overwriting, the first);
+    where no order is given, rows are ordered by their other columns. Columns that `updates`
+    lacks are null for inserted rows. `where` is an SQL predicate over the existing row.
     """
     if not overwrite:
-        return insert_if_absent(target, updates, keys)
+        return insert_if_absent(target, updates, keys, order)
+    updates = last_per_key(updates, keys, order or _other_columns(updates, keys))
     settable = set(only if only is not None else updates.columns) - set(keys)
     old = target.withColumn("_stored", F.lit(True))
     if where is not None:
@@ -62,8 +73,15 @@ def merge_upsert(
     return joined.select(*(resolved(name) for name in target.columns))
 
 
-def insert_if_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First write wins: rows whose key is already stored are dropped."""
+def _other_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [c for c in df.columns if c not in keys] or [keys[0]]
+
+
+def insert_if_absent(
+    target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str] | None = None
+) -> DataFrame:
+    """First write wins: rows whose key is already stored are dropped, as are later rows of a key."""
+    rows = first_per_key(rows, keys, order or _other_columns(rows, keys))
     fresh = rows.join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True)
 

@@ -11,7 +11,7 @@ combined on the map side. Skewed tiles are split by adaptive execution.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, cos, radians
+from math import ceil, pi, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +70,23 @@ def _boxes(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _wrapped(lon: Column) -> Column:
+    """The same meridian between -180 (inclusive) and 180."""
+    return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+
+
 def _bounds(planar: bool) -> tuple[Column, Column]:
     """Lower and upper bound on the measure from (_lat, _lon) to the nearest site of a box."""
     lat, lon = F.col("_lat"), F.col("_lon")
     south, north, west, east = (F.col(n) for n in ("south", "north", "west", "east"))
-    near = (_gap(lat, south, north), _gap(lon, west, east))
-    far = (_far(lat, south, north), _far(lon, west, east))
     if planar:
+        near = (_gap(lat, south, north), _gap(lon, west, east))
+        far = (_far(lat, south, north), _far(lon, west, east))
         return _planar_square(*near, F.col("cos_low")), _planar_square(*far, F.col("cos_high"))
+    # The way round to the middle of the box, and half its width: both ends within half a turn.
+    away, half = F.abs(_wrapped(lon - (west + east) / 2)), (east - west) / 2
+    near = (_gap(lat, south, north), F.greatest(away - half, F.lit(0.0)))
+    far = (_far(lat, south, north), F.least(away + half, F.lit(180.0)))
     here = F.cos(F.radians(lat))
     return (
         _chord_square(*near, here * F.col("cos_low")),
@@ -111,6 +120,19 @@ def _winnow(
     )
 
 
+def _reach_deg(site_row: Column, point_row: Column, limit_km: float, planar: bool, tile_deg: float) -> Column:
+    """Degrees of longitude that the limit spans, at most, between two rows of tiles."""
+
+    def narrowest(row: Column) -> Column:
+        edge = F.greatest(F.abs(row * tile_deg), F.abs((row + 1) * tile_deg))
+        return F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-12))
+
+    if planar:
+        return F.least(F.lit(limit_km / KM_PER_LON_DEG) / narrowest(site_row), F.lit(180.0))
+    half = F.lit(sin(min(limit_km / (2 * EARTH_RADIUS_KM), pi / 2)))
+    return F.degrees(2 * F.asin(F.least(half / F.sqrt(narrowest(site_row) * narrowest(point_row)), F.lit(1.0))))
+
+
 def nearest_sites(
     points: DataFrame,
     sites: DataFrame,
@@ -118,7 +140,6 @@ def nearest_sites(
     limit_km: float,
     planar: bool,
     tiles_deg: Sequence[float],
-    max_abs_lat: float,
 ) -> DataFrame:
     """Per point the nearest site within `limit_km`: point_key + (site_id, distance_km).
 
@@ -126,22 +147,25 @@ def nearest_sites(
     Equal distances go to the lowest site_id. Points with no site in reach are absent.
     `tiles_deg` are tile sizes from coarse to fine: each level looks only inside the tiles
     the one before has left, so a densely populated tile is never compared as a whole.
-    `max_abs_lat` bounds the latitudes involved and sets how many tiles wide the reach is.
+    Each pair of tile rows has its own reach in longitude, so any latitude may occur; on the
+    sphere longitudes wrap at 180 degrees, whose tiles must divide a full turn.
     """
     coarse = tiles_deg[0]
-    lat_km, lon_km = (KM_PER_LAT_DEG, KM_PER_LON_DEG) if planar else (111.19, 111.19)
+    lat_km = KM_PER_LAT_DEG if planar else 111.19
     rows = ceil(limit_km / (lat_km * coarse))
-    columns = ceil(limit_km / (lon_km * cos(radians(max_abs_lat)) * coarse))
+    turn = round(360.0 / coarse)
+    reach = _reach_deg(F.col("row_0"), F.col("at_row"), limit_km, planar, coarse)
+    columns = F.least(F.ceil(reach / coarse + 1e-9), F.lit(turn // 2)).cast("int")
     keys = [[f"row_{n}", f"col_{n}"] for n in range(len(tiles_deg))]
     distinct = (
         sites.groupBy("lat", "lon")
         .agg(F.min("site_id").alias("site_id"))
         .select(
             F.col("lat").alias("site_lat"),
-            F.col("lon").alias("site_lon"),
+            (F.col("lon") if planar else _wrapped(F.col("lon"))).alias("site_lon"),
             "site_id",
             *(
-                _tile(F.col(axis), size).alias(name)
+                _tile(F.col(axis) if planar or axis == "lat" else _wrapped(F.col(axis)), size).alias(name)
                 for names, size in zip(keys, tiles_deg, strict=True)
                 for axis, name in zip(("lat", "lon"), names, strict=True)
             ),
@@ -153,22 +177,28 @@ def nearest_sites(
         _boxes(distinct, keys[0])
         .withColumn("_shift", F.explode(F.sequence(F.lit(-rows), F.lit(rows))))
         .withColumn("at_row", F.col("row_0") + F.col("_shift"))
-        .withColumn("_shift", F.explode(F.sequence(F.lit(-columns), F.lit(columns))))
+        .withColumn("_columns", columns)
+        .withColumn(
+            "_shift", F.explode(F.sequence(-F.col("_columns"), F.least("_columns", turn - 1 - F.col("_columns"))))
+        )
         .withColumn("at_col", F.col("col_0") + F.col("_shift"))
-        .drop("_shift")
+        .drop("_shift", "_columns")
     )
+    if not planar:
+        half = turn // 2
+        reaching = reaching.withColumn("at_col", F.pmod(F.col("at_col") + half, F.lit(turn)) - half)
     placed = points.select(
         *point_key,
         F.col("lat").alias("_lat"),
         F.col("lon").alias("_lon"),
         _tile(F.col("lat"), coarse).alias("at_row"),
-        _tile(F.col("lon"), coarse).alias("at_col"),
+        _tile(F.col("lon") if planar else _wrapped(F.col("lon")), coarse).alias("at_col"),
     )
     lower, upper = _bounds(planar)
     within = (
         F.lit(limit_km * limit_km)
         if planar
-        else F.pow(F.sin(F.lit(limit_km / (2 * EARTH_RADIUS_KM))), F.lit(2.0))
+        else F.pow(F.sin(F.lit(min(limit_km / (2 * EARTH_RADIUS_KM), pi / 2))), F.lit(2.0))
     )
 
     def bounded(joined: DataFrame, tile_key: Sequence[str]) -> DataFrame:
@@ -234,7 +264,6 @@ def coast_raster(segment_points: DataFrame, radius_km: float = SNAP_RADIUS_KM) -
         limit_km=radius_km,
         planar=True,
         tiles_deg=(0.1,),
-        max_abs_lat=REGION.max_lat + 1.0,
     ).withColumnRenamed("site_id", "segment_id")
 
 
@@ -272,6 +301,5 @@ def nearest_within(points: DataFrame, sites: DataFrame, limit_km: float) -> Data
         limit_km=limit_km,
         planar=False,
         tiles_deg=(0.5, 0.1, 0.02),
-        max_abs_lat=REGION.max_lat + 5.0,
     )
     return points.join(found.drop("site_id"), ["lat", "lon"], "left")

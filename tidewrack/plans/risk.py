@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewrack.constants import DRIFT_WINDOW_DAYS, SEA_LAG_DAYS, SIGNALS
 from tidewrack.functions.geodesy import onshore_component
 from tidewrack.functions.scoring import log1p_scaled, logit, sigmoid
-from tidewrack.functions.timeline import risk_source
+from tidewrack.functions.timeline import event_slot, risk_source
 from tidewrack.operators.history import (
     circular_window_sum,
     climatology_counts,
@@ -23,12 +22,16 @@ from tidewrack.operators.history import (
 from tidewrack.operators.kernel import kernel_means
 from tidewrack.operators.merging import replace_scope
 from tidewrack.operators.sea import SEA_VALUES, daily_sea_state, drift_recent
+from tidewrack.session import settled
 from tidewrack.sources.tables import scan_span
 
 
 @dataclass(frozen=True)
 class RiskModel:
-    """Coefficients; they enter plans as literals. Unfitted, the seasonal chance stands."""
+    """Coefficients; they enter plans as literals. Unfitted, the seasonal chance stands.
+
+    The field names are those of the model file: fixed values.
+    """
 
     intercept: float = 0.0
     weights: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SIGNALS, 0.0))
@@ -57,23 +60,13 @@ def days_between(start: str, end: str) -> Column:
     return F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
-def slots_between(start: str, end: str) -> list[int]:
-    first, last = date.fromisoformat(start), date.fromisoformat(end)
-    span = min((last - first).days, 2 * 366)
-    return sorted(
-        {
-            (date(2000, day.month, day.day) - date(2000, 1, 1)).days
-            for day in (first + timedelta(days=i) for i in range(span + 1))
-        }
-    )
-
+def slots_between(calendar: DataFrame) -> DataFrame:
+    """(slot): the slots of the year that the days of a calendar fall on."""
+    return calendar.select(event_slot(F.col("day")).alias("slot")).distinct()
 
-def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
-    """One row per segment and day of the span that has sea state: the six signals.
 
-    Every input is cut to the days it can influence before any join; the day-level joins
-    all use (segment_id, day), so the spine is shuffled once.
-    """
+def lagged_sea(inputs: RiskInputs, start: str, end: str) -> DataFrame:
+    """Daily sea state of each cell, under the days of the span that it is used for."""
     lag = F.expr(f"INTERVAL {SEA_LAG_DAYS} DAYS")
     kind = inputs.condition.schema["valid_at"].dataType
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
@@ -83,7 +76,25 @@ def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
         (first - lag).cast(kind),
         (F.date_add(last, 1) - lag).cast(kind),
     )
-    sea = daily_sea_state(seen).withColumn("day", F.date_add("day", SEA_LAG_DAYS))
+    return daily_sea_state(seen).withColumn("day", F.date_add("day", SEA_LAG_DAYS))
+
+
+def unscored_days(inputs: RiskInputs, start: str, end: str) -> DataFrame:
+    """(day): the days of the span that have no sea state, so `signals` gives no rows for them."""
+    asked = inputs.condition.sparkSession.range(1).select(F.explode(days_between(start, end)).alias("day"))
+    scored = lagged_sea(inputs, start, end).select("day").distinct()
+    return asked.join(F.broadcast(scored), "day", "left_anti")
+
+
+def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
+    """One row per segment and day of the span that has sea state (see `unscored_days`): the six signals.
+
+    Every input is cut to the days it can influence before any join; the day-level joins
+    all use (segment_id, day), so the spine is shuffled once. The daily sea state is written
+    once and read for both the days and the means.
+    """
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    sea = settled(lagged_sea(inputs, start, end))
     means = kernel_means(inputs.segments, sea, SEA_VALUES)
     # Bounded by the days of the span.
     scored_days = F.broadcast(sea.select("day").distinct())
@@ -121,7 +132,7 @@ def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
 def seasonal(spine: DataFrame, observed: DataFrame, start: str, end: str) -> DataFrame:
     """`spine` (segment_id, day, ...) plus the chance from all years but the day's own."""
     calendar = spine.sparkSession.range(1).select(F.explode(days_between(start, end)).alias("day"))
-    windowed = circular_window_sum(climatology_counts(observed), slots_between(start, end))
+    windowed = circular_window_sum(climatology_counts(observed), slots_between(calendar))
     return with_seasonal(spine, leave_one_year_out(windowed, calendar), observed)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,18 +36,40 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only if it names none."""
+    """The folder the cluster names for checkpoints.
+
+    A local session without one gets a temporary folder that goes with the process; on a cluster
+    executors would not share it, so there the setting is required.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewrack-", dir="/tmp"))
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidewrack-", dir="/tmp")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
         folder = context.getCheckpointDir()
     return folder
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+def release_settled(spark: SparkSession) -> None:
+    """Delete what `settled` and `new_folder` have made; call it when their results are no longer read."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -17,14 +17,30 @@ DESCEND = (
 )
 
 
+def nesting_depth(text: Column) -> Column:
+    """How many brackets are open at once in a JSON text."""
+    quoted = r'"(\\.|[^"\\])*"'
+    brackets = F.regexp_replace(F.regexp_replace(text, quoted, ""), r"[^\[\]{}]", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1))
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+    return F.aggregate(
+        steps, start,
+        lambda a, s: F.struct((a["open"] + s).alias("open"), F.greatest(a["most"], a["open"] + s).alias("most")),
+        lambda a: a["most"],
+    )
+
+
 def parse_fishing_effort(
-    payloads: DataFrame, text: str = "value", levels: int = 8
+    payloads: DataFrame, text: str = "value", levels: int | None = None
 ) -> DataFrame:
     """Every object holding a `lat` is a cell; keeps those with vessel, position and time.
 
-    `cell` numbers the cells inside their payload. Cells nested deeper than `levels` are an
-    error rather than silently missing.
+    `cell` numbers the cells inside their payload. The payloads are searched as deep as the
+    deepest of them goes, which one job finds out; a stream has to give `levels`, beyond which
+    a cell is an error rather than silently missing.
     """
+    if levels is None:
+        levels = payloads.agg(F.max(nesting_depth(F.col(text)))).first()[0] or 0
     keep = [c for c in payloads.columns if c != text]
     nodes = payloads.select(*keep, F.array(F.parse_json(F.col(text))).alias("nodes"))
     for _ in range(levels):
