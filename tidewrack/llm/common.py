@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,14 @@ def deal(key: Column, parts: Column | int) -> Column:
     return F.pmod(F.xxhash64(key), parts.cast("long")).cast("int")
 
 
+def worker_kept(key: Hashable, make: Callable[[], object]):
+    """A value that a Python worker makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def ceil_div(a: int, b: int) -> int:
     return max(1, -(-a // b))
 
@@ -78,5 +88,5 @@ def whole_groups(
 
 
 __all__ = [
-    "BROADCAST_BYTES", "broadcast_if_small", "ceil_div", "deal", "settled", "vectors", "whole_groups",
+    "BROADCAST_BYTES", "broadcast_if_small", "ceil_div", "deal", "settled", "vectors", "whole_groups", "worker_kept",
 ]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import ceil_div, deal, settled
+from tidewrack.llm.common import ceil_div, deal, settled, worker_kept
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, part int, bin int, fill long, offset long"
@@ -25,21 +25,27 @@ PLACED = f"{PIECES}, part int, bin int, fill long, offset long"
 class WordwiseEncoder:
     """Byte-level BPE ids of texts, from a `tokenizers` file, encoding each distinct word once.
 
-    A token never spans a single space between two visible characters, so a text is cut there and
-    the ids of its parts are looked up; new parts are encoded together. `held` bounds the look-up.
+    A token never spans a space that a visible character follows, so a text is cut there and the
+    ids of its parts are looked up; new parts are encoded together. `held` bounds the look-up.
     """
 
-    def __init__(self, path: str, held: int = 300_000) -> None:
+    def __init__(self, path: str, held: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.cut = re.compile(r"(?<=\S) (?=\S)").split
+        self.blank_run = re.compile(r" (?:\s|$)").search
+        self.cut_between = re.compile(r"(?<=\S) (?=\S)").split
         self.known: dict[str, bytes] = {}
         self.held = held
 
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a text between such spaces; where blanks follow one another, only between
+        visible characters."""
+        return self.cut_between(text) if self.blank_run(text) else text.split(" ")
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -59,7 +65,7 @@ class WordwiseEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [self.cut(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         wanted: set[str] = set()
         for parts in cut:
             wanted.update(parts[1:])
@@ -78,7 +84,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = WordwiseEncoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encoder = worker_kept(("encoder", tokenizer_path), lambda: WordwiseEncoder(tokenizer_path))
+        last = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
