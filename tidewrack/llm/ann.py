@@ -26,13 +26,14 @@ class Settings:
     list_rows: int = 512
     max_lists: int = 16_384
     sample_rows: int = 65_536
-    replicas: int = 3
+    replicas: int = 2
     boundary: float = 1.1
+    index_beam: int = 12
     beam: int = 128
-    probe_ratio: float = 1.35
+    probe_ratio: float = 1.09
     degree: int = 16
-    segment_rows: int = 4_096
-    block_queries: int = 1_024
+    task_rows: int = 16_384
+    task_queries: int = 4_096
     seed: int = 11
 
 
@@ -99,7 +100,7 @@ class CentroidGraph:
             order = np.argsort(d, axis=1, kind="stable")[:, :beam]
             nodes, d, done = nodes[rows, order], d[rows, order], done[rows, order]
             todo = np.where(done | np.isinf(d), np.inf, d)
-            width = min(8, nodes.shape[1])
+            width = min(4, nodes.shape[1])
             pick = np.argsort(todo, axis=1, kind="stable")[:, :width]
             live = np.isfinite(todo[rows, pick])
             if not live.any():
@@ -170,9 +171,10 @@ def nearest(
 
     Rows get one more component that makes all of them equally long, so that nearest by distance
     is largest by product. Centroids are fitted on a bounded sample of distinct vectors; every row
-    is indexed under its nearest list and, near a boundary, under further ones. Lists and the
-    queries that visit them are dealt into segments of bounded size, so a list that holds a third
-    of all rows is searched by many tasks. Scores are products of the original vectors.
+    is indexed under its nearest list and, near a boundary, under a further one. A task searches a
+    bundle of lists; larger ones are dealt into segments and the queries into blocks of bounded
+    size, so a list that holds a third of all rows is searched by many tasks. A query gives k rows
+    per bundle. Scores are products of the original vectors.
 
     Null, zero and empty vectors, vectors with a null or non-finite component and rows without an
     id take no part; neither do vectors of another dimension than the most frequent one. An id that
@@ -207,44 +209,65 @@ def nearest(
         graph = CentroidGraph(*sent.value)
         for batch in batches:
             if len(batch):
-                rows, found = lists_of(graph, lifted(np.stack(batch["v"].to_numpy())), s.beam, s.boundary, s.replicas)
+                v = lifted(np.stack(batch["v"].to_numpy()))
+                rows, found = lists_of(graph, v, s.index_beam, s.boundary, s.replicas)
                 yield batch.iloc[rows].assign(list=found.astype("int32"))
 
+    postings = settled(clean.mapInPandas(indexed, "vec_id long, v array<double>, list int"))
+    # One number per list, so at most max_lists: neighbouring lists are bundled up to task_rows.
+    held = np.zeros(len(centroids), dtype=np.int64)
+    for r in postings.groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
+    bundle_of = (np.cumsum(held) - held) // s.task_rows
+    rows_of = np.bincount(bundle_of, weights=held)
+    segments_of = np.maximum(1, np.ceil(rows_of / s.task_rows)).astype(int)
+    blocks = ceil_div(clean.where(F.col("vec_id") % query_every == 0).count(), s.task_queries)
+    bundles = F.broadcast(
+        spark.createDataFrame(
+            [(i, int(b), int(segments_of[b])) for i, b in enumerate(bundle_of)], "list int, bundle int, segments int"
+        )
+    )
+
     def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = CentroidGraph(*sent.value)
         for batch in batches:
             if len(batch):
                 v = np.stack(batch["v"].to_numpy())
                 rows, found = lists_of(graph, np.hstack([v, np.zeros((len(v), 1))]), s.beam, s.probe_ratio, s.beam)
-                yield batch.iloc[rows].assign(list=found.astype("int32"))
-
-    shape = "vec_id long, v array<double>, list int"
-    postings = settled(clean.mapInPandas(indexed, shape))
-    visits = settled(clean.where(F.col("vec_id") % query_every == 0).mapInPandas(visiting, shape))
-    # One row per list, so at most max_lists rows.
-    parts = F.broadcast(
-        settled(
-            postings.groupBy("list").agg(F.ceil(F.count("*") / s.segment_rows).alias("segments")).join(
-                visits.groupBy("list").agg(F.ceil(F.count("*") / s.block_queries).alias("blocks")), "list"
-            )
-        )
-    )
-    upto = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    rows = postings.join(parts, "list").select(
-        "list", deal(F.col("vec_id"), F.col("segments")).alias("segment"), upto("blocks").alias("block"), "vec_id", "v"
-    )
-    queries = visits.join(parts, "list").select(
-        "list", upto("segments").alias("segment"), deal(F.col("vec_id"), F.col("blocks")).alias("block"), "vec_id", "v"
+                visits = pd.DataFrame({"row": rows, "list": found, "bundle": bundle_of[found]})
+                lists = visits.groupby(["row", "bundle"])["list"].agg(list).reset_index()
+                out = batch.iloc[lists["row"]].reset_index(drop=True)
+                out["bundle"], out["lists"] = lists["bundle"].astype("int32"), lists["list"]
+                out["segments"] = segments_of[lists["bundle"]].astype("int32")
+                yield out
+
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    queries = (
+        clean.where(F.col("vec_id") % query_every == 0)
+        .repartition("vec_id")
+        .mapInPandas(visiting, "vec_id long, v array<double>, bundle int, lists array<int>, segments int")
+        .select("bundle", upto(F.col("segments")).alias("segment"), deal(F.col("vec_id"), blocks).alias("block"), "vec_id", "v", "lists")
     )
+    rows = postings.join(bundles, "list").select(
+        "bundle", deal(F.col("vec_id"), F.col("segments")).alias("segment"), upto(F.lit(blocks)).alias("block"),
+        "vec_id", "v", "list",
+    )
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best_in_list(
-            q["vec_id"].to_numpy(), np.stack(q["v"].to_numpy()), x["vec_id"].to_numpy(), np.stack(x["v"].to_numpy()), k
-        )
-
-    key = ("list", "segment", "block")
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        if len(q) and len(x):
+            points, ids, asked = np.stack(x["v"].to_numpy()), x["vec_id"].to_numpy(), np.stack(q["v"].to_numpy())
+            wanted = np.concatenate(q["lists"].to_numpy())
+            asking = np.repeat(np.arange(len(q)), q["lists"].map(len))
+            for one, at in x.groupby("list").indices.items():
+                who = asking[wanted == one]
+                if len(who):
+                    found.append(best_in_list(q["vec_id"].to_numpy()[who], asked[who], ids[at], points[at], k))
+        best = pd.concat(found).drop_duplicates(["query_id", "vec_id"])
+        best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return best[best.groupby("query_id").cumcount() < k]
+
+    key = ("bundle", "segment", "block")
     found = queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(search, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
