@@ -1,5 +1,7 @@
 """Every registered query against its SQL counterpart, and the shape of the contract."""
 
+import re
+
 import oracle
 import pytest
 
@@ -16,7 +18,9 @@ def connection(small):
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"m5_fit"}
+    # Those of the training-data subpackage have tests of their own.
+    own = {name for name in QUERIES if not re.match(r"op\d+_|pipeline$", name)}
+    assert own - set(SQL) == {"m5_fit"}
 
 
 def test_entry_has_rows(spark):

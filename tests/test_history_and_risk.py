@@ -244,9 +244,9 @@ def test_fit_equals_a_dense_solver(spark):
 
 def test_fit_refuses_empty_inputs(spark):
     _, _, risk, observed = scored_rows(spark, days=2)
-    with pytest.raises(ValueError, match="no risk rows"):
+    with pytest.raises(ValueError, match="0 segment-days are labelled"):
         evaluation.fit(risk.limit(0), observed, -2.0)
-    with pytest.raises(ValueError, match="nothing to fit"):
+    with pytest.raises(ValueError, match="none of them struck"):
         evaluation.fit(risk, observed.limit(0), -2.0)
 
 

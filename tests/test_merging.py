@@ -96,7 +96,34 @@ def test_prune_guard(spark, stale, refused):
     report = shoreline.prune_report(stored, keep).first()
     assert (report.stored, report.stale, report.allowed, report.refused) == (40, stale, 5, refused)
     if refused == "yes":
-        with pytest.raises(ValueError, match="more than the 5 allowed"):
+        with pytest.raises(ValueError, match="limit 5"):
             shoreline.guarded_prune(stored, keep)
     else:
         assert shoreline.guarded_prune(stored, keep).count() == 35
+
+
+def test_stored_days_are_replaced_and_merged(spark, tmp_path):
+    from tidewrack.sources import tables
+
+    path = str(tmp_path / "job")
+    schema = tables.TABLES["job"][1]
+    day = lambda n: date(2024, 1, n)
+
+    def jobs(*entries):
+        return spark.createDataFrame([("risk", day(d), s, a, 0, None, None, None, None) for d, s, a in entries], schema)
+
+    def stored():
+        return sorted((r.day.day, r.status, r.attempts) for r in tables.read_table(spark, "job", path).collect())
+
+    tables.upsert_days(spark, "job", path, jobs((1, "done", 1), (2, "done", 1), (3, "failed", 1)), overwrite=True)
+    untouched = sorted(p.name for p in (tmp_path / "job" / "day=2024-01-01").glob("*.parquet"))
+    again = jobs((3, "done", 3), (3, "failed", 2), (4, "done", 1))
+    tables.upsert_days(spark, "job", path, again, overwrite=True, order=["attempts"])
+    assert stored() == [(1, "done", 1), (2, "done", 1), (3, "done", 3), (4, "done", 1)]
+    tables.replace_days(spark, "job", path, jobs((3, "pending", 0)), "2024-01-02", "2024-01-03")
+    assert stored() == [(1, "done", 1), (3, "pending", 0), (4, "done", 1)]
+    tables.replace_days(spark, "job", path, jobs(), "2024-01-03", "2024-01-04")
+    assert stored() == [(1, "done", 1)]
+    assert sorted(p.name for p in (tmp_path / "job" / "day=2024-01-01").glob("*.parquet")) == untouched
+    with pytest.raises(ValueError):
+        tables.replace_days(spark, "job", path, jobs((9, "done", 1)), "2024-01-01", "2024-01-02")

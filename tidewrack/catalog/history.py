@@ -27,10 +27,9 @@ def order_days(spark, folder):
 
 
 def spine(spark, folder):
-    days = F.broadcast(order_days(spark, folder).agg(F.collect_list("day").alias("days")))
-    return inputs.segments(spark, folder).withColumn("one", F.lit(1)).join(
-        days.withColumn("one", F.lit(1)), "one"
-    ).select("segment_id", F.explode("days").alias("day"))
+    days = order_days(spark, folder).agg(F.collect_list("day").alias("days")).scalar()
+    segments = inputs.segments(spark, folder).withColumn("days", days)
+    return segments.select("segment_id", F.explode("days").alias("day"))
 
 
 @query(

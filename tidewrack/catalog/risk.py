@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.history import observed
 from tidewrack.catalog.registry import AS_OF, FIRST_DAY, LAST_DAY, query
-from tidewrack.constants import SIGNALS
+from tidewrack.constants import RIDGE, SIGNALS
 from tidewrack.operators import ranking, serving
 from tidewrack.operators.history import seasonal_baseline
 from tidewrack.plans import evaluation, inputs, risk
@@ -209,6 +209,31 @@ def sample(spark, folder):
     return chosen.select("day", "segment_id", "struck")
 
 
+@query(
+    "m5_gradient",
+    "SELECT unnest(['intercept', " + ", ".join(f"'{s}'" for s in SIGNALS) + ", 'seasonal']) AS name, 0e0 AS gradient",
+)
+def gradient(spark, folder):
+    """The slope of the penalised loss at the fitted coefficients, over the rows they are fitted on."""
+    history = settled(observed(spark, folder))
+    table = settled(risk_table(spark, folder, history=history))
+    base = seasonal_baseline(history, inputs.segments(spark, folder)).first().seasonal_baseline
+    labelled = settled(evaluation.label_struck(table, history))
+    sample, _ = evaluation.training_sample(labelled, base, 0)
+    at = evaluation.ridge_logistic(sample, evaluation.DESIGN).coefficients
+    linear = F.lit(at["intercept"])
+    for name in evaluation.DESIGN:
+        linear = linear + F.col(name) * F.lit(at[name])
+    rest = F.col("struck") - 1 / (1 + F.exp(-linear))
+    slopes = sample.agg(
+        F.sum(rest).alias("intercept"),
+        *((F.sum(rest * F.col(n)) - F.lit(RIDGE * at[n])).alias(n.removeprefix("x_")) for n in evaluation.DESIGN),
+    )
+    names = slopes.columns
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), (F.round(n, 4) + 0.0).alias("gradient")) for n in names))
+    return slopes.select(F.inline(pairs))
+
+
 @query("m5_fit")
 def fitted(spark, folder):
     """Coefficients of a model fitted to the stored rows."""

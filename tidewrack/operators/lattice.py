@@ -80,30 +80,31 @@ def forcing_fields(condition: DataFrame) -> DataFrame:
     )
 
 
+#: Planes filled together: bounds what a worker holds, however many an Arrow batch brings.
+PLANES_AT_ONCE = 128
+
+
+def _neighbour_sums(padded: np.ndarray) -> np.ndarray:
+    """Sum of the four neighbours of each inner cell of zero-padded planes."""
+    return padded[:, :-2, 1:-1] + padded[:, 2:, 1:-1] + padded[:, 1:-1, :-2] + padded[:, 1:-1, 2:]
+
+
 def _fill_planes(cells: pd.Series, values: pd.Series, passes: int) -> pd.Series:
-    """Dense row-major planes from sparse cells, with holes filled; many planes at a time."""
-    planes = np.zeros((len(cells), CELLS))
-    for plane, cell, value in zip(planes, cells, values, strict=True):
-        plane[np.asarray(cell, dtype=np.int64)] = np.asarray(value, dtype=np.float64)
-    planes = planes.reshape(-1, GRID_ROWS, GRID_COLUMNS)
-    for _ in range(passes):
-        total, count = np.zeros_like(planes), np.zeros_like(planes)
-        for here, beside in BESIDE:
-            total[here] += planes[beside]
-            count[here] += planes[beside] != 0.0
-        hole = (planes == 0.0) & (count > 0)
-        planes[hole] = total[hole] / count[hole]
-    return pd.Series(list(planes.reshape(-1, CELLS)))
-
-
-# Each cell and the one above, below, left and right of it.
-_ALL, _HEAD, _TAIL = slice(None), slice(None, -1), slice(1, None)
-BESIDE = (
-    ((_ALL, _TAIL, _ALL), (_ALL, _HEAD, _ALL)),
-    ((_ALL, _HEAD, _ALL), (_ALL, _TAIL, _ALL)),
-    ((_ALL, _ALL, _TAIL), (_ALL, _ALL, _HEAD)),
-    ((_ALL, _ALL, _HEAD), (_ALL, _ALL, _TAIL)),
-)
+    """Dense row-major planes from sparse cells, with holes filled; some planes at a time."""
+    filled: list[np.ndarray] = []
+    for at in range(0, len(cells), PLANES_AT_ONCE):
+        some = slice(at, at + PLANES_AT_ONCE)
+        flat = np.zeros((len(cells[some]), CELLS))
+        for plane, cell, value in zip(flat, cells[some], values[some], strict=True):
+            plane[np.asarray(cell, dtype=np.int64)] = np.asarray(value, dtype=np.float64)
+        padded = np.pad(flat.reshape(-1, GRID_ROWS, GRID_COLUMNS), ((0, 0), (1, 1), (1, 1)))
+        inner = padded[:, 1:-1, 1:-1]
+        for _ in range(passes):
+            total, known = _neighbour_sums(padded), _neighbour_sums((padded != 0.0).astype(float))
+            holes = (inner == 0.0) & (known > 0)
+            inner[holes] = total[holes] / known[holes]
+        filled.extend(inner.reshape(len(flat), CELLS))
+    return pd.Series(filled)
 
 
 def fill_gaps(

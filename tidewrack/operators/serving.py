@@ -12,6 +12,7 @@ from tidewrack.functions.scoring import risk_index
 from tidewrack.operators.ranking import exact_quantiles
 from tidewrack.sources.tables import scan_span
 
+# The field names of the served records, and the columns of each map layer.
 VESSEL_FIELDS = (
     "mmsi", "lat", "lon", "ship_name", "flag", "gear_type", "vessel_type",
     "effort_hours", "recorded_at", "source",

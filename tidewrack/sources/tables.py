@@ -1,11 +1,16 @@
-"""Stored tables: schemas and half-open time scans."""
+"""Stored tables: schemas, half-open time scans, and writes that touch only some days."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.constants import MEASURES, SIGNALS
+from tidewrack.operators.merging import merge_upsert
+from tidewrack.session import settled
 
 _PATH = "array<struct<lon: double, lat: double>>"
 
@@ -61,6 +66,47 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
+def replace_days(spark: SparkSession, name: str, path: str, rows: DataFrame, start: str, end: str) -> None:
+    """Make the days [start, end] of a stored table, partitioned by `day`, be exactly `rows`.
+
+    Only the partitions of those days are written or deleted. `rows` may read the table itself:
+    they are settled first. Rows of other days are an error.
+    """
+    inside = F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    fresh = settled(rows.select(*spark.createDataFrame([], TABLES[name][1]).columns))
+    if not fresh.filter(~F.coalesce(inside, F.lit(False))).isEmpty():
+        raise ValueError(f"rows outside {start}..{end}")
+    writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("day").parquet(path)
+    kept = {str(r.day) for r in fresh.select("day").distinct().collect()}  # bounded by the span
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        day = status.getPath().getName().removeprefix("day=")
+        if start <= day <= end and day not in kept:
+            store.delete(status.getPath(), True)
+
+
+def upsert_days(
+    spark: SparkSession, name: str, path: str, updates: DataFrame, overwrite: bool, order: Sequence[str] | None = None
+) -> None:
+    """Merge `updates` into a stored table, partitioned by `day`: only the days they touch are rewritten."""
+    keys = TABLES[name][0]
+    fresh = settled(updates)
+    days = [r.day for r in fresh.select("day").distinct().collect()]  # bounded by the calendar
+    if not days:
+        return
+    try:
+        stored = read_table(spark, name, path).filter(F.col("day").isin(days))
+        merged = settled(merge_upsert(stored, fresh, list(keys), overwrite, order=order))
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        empty = spark.createDataFrame([], TABLES[name][1])
+        merged = settled(merge_upsert(empty, fresh, list(keys), overwrite, order=order))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def scan_span(df: DataFrame, column: str, start: Column | str, end: Column | str) -> DataFrame:
     """Rows with start <= column < end; literals of the column's own type reach the scan."""
     kind = df.schema[column].dataType
