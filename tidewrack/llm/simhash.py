@@ -207,10 +207,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, blocks: in
     labels = component_labels(settled(links(codes, radius, blocks)))
     linked = codes.join(labels, codes.code == labels.node)
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    # Only linked codes meet by label: most codes have none, and would all meet under null.
+    named = labels.join(smallest, "label").select("node", "component_id")
     found = settled(
-        codes.join(labels, codes.code == labels.node, "left")
-        .join(smallest, "label", "left")
-        .select(F.col("code").alias("fp"), F.coalesce("component_id", "first").alias("component_id"))
+        codes.join(named, codes.code == named.node, "left").select(
+            F.col("code").alias("fp"), F.coalesce("component_id", "first").alias("component_id")
+        )
     )
     return rows.join(found, "fp").select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -229,10 +231,10 @@ def first_of_each(docs: DataFrame, radius: int = 3, width: int = 3, blocks: int
     kept = settled(
         near.groupBy("component_id", alone.alias("alone"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
-        .select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+        .select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
     )
     here = docs.withColumn("__hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("__hash") == F.col("kept_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash"))
     return (
         here.join(broadcast_if_small(kept, 24), same, "left_semi")
         .dropDuplicates(["doc_id", "__hash"])
