@@ -56,11 +56,25 @@ def _doc(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(_doc(F.col("doc_id")).alias("doc"), F.col("text").cast("binary").alias("text"))
+def _text_key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
 
 
-def recurring_phrases(docs: DataFrame, slices: int, window: int, k: int) -> DataFrame:
+def first_copies(docs: DataFrame) -> DataFrame:
+    """(text_key, first): the smallest document of each text that several rows have."""
+    keyed = docs.where("text IS NOT NULL").select(_text_key(F.col("text")).alias("text_key"), _doc(F.col("doc_id")).alias("doc"))
+    counted = keyed.groupBy("text_key").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    return settled(counted.where("n > 1").select("text_key", "first"))
+
+
+def _marked(docs: DataFrame, copies: DataFrame, *columns: str) -> DataFrame:
+    """(columns, doc, text, is_copy): whether a document with a smaller doc_id has the same text."""
+    rows = docs.select(*columns, _doc(F.col("doc_id")).alias("doc"), F.col("text").cast("binary").alias("text"))
+    known = rows.withColumn("text_key", _text_key(F.col("text"))).join(broadcast_if_small(copies, 90), "text_key", "left")
+    return known.withColumn("is_copy", F.coalesce(F.col("first") < F.col("doc"), F.lit(False))).drop("text_key", "first")
+
+
+def recurring_phrases(sliced: DataFrame, window: int, k: int) -> DataFrame:
     """(slice, phrase): the phrases of windows that at least two documents have, for each slice that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,38 +94,34 @@ def recurring_phrases(docs: DataFrame, slices: int, window: int, k: int) -> Data
                 names=["doc", "slice", "phrase"],
             )
 
-    found = _sliced(docs, slices).mapInArrow(run, "doc long, slice int, phrase binary")
+    found = sliced.mapInArrow(run, "doc long, slice int, phrase binary")
     twice = found.groupBy("phrase").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.collect_set("slice").alias("slices")
     )
     return settled(twice.where("first < last").select(F.explode("slices").alias("slice"), "phrase"))
 
 
-def _sliced(docs: DataFrame, slices: int) -> DataFrame:
-    return _rows(docs).withColumn("slice", deal(F.struct("doc", F.xxhash64("text")), slices))
-
-
 class PhraseAutomaton:
-    """An Aho-Corasick automaton over word numbers; words outside all phrases have the number 0."""
+    """An Aho-Corasick automaton of phrases between spaces, over texts a character per byte."""
 
     def __init__(self, phrases: list[bytes]) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for phrase in phrases:
-            key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase.split(b" "))
-            self.automaton.add_word(key)
+            self.automaton.add_word(f" {phrase.decode('latin-1')} ")
         self.automaton.make_automaton()
 
     def located(self, words: list[bytes]) -> np.ndarray:
         """Whether a phrase starts at each word."""
-        number = self.numbers.get
+        text = f" {b' '.join(words).decode('latin-1')} "
+        found = [end - length + 1 for end, length in self.automaton.iter(text)]
         starts = np.zeros(len(words), dtype=bool)
-        at = [end - length + 1 for end, length in self.automaton.iter(tuple([number(w, 0) for w in words]))]
-        starts[at] = True
+        if found:
+            places = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+            starts[np.searchsorted(places, found, side="right")] = True
         return starts
 
 
-def recurring_windows(docs: DataFrame, phrases: DataFrame, slices: int, window: int, k: int) -> DataFrame:
+def recurring_windows(sliced: DataFrame, phrases: DataFrame, window: int, k: int) -> DataFrame:
     """(doc, h): the windows of each document, once each, whose phrase recurs.
 
     A slice of the documents is streamed through the automaton of the phrases that occur in it.
@@ -137,8 +147,7 @@ def recurring_windows(docs: DataFrame, phrases: DataFrame, slices: int, window:
             "h": np.concatenate(found) if found else np.zeros(0, np.int64),
         })
 
-    texts = _sliced(docs, slices)
-    return texts.groupBy("slice").cogroup(phrases.groupBy("slice")).applyInPandas(run, "doc long, h long")
+    return sliced.groupBy("slice").cogroup(phrases.groupBy("slice")).applyInPandas(run, "doc long, h long")
 
 
 def covered(words: list[bytes], repeated: np.ndarray, window: int) -> np.ndarray:
@@ -159,6 +168,8 @@ def without_repeats(
     order, in a document with a smaller doc_id; windows are judged on the input. Every window has a
     phrase, chosen by its content alone, so a window that recurs has a phrase that recurs:
 
+    0. documents whose whole text a smaller doc_id has too lose all their words (if they have a window
+       at all) and add no window to it: only the first of a group of copies goes on;
     1. phrases that two documents share are confirmed word by word;
     2. documents are dealt into slices of about `slice_bytes`; the phrases that occur in a slice make
        its Aho-Corasick automaton, and its documents are streamed through it, each once;
@@ -170,21 +181,22 @@ def without_repeats(
     window lose nothing. Other columns are not used.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = ceil_div(size, slice_bytes)
-    phrases = recurring_phrases(docs, slices, window, phrase_words)
-    windows = settled(recurring_windows(docs, phrases, slices, window, phrase_words))
+    copies = first_copies(docs)
+    share = deal(F.struct("doc", F.xxhash64("text")), ceil_div(size, slice_bytes))
+    sliced = _marked(docs, copies).where(~F.col("is_copy")).select("doc", "text", share.alias("slice"))
+    phrases = recurring_phrases(sliced, window, phrase_words)
+    windows = settled(recurring_windows(sliced, phrases, window, phrase_words))
     twice = settled(
-        windows.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .where("first < last").select("h", "first")
-    )
+        windows.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    )
     later = windows.join(broadcast_if_small(twice, 16), "h").where("doc > first")
     repeats = settled(later.groupBy("doc").agg(F.collect_list("h").alias("repeats")))
     touched = broadcast_if_small(settled(repeats.select("doc")), 8)
-    rows = docs.select("doc_id", _doc(F.col("doc_id")).alias("doc"), F.col("text").cast("binary").alias("text"))
+    rows = _marked(docs, copies, "doc_id")
     nothing = F.array().cast("array<long>").alias("repeats")
     own = [
-        rows.join(touched, "doc", "left_anti").select("doc_id", "text", nothing),
-        rows.join(touched, "doc", "left_semi").join(repeats, "doc").select("doc_id", "text", "repeats"),
+        rows.join(touched, "doc", "left_anti").select("doc_id", "text", "is_copy", nothing),
+        rows.join(touched, "doc", "left_semi").join(repeats, "doc").select("doc_id", "text", "is_copy", "repeats"),
     ]
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text binary" * with_text
@@ -192,12 +204,14 @@ def without_repeats(
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, repeated in zip(batch.column("text"), batch.column("repeats"), strict=True):
-                words, left = split_words(text.as_py()), None
-                if len(repeated):
-                    gone = covered(words, repeated.values.to_numpy().view(np.uint64), window) if len(words) >= window else ()
-                    left = [w for w, g in zip(words, gone, strict=True) if not g] if len(gone) else words
-                kept = words if left is None else left
+            copied = batch.column("is_copy").to_pylist()
+            for text, repeated, is_copy in zip(batch.column("text"), batch.column("repeats"), copied, strict=True):
+                kept = words = split_words(text.as_py())
+                if is_copy and len(words) >= window:
+                    kept = []
+                elif len(repeated) and len(words) >= window:
+                    gone = covered(words, repeated.values.to_numpy().view(np.uint64), window)
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 joined = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined))
             n, removed, sha, joined = zip(*out, strict=True) if out else ((), (), (), ())
