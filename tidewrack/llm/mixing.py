@@ -32,8 +32,8 @@ def shape_topic(text: Column) -> Column:
 def tempered_shares(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """(margin, share): present shares of tokens raised to `power` and made to sum to one."""
     sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("t"))
-    everything = sums.agg(F.sum("t").alias("all"))
-    return sums.join(F.broadcast(everything)).select(margin, (F.col("t") / F.col("all")).alias("share"))
+    everything = sums.agg(F.sum("t").alias("all")).scalar()
+    return sums.withColumn("all", everything).select(margin, (F.col("t") / F.col("all")).alias("share"))
 
 
 def _joined(cells: DataFrame, other: DataFrame, on: tuple[str, ...], how: str = "inner") -> DataFrame:
