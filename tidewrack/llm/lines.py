@@ -16,55 +16,70 @@ from tidewrack.llm.common import broadcast_if_small, settled
 BUCKETS = 1 << 17
 BLANK = r"[ \t-\r]+"
 HASH_BITS = 57
+#: Lines of so many tokens carry a second signature.
+LONG = 80
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(text, BLANK)), "")
+def _split(text: Column) -> Column:
+    return F.split(text, BLANK)
 
 
-def rarity_classes(docs: DataFrame) -> bytes:
-    """How often the tokens of each hash bucket occur in all texts: a byte each, 0 (rare) to 63."""
-    tokens = docs.select(F.explode(F.split("text", BLANK)).alias("w")).where("w <> ''")
-    counted = tokens.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
-    classes = bytearray(BUCKETS)
+def rarity_classes(docs: DataFrame) -> Column:
+    """How often the tokens of each hash bucket occur in all texts: an array of classes from 0 (rare)
+    to 63, each in the bits above a token's hash."""
+    tokens = docs.select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
+    counted = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+    classes = ["0"] * BUCKETS
     for row in counted.collect():  # at most BUCKETS rows
-        classes[row["b"]] = min(63, int(1.5 * math.log2(row["count"] + 1)))
-    return bytes(classes)
+        classes[row["b"]] = str(min(63, int(1.5 * math.log2(row["count"] + 1))) << HASH_BITS)
+    # One text that Spark folds into a constant array.
+    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
-def _coder(classes: bytes):
-    """From a word to its code."""
-    table = F.lit(bytearray(classes))
+def _codes(content: Column, classes: Column) -> Column:
+    """The set of tokens of a line, rare ones first: rarity class above 57 bits of the token's hash."""
+    words = F.array_distinct(F.transform(F.array_remove(_split(content), ""), lambda w: F.xxhash64(w)))
+    code = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(
+        F.shiftrightunsigned(h, 64 - HASH_BITS)
+    )
+    return F.sort_array(F.transform(words, code))
+
+
+def _parity(codes: Column) -> Column:
+    """64 bits, each the parity of the tokens that hash to it: sets differ by at least as many tokens
+    as their parities differ by bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(
+        F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))
+    ))
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        bucket = F.pmod(h, F.lit(BUCKETS)).cast("int") + 1
-        rare = F.ascii(F.substring(table, bucket, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rare, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    return code
+def _second_parity(codes: Column) -> Column:
+    """The same of half of the tokens, for long lines; null for short ones."""
+    return F.when(F.size(codes) >= LONG, _parity(F.filter(codes, lambda c: c.bitwiseAND(F.lit(64)) != 0)))
 
 
-def line_table(docs: DataFrame, classes: bytes, threshold: float) -> DataFrame:
-    """(doc, text_hash, line, key, n, prefix) of every line that has tokens.
+def line_table(docs: DataFrame, classes: Column, threshold: float) -> DataFrame:
+    """(doc, text_hash, line, key, n, parity, prefix) of every line that has tokens.
 
-    `doc` is the id, the largest long if null. A token's code is its rarity class above its hash, so
-    ascending codes are the common order of all lines. `key` tells the set of tokens, `prefix` holds
-    its first codes: sets as similar as the threshold share a token of their prefixes.
+    `doc` is the id, the largest long if null. `key` tells the set of tokens, `prefix` holds the
+    hashes of its first tokens in the common order: sets as similar as the threshold share one.
     """
     n = F.size("codes")
     prefix = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    # The lines and their codes are made once each: a generator stands between them and their uses.
     return (
         docs.select(
             F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
             F.xxhash64("text").alias("text_hash"),
             F.posexplode(F.split("text", "\n")).alias("line", "content"),
         )
-        .select("doc", "text_hash", "line", F.sort_array(F.transform(_words(F.col("content")), _coder(classes))).alias("codes"))
+        .select("doc", "text_hash", "line", F.explode(F.array(_codes(F.col("content"), classes))).alias("codes"))
         .where(n > 0)
         .select(
-            "doc", "text_hash", "line", F.xxhash64("codes").alias("key"), n.alias("n"),
-            F.slice("codes", F.lit(1), prefix).alias("prefix"),
+            "doc", "text_hash", "line", F.xxhash64("codes").alias("key"), n.alias("n"), _parity(F.col("codes")).alias("parity"),
+            _second_parity(F.col("codes")).alias("second"),
+            F.transform(F.slice("codes", F.lit(1), prefix), lambda c: F.hash(c)).alias("prefix"),
         )
     )
 
@@ -78,50 +93,60 @@ def _enough(shared: Column, n: Column, m: Column, threshold: float) -> Column:
     return shared / (n + m - shared) >= F.lit(threshold - 1e-12)
 
 
-def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), b earlier, that pass the length and positional filters at some shared token."""
+LINE = ("doc", "line", "n", "parity")
+TOKEN = (*LINE, "second", "i")
+
+
+def _candidates(pairs: DataFrame, threshold: float, counted: bool) -> DataFrame:
+    """Pairs of a line and an earlier one (b_...) with the same token in their prefixes, once each,
+    that pass the length and positional filters and could differ as little as their signatures do.
+
+    With `counted`, `pairs` holds every token that the prefixes share. Of the line whose prefix ends
+    at the rarer token all matches of the prefix are among them, so the overlap is at most their
+    number and what follows that prefix.
+    """
     n, m, i, j = (F.col(c) for c in ("n", "b_n", "i", "b_i"))
-    return pairs.where(
-        (F.col("key") != F.col("b_key"))
-        & (_place("b_") < _place())
+    every, half = F.col("parity").bitwiseXOR(F.col("b_parity")), F.col("second").bitwiseXOR(F.col("b_second"))
+    # Both halves of long lines, if both have them.
+    apart = F.coalesce(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)), F.bit_count(every))
+    possible = pairs.where(
+        (_place("b_") < _place())
         & (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold - 1e-12))
+        & _enough((n + m - apart) / 2, n, m, threshold)
         & _enough(F.least(i, j) + F.least(n - i, m - j), n, m, threshold)
     )
+    once = possible.groupBy(*LINE, *(f"b_{c}" for c in LINE)).agg(F.count("*").alias("shared"))
+    if counted:
+        after = F.greatest(F.ceil(n * F.lit(threshold) - F.lit(1e-9)), F.ceil(m * F.lit(threshold) - F.lit(1e-9))) - 1
+        once = once.where(_enough(F.col("shared") + after, n, m, threshold))
+    return once.drop("shared")
 
 
-def _candidates(pairs: DataFrame, threshold: float) -> DataFrame:
-    """One row per pair: the first shared token bounds the overlap by what follows it in both."""
-    columns = ("key", "doc", "line", "n", "b_key", "b_doc", "b_line", "b_n")
-    once = _possible(pairs, threshold).groupBy(*columns).agg(F.min("i").alias("i"), F.min("b_i").alias("j"))
-    first = 1 + F.least(F.col("n") - F.col("i"), F.col("b_n") - F.col("j"))
-    return once.where(_enough(first, F.col("n"), F.col("b_n"), threshold)).drop("i", "j")
+def _words_at(docs: DataFrame, needed: DataFrame, classes: Column) -> DataFrame:
+    """`needed` (doc, line, n, parity) with the words there; another text there is not taken."""
+    needed = settled(needed)
+    here = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "text")
+    wanted = broadcast_if_small(settled(needed.select("doc").distinct()), 8)
+    lines = here.join(wanted, "doc", "left_semi").select("doc", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    found = (
+        lines.join(broadcast_if_small(needed, 40), ["doc", "line"])
+        .select(*LINE, F.explode(F.array(F.array_remove(F.array_distinct(_split(F.col("t"))), ""))).alias("words"))
+        .where(F.size("words") == F.col("n"))
+    )
+    coded = F.array_distinct(F.transform("words", lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS)))
+    return found.where(_parity(coded) == F.col("parity"))
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, classes: bytes, threshold: float) -> DataFrame:
-    """(key): the sets of `candidates` that are similar, word by word, to their earlier partner."""
+def _verified(docs: DataFrame, candidates: DataFrame, classes: Column, threshold: float) -> DataFrame:
+    """(doc, line, n, parity): the lines of `candidates` similar, word by word, to an earlier partner."""
     pairs = settled(candidates)
-    needed = pairs.select("key", "doc", "line").unionByName(
-        pairs.select(F.col("b_key").alias("key"), F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
-    )
-    by_doc = settled(needed.distinct().groupBy("doc").agg(F.collect_list(F.struct("line", "key")).alias("wanted")))
-    here = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "text")
-    some = here.join(broadcast_if_small(by_doc, 160), "doc")
-    fetched = (
-        some.select(F.split("text", "\n").alias("lines"), "wanted")
-        .select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get("lines", w["line"]).alias("t")))).alias("x"))
-        .select("x.key", _words(F.col("x.t")).alias("words"))
-    )
-    # Another row of the same doc_id may have another text there: the set has to be the wanted one.
-    hashed = F.xxhash64(F.sort_array(F.transform("words", _coder(classes))))
-    words = settled(
-        fetched.where(F.col("words").isNotNull()).where(hashed == F.col("key")).dropDuplicates(["key"])
-    )
-    own = words.select("key", F.col("words").alias("w"))
-    other = words.select(F.col("key").alias("b_key"), F.col("words").alias("b_w"))
-    shared = F.size(F.array_intersect("w", "b_w"))
-    joined = pairs.select("key", "b_key").join(own, "key").join(other, "b_key")
-    similar = shared / (F.size("w") + F.size("b_w") - shared) >= F.lit(threshold)
-    return settled(joined.where(similar).select("key").distinct())
+    others = pairs.select(*(F.col(f"b_{c}").alias(c) for c in LINE))
+    words = settled(_words_at(docs, pairs.select(*LINE).unionByName(others).distinct(), classes))
+    other = words.select(*(F.col(c).alias(f"b_{c}") for c in LINE), F.col("words").alias("b_words"))
+    joined = pairs.join(words, list(LINE)).join(other, [f"b_{c}" for c in LINE])
+    shared = F.size(F.array_intersect("words", "b_words"))
+    similar = shared / (F.col("n") + F.col("b_n") - shared) >= F.lit(threshold)
+    return settled(joined.where(similar).select(*LINE).distinct())
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -137,36 +162,30 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         .select("key", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
     )
     # One line stands for all that have its set: the earliest.
-    earliest = F.col("first_doc").isNull() | (
-        (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
+    later = (F.col("doc") > F.col("first_doc")) | (
+        (F.col("doc") == F.col("first_doc")) & (F.col("line") > F.col("first_line"))
     )
-    stands = table.join(broadcast_if_small(copies, 48), "key", "left").where(earliest)
+    stands = table.join(broadcast_if_small(copies, 48), "key", "left").where(~F.coalesce(later, F.lit(False)))
     tokens = (
-        stands.select("key", "doc", "line", "n", F.posexplode("prefix").alias("i", "token"))
-        .select("token", "key", "doc", "line", "n", (F.col("i") + 1).alias("i"))
+        stands.select(*LINE, "second", F.posexplode("prefix").alias("i", "token"))
+        .select("token", *LINE, "second", (F.col("i") + 1).alias("i"))
         .repartition("token")
     )
     # First against the earliest line of each token: that settles most of a group of near copies
     # without pairing its members.
-    names = ("key", "doc", "line", "n", "i")
     heads = (
-        tokens.groupBy("token").agg(
-            F.count("*").alias("c"), F.min(F.struct("doc", "line", "key", "n", "i")).alias("b")
-        )
-        .where("c > 1").select("token", "c", *(F.col(f"b.{x}").alias(f"b_{x}") for x in names))
+        tokens.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(*TOKEN)).alias("b")).where("c > 1")
+        .select("token", *(F.col(f"b.{x}").alias(f"b_{x}") for x in TOKEN))
     )
-    shared = settled(tokens.join(heads, "token"))
-    once = _verified(docs, _candidates(shared, threshold), classes, threshold)
+    once = _verified(docs, _candidates(tokens.join(heads, "token"), threshold, False), classes, threshold)
     # Then what is left against all earlier lines of its tokens.
-    crowd = shared.where("c > 2").select("token", *names, "b_key")
-    left = crowd.join(broadcast_if_small(once, 16), "key", "left_anti")
-    earlier = crowd.where("key <> b_key").select("token", *(F.col(x).alias(f"b_{x}") for x in names))
-    again = _verified(docs, _candidates(left.drop("b_key").join(earlier, "token"), threshold), classes, threshold)
+    left = stands.join(broadcast_if_small(once, 32), list(LINE), "left_anti")
+    asking = left.select(*LINE, "second", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+    earlier = tokens.select("token", *(F.col(x).alias(f"b_{x}") for x in TOKEN))
+    again = _verified(docs, _candidates(asking.join(earlier, "token"), threshold, True), classes, threshold)
     similar = once.unionByName(again).distinct().withColumn("similar", F.lit(True))
-    gone = settled(copies.join(similar, "key", "full"))
-    later = (F.col("doc") > F.col("first_doc")) | (
-        (F.col("doc") == F.col("first_doc")) & (F.col("line") > F.col("first_line"))
-    )
+    found = stands.select("key", *LINE).join(broadcast_if_small(settled(similar), 32), list(LINE)).select("key", "similar").distinct()
+    gone = settled(copies.join(found, "key", "full"))
     hit = table.select("key", "doc", "text_hash", "line").join(broadcast_if_small(gone, 56), "key")
     return settled(
         hit.where(F.coalesce("similar", F.lit(False)) | later)
@@ -190,17 +209,17 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     here = (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)) == F.col("__doc")) & (
         F.xxhash64("text") == F.col("__hash")
     )
-    split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
     changed = F.col("__gone").isNotNull()
     out = (
-        docs.join(broadcast_if_small(named, 64), here, "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)))
+        docs.withColumn("__lines", F.split("text", "\n"))
+        .join(broadcast_if_small(named, 64), here, "left")
+        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")))
         .withColumn("n_removed", F.when(changed, F.size("__gone")).otherwise(0))
         .withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     )
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("__doc", "__hash", "__gone")
+    return out.drop("__doc", "__hash", "__gone", "__lines")
