@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import broadcast_if_small, settled
 
 #: Token hashes are counted in this many buckets: a fixed table, whatever the vocabulary.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 BLANK = r"[ \t-\r]+"
 HASH_BITS = 57
 #: Lines of so many tokens carry a second signature.
@@ -26,22 +26,21 @@ def _split(text: Column) -> Column:
 
 def rarity_classes(docs: DataFrame) -> Column:
     """How often the tokens of each hash bucket occur in all texts: an array of classes from 0 (rare)
-    to 63, each in the bits above a token's hash."""
+    to 63."""
     tokens = docs.select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
     counted = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     classes = ["0"] * BUCKETS
     for row in counted.collect():  # at most BUCKETS rows
-        classes[row["b"]] = str(min(63, int(1.5 * math.log2(row["count"] + 1))) << HASH_BITS)
+        classes[row["b"]] = str(min(63, int(1.5 * math.log2(row["count"] + 1))))
     # One text that Spark folds into a constant array.
-    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
 def _codes(content: Column, classes: Column) -> Column:
     """The set of tokens of a line, rare ones first: rarity class above 57 bits of the token's hash."""
     words = F.array_distinct(F.transform(F.array_remove(_split(content), ""), lambda w: F.xxhash64(w)))
-    code = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(
-        F.shiftrightunsigned(h, 64 - HASH_BITS)
-    )
+    rare = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    code = lambda h: F.shiftleft(rare(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
     return F.sort_array(F.transform(words, code))
 
 
@@ -97,7 +96,7 @@ LINE = ("doc", "line", "n", "parity")
 TOKEN = (*LINE, "second", "i")
 
 
-def _candidates(pairs: DataFrame, threshold: float, counted: bool) -> DataFrame:
+def _candidates(pairs: DataFrame, threshold: float, asks: Column, counted: bool) -> DataFrame:
     """Pairs of a line and an earlier one (b_...) with the same token in their prefixes, once each,
     that pass the length and positional filters and could differ as little as their signatures do.
 
@@ -109,8 +108,10 @@ def _candidates(pairs: DataFrame, threshold: float, counted: bool) -> DataFrame:
     every, half = F.col("parity").bitwiseXOR(F.col("b_parity")), F.col("second").bitwiseXOR(F.col("b_second"))
     # Both halves of long lines, if both have them.
     apart = F.coalesce(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)), F.bit_count(every))
+    # `asks` is part of one condition with columns of both sides: it is not pushed below the exchange
+    # of one of them, so that both sides stay the same exchange.
     possible = pairs.where(
-        (_place("b_") < _place())
+        F.when(asks, _place("b_") < _place()).otherwise(F.col("b_i") < 0)
         & (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold - 1e-12))
         & _enough((n + m - apart) / 2, n, m, threshold)
         & _enough(F.least(i, j) + F.least(n - i, m - j), n, m, threshold)
@@ -159,30 +160,39 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     table = settled(line_table(docs, classes, threshold))
     copies = settled(
         table.groupBy("key").agg(F.count("*").alias("c"), F.min(_place()).alias("first")).where("c > 1")
-        .select("key", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
+        .select("key", "c", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
     )
     # One line stands for all that have its set: the earliest.
     later = (F.col("doc") > F.col("first_doc")) | (
         (F.col("doc") == F.col("first_doc")) & (F.col("line") > F.col("first_line"))
     )
     stands = table.join(broadcast_if_small(copies, 48), "key", "left").where(~F.coalesce(later, F.lit(False)))
-    tokens = (
-        stands.select(*LINE, "second", F.posexplode("prefix").alias("i", "token"))
-        .select("token", *LINE, "second", (F.col("i") + 1).alias("i"))
-        .repartition("token")
-    )
-    # First against the earliest line of each token: that settles most of a group of near copies
-    # without pairing its members.
+    stands = stands.withColumn("c", F.coalesce("c", F.lit(1)))
+
+    def by_token(rows: DataFrame, *more: str) -> DataFrame:
+        exploded = rows.select(*LINE, "second", *more, F.posexplode("prefix").alias("i", "token"))
+        return exploded.withColumn("i", F.col("i") + 1).repartition("token")
+
+    # First against the earliest and the most copied line of each token: that settles most of a group
+    # of near copies without pairing its members.
+    tokens = by_token(stands, "c")
     heads = (
-        tokens.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(*TOKEN)).alias("b")).where("c > 1")
+        tokens.groupBy("token")
+        .agg(
+            F.count("*").alias("lines"), F.min(F.struct(*TOKEN)).alias("earliest"),
+            F.max(F.struct("c", F.struct(*TOKEN).alias("t")))["t"].alias("copied"),
+        )
+        .where("lines > 1")
+        .select("token", F.explode(F.array_distinct(F.array("earliest", "copied"))).alias("b"))
         .select("token", *(F.col(f"b.{x}").alias(f"b_{x}") for x in TOKEN))
     )
-    once = _verified(docs, _candidates(tokens.join(heads, "token"), threshold, False), classes, threshold)
+    once = _verified(docs, _candidates(tokens.join(heads, "token"), threshold, F.col("c") >= 1, False), classes, threshold)
     # Then what is left against all earlier lines of its tokens.
-    left = stands.join(broadcast_if_small(once, 32), list(LINE), "left_anti")
-    asking = left.select(*LINE, "second", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
-    earlier = tokens.select("token", *(F.col(x).alias(f"b_{x}") for x in TOKEN))
-    again = _verified(docs, _candidates(asking.join(earlier, "token"), threshold, True), classes, threshold)
+    settled_once = once.withColumn("done", F.lit(True))
+    marked = by_token(stands.join(broadcast_if_small(settled_once, 32), list(LINE), "left"), "done")
+    earlier = marked.select("token", *(F.col(x).alias(f"b_{x}") for x in (*TOKEN, "done")))
+    asks = F.col("done").isNull() & (F.col("b_done").isNotNull() | (F.col("b_line") >= 0))
+    again = _verified(docs, _candidates(marked.join(earlier, "token"), threshold, asks, True), classes, threshold)
     similar = once.unionByName(again).distinct().withColumn("similar", F.lit(True))
     found = stands.select("key", *LINE).join(broadcast_if_small(settled(similar), 32), list(LINE)).select("key", "similar").distinct()
     gone = settled(copies.join(found, "key", "full"))
