@@ -88,17 +88,21 @@ class Model:
     def score(self, text: bytes | None) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(*self.join(*features(text, self.s.words))), -30, 30))))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
-        """Logistic loss by AdaGrad over shuffled batches, in `least_steps` or more."""
+    def fit(self, index: np.ndarray, weight: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> None:
+        """Logistic loss by AdaGrad over shuffled batches, in `least_steps` or more.
+
+        The features of all rows stand one after the other; `ends` says where each row's end.
+        """
+        starts_of = np.concatenate([[0], ends[:-1]])
         s, rng = self.s, np.random.default_rng(self.s.seed)
         gw, gv, g0 = np.full(len(self.w), 1e-2), np.full(self.v.shape, 1e-2), 1e-2
-        for _ in range(max(s.epochs, -(-s.least_steps * s.batch // max(1, len(rows))))):
-            order = rng.permutation(len(rows))
+        for _ in range(max(s.epochs, -(-s.least_steps * s.batch // max(1, len(ends))))):
+            order = rng.permutation(len(ends))
             for at in range(0, len(order), s.batch):
                 batch = order[at : at + s.batch]
-                i = np.concatenate([rows[b][0] for b in batch])
-                x = np.concatenate([rows[b][1] for b in batch])
-                starts = np.cumsum([0] + [len(rows[b][0]) for b in batch[:-1]])
+                i = np.concatenate([index[starts_of[b] : ends[b]] for b in batch])
+                x = np.concatenate([weight[starts_of[b] : ends[b]] for b in batch]).astype(float)
+                starts = np.cumsum([0, *(ends[batch] - starts_of[batch])[:-1]])
                 row = np.repeat(np.arange(len(batch)), np.diff(np.append(starts, len(i))))
                 vx = self.v[i] * x[:, None]
                 total = np.add.reduceat(vx, starts)
@@ -167,11 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return Model(s, np.zeros((len(statistics(b"", [], Counter())), BINS)))
     stats = np.stack([x.values.to_numpy() for x in taken.column("stats")])
     model = Model(s, np.quantile(stats, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T)
-    each = zip(taken.column("words"), taken.column("weights"), stats, strict=True)
-    model.fit(
-        [model.join(i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(float), t) for i, x, t in each],
-        taken.column("quality").to_numpy().astype(float),
-    )
+    # Joined in single precision into a few large arrays, which go back to the system after the fit.
+    sizes = np.array([len(w) for w in taken.column("words")]) + stats.shape[1]
+    ends = np.cumsum(sizes)
+    index, weight = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    for w, x, t, a, b in zip(taken.column("words"), taken.column("weights"), stats, ends - sizes, ends, strict=True):
+        index[a:b], weight[a:b] = model.join(w.values.to_numpy(), x.values.to_numpy(), t)
+    quality = taken.column("quality").to_numpy().astype(float)
+    del taken, w, x
+    pa.default_memory_pool().release_unused()
+    model.fit(index, weight, ends, quality)
     return model
 
 
