@@ -104,3 +104,18 @@ def test_graph_search_equals_exhaustive_on_small_graphs():
     hits = sum(len(set(a[:5]) & set(b)) for a, b in zip(nodes.tolist(), true.tolist(), strict=True))
     assert hits >= 240
     assert (np.diff(d, axis=1) >= 0).all()
+
+
+def test_visited_lists_grow_with_their_number(spark):
+    rng = np.random.default_rng(12)
+    x = rng.uniform(-1, 1, size=(6000, 24)).astype(np.float32)
+    s = ann.Settings(list_rows=10, beam=64, probe_ratio=1.35)
+    assert recall(spark, x, s) >= 0.95
+    x[1] *= 1000  # all lifted distances become alike
+    assert recall(spark, x, s) >= 0.95
+
+
+def test_short_lists_still_give_k_rows(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    recall(spark, x, ann.Settings(list_rows=2, beam=4, probe_ratio=1.0))

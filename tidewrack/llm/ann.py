@@ -19,8 +19,9 @@ class Settings:
 
     sample_rows bounds the rows the centroids are fitted on, max_lists the centroids (both are
     driver and broadcast memory); every row is indexed. A row joins up to `replicas` lists whose
-    distance is within `boundary` times its nearest. A query visits the lists within `probe_ratio`
-    times its nearest, of the `beam` nearest that the graph search finds.
+    distance is within `boundary` times its nearest. A query visits all lists within `probe_ratio`
+    times its nearest, and further ones until they hold enough rows. The graph search finds the
+    `beam` nearest; where they do not reach the ratio, the query is compared with all centroids.
     """
 
     list_rows: int = 512
@@ -132,6 +133,41 @@ def lists_of(graph: CentroidGraph, points: np.ndarray, beam: int, ratio: float,
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def lists_within(
+    graph: CentroidGraph, points: np.ndarray, beam: int, ratio: float, held: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: all lists of each point within `ratio` times its nearest, and further ones,
+    nearest first, until they hold `least` rows (list i holds held[i]) or no list is left."""
+    rows, lists = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)]
+
+    def keep(at: np.ndarray, nodes: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Adds what the points `at` visit of these nodes; False where further nodes could be visited."""
+        has = np.where(np.isfinite(d), held[nodes], 0)
+        near = ((d <= ratio * d[:, :1] + 1e-12) | (np.cumsum(has, axis=1) - has < least)) & np.isfinite(d)
+        whole = ~near[:, -1] if nodes.shape[1] < len(held) else np.ones(len(at), dtype=bool)
+        r, c = np.nonzero(near & whole[:, None])
+        rows.append(at[r])
+        lists.append(nodes[r, c])
+        return whole
+
+    for lo in range(0, len(points), 512):
+        some = points[lo : lo + 512]
+        nodes, d = graph.search(some, beam)
+        # An infinite distance is a node not reached: the search stopped short of the beam.
+        reached = np.isfinite(d).all(axis=1)
+        at = np.arange(len(some))
+        open_at = at[~reached]
+        done = keep(lo + at[reached], nodes[reached], d[reached])
+        open_at = np.concatenate([open_at, at[reached][~done]])
+        if len(open_at):
+            far = some[open_at]
+            every = (far * far).sum(1)[:, None] + graph.norms - 2 * far @ graph.centroids.T
+            every = np.sqrt(np.maximum(every, 0))
+            order = np.argsort(every, axis=1, kind="stable")
+            keep(lo + open_at, order, np.take_along_axis(every, order, axis=1))
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, summed from the first component to the last in doubles."""
     total = np.zeros(len(a))
@@ -174,7 +210,7 @@ def nearest(
     is indexed under its nearest list and, near a boundary, under a further one. A task searches a
     bundle of lists; larger ones are dealt into segments and the queries into blocks of bounded
     size, so a list that holds a third of all rows is searched by many tasks. A query gives k rows
-    per bundle. Scores are products of the original vectors.
+    per bundle; how many lists it visits has no bound but their number. Scores are products of the original vectors.
 
     Null, zero and empty vectors, vectors with a null or non-finite component and rows without an
     id take no part; neither do vectors of another dimension than the most frequent one. An id that
@@ -218,6 +254,8 @@ def nearest(
     held = np.zeros(len(centroids), dtype=np.int64)
     for r in postings.groupBy("list").count().collect():
         held[r["list"]] = r["count"]
+    # A row is in up to `replicas` lists, and a query does not count itself.
+    least, ratio = s.replicas * (k + 1), s.probe_ratio
     bundle_of = (np.cumsum(held) - held) // s.task_rows
     rows_of = np.bincount(bundle_of, weights=held)
     segments_of = np.maximum(1, np.ceil(rows_of / s.task_rows)).astype(int)
@@ -233,7 +271,7 @@ def nearest(
         for batch in batches:
             if len(batch):
                 v = np.stack(batch["v"].to_numpy())
-                rows, found = lists_of(graph, np.hstack([v, np.zeros((len(v), 1))]), s.beam, s.probe_ratio, s.beam)
+                rows, found = lists_within(graph, np.hstack([v, np.zeros((len(v), 1))]), s.beam, ratio, held, least)
                 visits = pd.DataFrame({"row": rows, "list": found, "bundle": bundle_of[found]})
                 lists = visits.groupby(["row", "bundle"])["list"].agg(list).reset_index()
                 out = batch.iloc[lists["row"]].reset_index(drop=True)
