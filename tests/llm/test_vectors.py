@@ -119,3 +119,9 @@ def test_short_lists_still_give_k_rows(spark):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(400, 8)).astype(np.float32)
     recall(spark, x, ann.Settings(list_rows=2, beam=4, probe_ratio=1.0))
+
+
+def test_the_ratio_follows_the_vectors(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 6)).astype(np.float32)
+    assert recall(spark, x, ann.Settings(list_rows=16, boundary=1.0)) >= 0.95

@@ -22,6 +22,8 @@ class Settings:
     distance is within `boundary` times its nearest. A query visits all lists within `probe_ratio`
     times its nearest, and further ones until they hold enough rows. The graph search finds the
     `beam` nearest; where they do not reach the ratio, the query is compared with all centroids.
+    Without a given `probe_ratio` it is the smallest one, of a few, that gives a sample of some
+    `judged_queries` queries the `recall` against all rows.
     """
 
     list_rows: int = 512
@@ -31,7 +33,9 @@ class Settings:
     boundary: float = 1.1
     index_beam: int = 12
     beam: int = 128
-    probe_ratio: float = 1.09
+    probe_ratio: float | None = None
+    recall: float = 0.98
+    judged_queries: int = 256
     degree: int = 16
     task_rows: int = 16_384
     task_queries: int = 4_096
@@ -195,6 +199,59 @@ def best_in_list(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
     return pd.concat(found)
 
 
+def measured_ratio(
+    clean: DataFrame, postings: DataFrame, graph: CentroidGraph, held: np.ndarray, k: int, query_every: int, s: Settings
+) -> float:
+    """The distance ratio that gives a bounded sample of queries the wanted recall against all rows.
+
+    The sample's true neighbours are searched in one pass over all rows. A neighbour is found from
+    the ratio on at which one of its lists is visited; ratios are tried upwards by the lists the
+    search really visits, the last one visits all.
+    """
+    asked = clean.where(F.col("vec_id") % query_every == 0)
+    rows = asked.orderBy(F.xxhash64("vec_id", F.lit(s.seed + 1)), "vec_id").limit(s.judged_queries).collect()
+    if not rows:
+        return 1.0
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    sent = clean.sparkSession.sparkContext.broadcast((ids, v))  # at most judged_queries rows
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, v = sent.value
+        held_best = None
+        for batch in batches:
+            if len(batch):
+                best = best_in_list(ids, v, batch["vec_id"].to_numpy(), np.stack(batch["v"].to_numpy()), k)
+                best = pd.concat([held_best, best]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                held_best = best[best.groupby("query_id").cumcount() < k]
+        if held_best is not None:
+            yield held_best
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = (
+        clean.mapInPandas(compare, "query_id long, vec_id long, score double")
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+    )
+    # At most k neighbours of each judged query, each in up to `replicas` lists.
+    pairs = postings.join(F.broadcast(settled(true)), "vec_id").select("query_id", "vec_id", "list").toPandas()
+    if not len(pairs):
+        return 1.0
+    points = np.hstack([v, np.zeros((len(v), 1))])
+    at = pairs["query_id"].map({q: i for i, q in enumerate(ids.tolist())}).to_numpy()
+    every = np.sqrt(np.maximum((points * points).sum(1)[:, None] + graph.norms - 2 * points @ graph.centroids.T, 0))
+    lists = pairs["list"].to_numpy()
+    needed = every[at, lists] / np.maximum(every.min(axis=1)[at], 1e-300)
+    needed = pairs.assign(needed=needed).groupby(["query_id", "vec_id"])["needed"].min().to_numpy()
+    for part in np.linspace(s.recall, 1.0, 5):
+        ratio = float(np.quantile(needed, part, method="higher")) * (1 + 1e-9)
+        row, visited = lists_within(graph, points, s.beam, ratio, held, s.replicas * (k + 1))
+        seen = np.zeros(every.shape, dtype=bool)
+        seen[row, visited] = True
+        if pairs.assign(found=seen[at, lists]).groupby(["query_id", "vec_id"])["found"].any().mean() >= s.recall:
+            return ratio
+    return float("inf")
+
+
 def nearest(
     embeddings: DataFrame,
     k: int = 20,
@@ -210,7 +267,8 @@ def nearest(
     is indexed under its nearest list and, near a boundary, under a further one. A task searches a
     bundle of lists; larger ones are dealt into segments and the queries into blocks of bounded
     size, so a list that holds a third of all rows is searched by many tasks. A query gives k rows
-    per bundle; how many lists it visits has no bound but their number. Scores are products of the original vectors.
+    per bundle; how many lists it visits has no bound but their number; the
+    ratio that ends its search is measured on each run, see `measured_ratio`. Scores are products of the original vectors.
 
     Null, zero and empty vectors, vectors with a null or non-finite component and rows without an
     id take no part; neither do vectors of another dimension than the most frequent one. An id that
@@ -256,6 +314,8 @@ def nearest(
         held[r["list"]] = r["count"]
     # A row is in up to `replicas` lists, and a query does not count itself.
     least, ratio = s.replicas * (k + 1), s.probe_ratio
+    if ratio is None:
+        ratio = measured_ratio(clean, postings, CentroidGraph(centroids, links), held, k, query_every, s)
     bundle_of = (np.cumsum(held) - held) // s.task_rows
     rows_of = np.bincount(bundle_of, weights=held)
     segments_of = np.maximum(1, np.ceil(rows_of / s.task_rows)).astype(int)
