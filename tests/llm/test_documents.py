@@ -307,6 +307,24 @@ def test_scores_per_document(documents):
     assert np.mean(usual) > -np.log(masked.CODES)
 
 
+def test_words_outside_the_vocabulary_have_their_own_probability(documents):
+    own = [f"v{i}" for i in range(masked.CODES - masked.SHARED)]
+    rare = [f"r{i}" for i in range(3000)]
+    # each word is a text of its own; frequent ones occur five times more, every second rare one once more
+    rows = [(i, w) for i, w in enumerate(own + rare)]
+    rows += [(100_000 + i, " ".join(own[i::100] * 5)) for i in range(100)]
+    rows += [(200_000, " ".join(rare[::2]))]
+    got = {r.doc_id: r.log_likelihood for r in masked.pseudo_likelihood(documents(rows)).collect()}
+    alone = {w: np.exp(got[i]) for i, w in enumerate(own + rare)}
+    assert sum(alone.values()) == pytest.approx(1.0, abs=0.02)
+    groups = {}
+    for i, w in enumerate(rare):
+        groups.setdefault(zlib.crc32(w.encode()) % masked.SHARED, []).append((alone[w], 1 + (i % 2 == 0)))
+    for group in groups.values():
+        for p, n in group:
+            assert p / group[0][0] == pytest.approx(n / group[0][1], rel=1e-5)
+
+
 def test_models_are_averaged_by_their_words(spark):
     rows = [(p, b, float(w), np.full(4, v, np.float32).tobytes()) for p, w, v in ((0, 1, 1.0), (70, 3, 5.0)) for b in (0, 1)]
     mean = masked._averaged(spark.createDataFrame(rows, masked.TRAINED))

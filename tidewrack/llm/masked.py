@@ -46,9 +46,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
+def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray, DataFrame]:
     """The most frequent words of all documents (ties in byte order), for all codes that are not
-    shared, and how often each code occurs (shared codes by equal parts)."""
+    shared, how often each code occurs, and (word, log_share) of all other words: the log of a
+    word's part of the occurrences of its shared code."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -66,12 +67,19 @@ def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
             yield pa.RecordBatch.from_arrays([words[at : at + 20_000], counts[at : at + 20_000]], names=["word", "n"])
 
     counted = settled(_texts(docs).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     best = counted.orderBy(F.desc("n"), "word").limit(CODES - SHARED).collect()  # at most CODES words
     counts = np.zeros(CODES)
     counts[: len(best)] = [r["n"] for r in best]
-    counts[CODES - SHARED :] = (total - counts.sum()) / SHARED
-    return [bytes(r["word"]) for r in best], counts
+    rest = counted.where(F.lit(False))
+    if len(best) == CODES - SHARED:
+        n, word = F.lit(best[-1]["n"]), F.lit(bytearray(best[-1]["word"]))
+        rest = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    rest = rest.withColumn("code", CODES - SHARED + F.crc32("word") % SHARED)
+    shared = settled(rest.groupBy("code").agg(F.sum("n").alias("code_n")))  # at most SHARED rows
+    for r in shared.collect():
+        counts[r["code"]] = r["code_n"]
+    shares = rest.join(F.broadcast(shared), "code").select("word", F.log(F.col("n") / F.col("code_n")).alias("log_share"))
+    return [bytes(r["word"]) for r in best], counts, settled(shares)
 
 
 class Codes(dict):
@@ -226,17 +234,19 @@ def _averaged(trained: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
 
 
+RARE = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 TRAINED = "part int, block int, weight double, values binary"
 
 
-def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[bytes], Network | None]:
-    """The vocabulary of all documents, and the network trained on every word of them.
+def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[bytes], DataFrame, Network | None]:
+    """The vocabulary of all documents, the shares of the words outside it, and the network trained
+    on every word of them.
 
     Each partition trains a copy on its documents; the copies are averaged, and the next round goes
     on from the mean with the next share of the documents. None if there are no words.
     """
     s, spark = settings, docs.sparkSession
-    words, counts = vocabulary(docs)
+    words, counts, shares = vocabulary(docs)
     network, learned = Network(s), False
     network.begin_with(counts)
     for turn in range(s.rounds):
@@ -270,7 +280,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[bytes]
         if mean is not None:
             network.load(mean)
             learned = True
-    return words, network if learned else None
+    return words, shares, network if learned else None
 
 
 def pseudo_likelihood(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -278,12 +288,15 @@ def pseudo_likelihood(docs: DataFrame, settings: Settings = Settings()) -> DataF
 
     log_likelihood is the sum, over all words of the whole text, of the natural log of the
     probability the network gives the word from the words on both sides of it. Words are lower-cased
-    (A-Z) runs between white space; rare ones share codes, so theirs is the probability of the code.
+    (A-Z) runs between white space. Rare ones share codes; the probability of the code is divided
+    among its words by their counts in all of `docs`, which stay in Spark. A word has been counted
+    if it is scored, so none is unseen.
     Null, empty and blank texts have no words, a sum of zero and no mean. Repeated rows score alike.
     Other columns are not used.
     """
-    words, network = train(docs, settings)
+    words, shares, network = train(docs, settings)
     s = settings
+    own_codes = CODES - SHARED
     sent = docs.sparkSession.sparkContext.broadcast((words, None if network is None else network.flat()))  # fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +306,12 @@ def pseudo_likelihood(docs: DataFrame, settings: Settings = Settings()) -> DataF
             own.load(flat)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                some = [codes.of(words_of(t.as_py())) for t in batch.column("text")[lo : lo + 256]]
+                split = [words_of(t.as_py()) for t in batch.column("text")[lo : lo + 256]]
+                some = [codes.of(w) for w in split]
+                rare = [
+                    list(Counter(w[i] for i in np.flatnonzero(c >= own_codes)).items())
+                    for w, c in zip(split, some, strict=True)
+                ]
                 stream, at = _stream(some, s.reach)
                 each = [own.log_probabilities(stream, at[a : a + 8192]) for a in range(0, len(at), 8192)]
                 ends = np.cumsum([len(c) for c in some])
@@ -302,11 +320,30 @@ def pseudo_likelihood(docs: DataFrame, settings: Settings = Settings()) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[lo : lo + 256], pa.array([len(c) for c in some], pa.int64()), pa.array(total),
+                        pa.array([[{"word": w, "times": n} for w, n in r] for r in rare], RARE),
                     ],
-                    names=["doc_id", "n_words", "log_likelihood"],
+                    names=["doc_id", "n_words", "code_likelihood", "rare"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    scored = rows.mapInArrow(score, f"doc_id {kind}, n_words long, log_likelihood double")
-    return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    shape = f"doc_id {kind}, n_words long, code_likelihood double, rare array<struct<word: binary, times: long>>"
+    scored = settled(rows.mapInArrow(score, shape).withColumn("row", F.monotonically_increasing_id()))
+    # A rare word makes up a small part of all words, so no key of this join is hot.
+    parts = (
+        scored.select("row", F.explode("rare").alias("r"))
+        .select("row", "r.word", "r.times")
+        .join(shares, "word")
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_list(F.col("times") * F.col("log_share"))).alias("parts"))
+        .select("row", F.aggregate("parts", F.lit(0.0), lambda t, x: t + x).alias("divided"))
+    )
+    return (
+        scored.drop("rare")
+        .join(parts, "row", "left")
+        .withColumn("log_likelihood", F.col("code_likelihood") + F.coalesce("divided", F.lit(0.0)))
+        .select(
+            "doc_id", "n_words", "log_likelihood",
+            F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"),
+        )
+    )
