@@ -196,6 +196,23 @@ def test_mixing_equals_plain_raking(spark):
     assert mixing.keep_mixed(docs.where("text is null")).count() == 1
 
 
+def test_a_rare_cell_does_not_shrink_the_corpus(spark, tmp_path):
+    from tidewrack.llm import queries
+
+    rows = [(i, "a b c " * 200, "en" if i % 4 else "de", "hot" if i % 5 else "cool", 0) for i in range(3000)]
+    rows += [(9000, "one", None, "rare", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_mixed_sources(spark, str(tmp_path)).collect()
+    total = sum(r.tokens for r in got)
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(mixing.KEEP * total, rel=1e-6)
+    assert sum(r.tokens for r in got if r.kept) > 0.9 * mixing.KEEP * total
+    by = {(r.source, r.lang): r.probability for r in got}
+    assert by["rare", None] == 1.0 and by["cool", "en"] > by["hot", "en"]
+    kept = mixing.keep_mixed(docs, keep=mixing.KEEP)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
+
+
 # -- classifier -------------------------------------------------------------------------------------
 
 

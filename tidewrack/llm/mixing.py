@@ -87,13 +87,40 @@ def raked(
     return cells.drop(*(f"want_{m}" for m in targets))
 
 
+def scale_for(cells: DataFrame, keep: float | None) -> float:
+    """The factor c at which min(1, c * ratio) keeps the share `keep` of the tokens in expectation.
+
+    It is at least the one that brings the largest ratio to one, which clips no cell; without a
+    `keep` it is that one. What clipped cells cannot give goes to the others in proportion. Each
+    round clips more cells, until a round clips no further one; only sums come to the driver.
+    """
+    most, tokens = cells.agg(F.max("ratio"), F.sum("tokens")).first()
+    if not most:
+        return 1.0
+    exact = scale = 1.0 / most
+    while keep is not None:
+        full = F.col("ratio") * F.lit(scale) >= 1
+        held, open_weight = cells.agg(
+            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)),
+        ).first()
+        wider = (keep * tokens - held) / open_weight if open_weight > 0 else 0.0
+        if wider <= scale * (1 + 1e-9):
+            break
+        scale = wider
+    return max(exact, scale)
+
+
 def calibrated(
-    docs: DataFrame, powers: dict[str, float], topic: Column | None = None, targets: dict[str, DataFrame] | None = None
-) -> tuple[DataFrame, DataFrame]:
+    docs: DataFrame, powers: dict[str, float], topic: Column | None = None,
+    targets: dict[str, DataFrame] | None = None, keep: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The rows of `docs` with their margins and tokens, and (margins, probability) of each cell.
 
-    A cell's probability is its raked weight per token, divided by the largest such ratio: so the
-    expected tokens kept have the target shares exactly, and no probability is above one.
+    A cell's probability is its raked weight per token, times one factor and at most one. Without
+    `keep` the factor makes the largest probability one: the expected tokens kept have the target
+    shares exactly, but the rarest cell sets how much is kept. With `keep` it is raised until that
+    share of the tokens is kept; cells that are whole before that stay below their target.
     """
     text = F.col("text")
     rows = docs.select(
@@ -105,17 +132,20 @@ def calibrated(
     cells = settled(rows.where("tokens > 0").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     wanted = targets or {m: settled(tempered_shares(cells, m, powers[m])) for m in MARGINS}
     done = raked(cells, wanted).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    most = done.agg(F.max("ratio")).first()[0] or 1.0
-    return rows, settled(done.select(*MARGINS, (F.col("ratio") / F.lit(most)).alias("probability")))
+    done = settled(done)
+    probability = F.least(F.lit(1.0), F.col("ratio") * F.lit(scale_for(done, keep)))
+    return rows, settled(done.select(*MARGINS, probability.alias("probability")))
 
 
 #: Present shares to the power of these make the targets: a dominant source is cut down most.
 POWERS = {"source": 0.5, "lang": 0.8, "topic": 0.8}
+#: At least this share of the tokens is kept by the query and the pipeline.
+KEEP = 0.5
 
 
 def mixed(
     docs: DataFrame, powers: dict[str, float] = POWERS, seed: int = 7, topic: Column | None = None,
-    targets: dict[str, DataFrame] | None = None,
+    targets: dict[str, DataFrame] | None = None, keep: float | None = None,
 ) -> DataFrame:
     """(doc_id, text_hash, source, lang, topic, tokens, probability, kept) per row of `docs`.
 
@@ -124,7 +154,7 @@ def mixed(
     languages are values of their own. Texts without words weigh nothing and are kept by the largest
     probability, one. An empty table gives no rows. Other columns are not used.
     """
-    rows, cells = calibrated(docs, powers, topic, targets)
+    rows, cells = calibrated(docs, powers, topic, targets, keep)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 11) / F.lit(float(1 << 53))
     return (
         _joined(rows, broadcast_if_small(cells, 100), MARGINS, "left")
@@ -133,10 +163,12 @@ def mixed(
     )
 
 
-def keep_mixed(docs: DataFrame, powers: dict[str, float] = POWERS, seed: int = 7) -> DataFrame:
+def keep_mixed(
+    docs: DataFrame, powers: dict[str, float] = POWERS, seed: int = 7, keep: float | None = None
+) -> DataFrame:
     """The rows of `docs` that `mixed` keeps, with their columns."""
     own = [f"__{c}" for c in MARGINS]
-    _, cells = calibrated(docs, powers)
+    _, cells = calibrated(docs, powers, keep=keep)
     named = cells.select(*(F.col(c).alias(o) for c, o in zip(MARGINS, own, strict=True)), F.col("probability").alias("__p"))
     here = docs.withColumn("__t", shape_topic(F.col("text"))).withColumn("__n", word_count(F.col("text")))
     same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(("source", "lang", "__t"), own, strict=True)]

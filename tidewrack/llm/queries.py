@@ -43,7 +43,7 @@ def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixed(table(spark, folder, "documents")).drop("text_hash")
+    return mixing.mixed(table(spark, folder, "documents"), keep=mixing.KEEP).drop("text_hash")
 
 
 def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
