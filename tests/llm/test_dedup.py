@@ -158,6 +158,35 @@ def test_components_of_a_long_path(spark):
     assert {r.node: r.label for r in got} == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000, 1002: 1000}
 
 
+def test_the_pipeline_drops_what_is_alike_by_verified_shingles(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for i in range(300):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(200)]
+        near = list(base)
+        for at in rng.sample(range(10, 190, 10), rng.choice([2, 4, 4])):
+            near[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        pairs.append(simhash.jaccard(*(simhash.shingle_set(t.encode(), 5) for _, t in rows[-2:])))
+    rows += [(5000, None), (5001, " "), (None, rows[0][1]), rows[0]]
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), str(tmp_path)).collect()]
+    assert len(kept) == len(set(kept)) and {2 * i for i in range(300)} <= set(kept)
+    assert 5000 in kept and 5001 not in kept and None not in kept
+    alike = [i for i, j in enumerate(pairs) if j >= 0.8]
+    assert min(pairs[i] for i in alike) < 0.83 and len(alike) > 250
+    assert sum(2 * i + 1 not in kept for i in alike) / len(alike) >= 0.95
+    assert all(2 * i + 1 in kept for i, j in enumerate(pairs) if j < 0.8)
+
+
+def test_alike_rows_of_a_shard_are_connected_without_unverified_links():
+    sets = [np.arange(n, n + 100, dtype=np.uint64) for n in (0, 5, 15, 40, 45, 300)]
+    left, right = simhash.alike_in_shard(np.zeros(6, np.uint64), sets, simhash.Alike())
+    found = {frozenset(p) for p in zip(left.tolist(), right.tolist(), strict=True) if p[0] != p[1]}
+    assert found == {frozenset(p) for p in ((0, 1), (1, 2), (3, 4))}
+
+
 def test_groups_of_an_empty_table(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 

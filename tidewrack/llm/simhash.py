@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -240,3 +241,148 @@ def first_of_each(docs: DataFrame, radius: int = 3, width: int = 3, blocks: int
         .dropDuplicates(["doc_id", "__hash"])
         .drop("__hash")
     )
+
+
+# -- documents alike by their shingles --------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Alike:
+    """Documents are alike from a Jaccard similarity of `least` of their shingles of `width` words.
+
+    Texts meet under a key of `per_key` least shingle hashes; of the `keys` keys two texts of
+    similarity 0.8 share one with probability 1 - (1 - 0.8^3)^6 = 0.987. Codes of such texts differ
+    in 9.7 of 64 bits on average, so the radius leaves out few; what it links is verified.
+    """
+
+    width: int = 5
+    least: float = 0.8
+    radius: int = 18
+    keys: int = 6
+    per_key: int = 3
+    shard_rows: int = 512
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles; of a shorter text the hash of all its words."""
+    words = (text or b"").lower().split()
+    width = min(width, len(words))
+    spans = {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in spans), np.uint64, len(spans)))
+
+
+def meeting_keys(shingles: np.ndarray, a: Alike) -> np.ndarray:
+    """One key per group of `per_key` least hashes; a text without words has one of its own."""
+    factors = np.random.default_rng(42).integers(0, 2**63, (2, a.keys * a.per_key), dtype=np.uint64)
+    if not len(shingles):
+        return np.zeros(1, dtype=np.int64)
+    least = np.array([(shingles * (f | np.uint64(1)) + g).min() for f, g in factors.T], dtype="<u8").reshape(a.keys, -1)
+    return np.array([xxhash.xxh64_intdigest(v.tobytes(), i) for i, v in enumerate(least)], np.uint64).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def alike_in_shard(codes: np.ndarray, sets: list[np.ndarray], a: Alike) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs that connect all alike rows of a shard.
+
+    All rows are compared with the first one. Two rows alike to it are connected already; a row that
+    is not is compared with all rows its code is near to.
+    """
+    first = np.array([jaccard(sets[0], x) >= a.least for x in sets])
+    left, right = [np.flatnonzero(first)], [np.zeros(first.sum(), dtype=int)]
+    asks = np.flatnonzero(~first)
+    if len(asks):
+        distinct, code_of, times = np.unique(codes, return_inverse=True, return_counts=True)
+        rows_of = np.split(np.argsort(code_of, kind="stable"), np.cumsum(times)[:-1])
+        forest = BkForest(distinct, np.zeros(len(distinct), dtype=int))
+        who, code = forest.within(codes[asks], np.zeros(len(asks), dtype=int), a.radius)
+        who, node = np.repeat(asks[who], times[code]), np.concatenate([rows_of[c] for c in code.tolist()])
+        other = (who != node) & (first[node] | (who < node))
+        labels = np.arange(len(codes))
+        for x, y in zip(who[other].tolist(), node[other].tolist(), strict=True):
+            if labels[x] != labels[y] and jaccard(sets[x], sets[y]) >= a.least:
+                labels[labels == labels[y]] = labels[x]
+                left.append(np.array([x]))
+                right.append(np.array([y]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def alike_links(rows: DataFrame, a: Alike) -> DataFrame:
+    """(a, b): verified edges between bodies. rows: body, fp, keys, shingles; settled."""
+    spread = rows.select("body", F.explode("keys").alias("key")).distinct()
+    sizes = settled(spread.groupBy("key").count().where("count > 1"))
+    shards = sizes.select("key", F.ceil(F.col("count") / a.shard_rows).cast("int").alias("shards"))
+    met = settled(spread.join(broadcast_if_small(shards, 16), "key"))
+    wanted = settled(met.select("body").distinct())
+    texts = rows.join(broadcast_if_small(wanted, 16), "body", "left_semi").select("body", "fp", "shingles").dropDuplicates(["body"])
+    share = deal(F.col("body"), F.col("shards"))
+    dealt = (
+        met.withColumn("share", share)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        .select("key", F.least("share", "other").alias("t"), F.greatest("share", "other").alias("u"), "body")
+        .join(texts, "body")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, ["key", "t", "u"], 2 * a.shard_rows):
+            for _, shard in frame.groupby(["key", "t", "u"], sort=False):
+                if len(shard) > 1:
+                    sets = [np.frombuffer(x, "<u8") for x in shard["shingles"]]
+                    left, right = alike_in_shard(shard["fp"].to_numpy().astype(np.uint64), sets, a)
+                    body = shard["body"].to_numpy()
+                    yield pd.DataFrame({"a": body[left], "b": body[right]})
+
+    return (
+        dealt.repartition("key", "t", "u")
+        .sortWithinPartitions("key", "t", "u", "body")
+        .mapInPandas(run, "a long, b long")
+        .distinct()
+    )
+
+
+def first_alike(docs: DataFrame, a: Alike = Alike()) -> DataFrame:
+    """One document of each group connected by verified pairs: the one with the smallest doc_id.
+
+    Texts of the same words, but for case and white space, are one body; texts without words too.
+    Rows without a doc_id come last; of those and of rows with the same doc_id the smallest hash of
+    the text stays, of equal rows one. An empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [t.as_py() for t in part.column("text")]
+                sets = [shingle_set(t, a.width) for t in texts]
+                body = [xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), 7) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), part.column("text_hash"), pa.array(np.array(body, np.uint64).view(np.int64)),
+                        pa.array([fingerprint(t, a.width) for t in texts], pa.int64()),
+                        pa.array([meeting_keys(x, a) for x in sets], pa.list_(pa.int64())),
+                        pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()),
+                    ],
+                    names=["doc_id", "text_hash", "body", "fp", "keys", "shingles"],
+                )
+
+    texts = docs.select(
+        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
+    )
+    rows = settled(
+        texts.mapInArrow(run, "doc_id long, text_hash long, body long, fp long, keys array<long>, shingles binary")
+    )
+    labels = component_labels(settled(alike_links(rows, a)))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    bodies = settled(rows.groupBy("body").agg(row.alias("k")))
+    kept = settled(
+        bodies.join(labels, bodies.body == labels.node, "left")
+        .groupBy(F.coalesce("label", "body").alias("of"))
+        .agg(F.min("k").alias("k"))
+        .select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
+    )
+    here = docs.withColumn("__hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash"))
+    return here.join(broadcast_if_small(kept, 24), same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
