@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import ann, classifier, lines, masked, mixing, packing, passages, simhash, topk, warc
+from tidewrack.llm import ann, classifier, forest, lines, masked, mixing, packing, passages, simhash, topk, warc, whitening
 from tidewrack.session import new_folder
 
 
@@ -59,8 +59,17 @@ def op10_masked_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     return masked.pseudo_likelihood(table(spark, folder, "documents"))
 
 
+def op11_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op12_whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk, op6_repeated_passages,
-                                op7_mixed_sources, op8_packed_sequences, op9_quality_scores, op10_masked_likelihood)}
+                                op7_mixed_sources, op8_packed_sequences, op9_quality_scores, op10_masked_likelihood,
+                                op11_near_vectors, op12_whitened_vectors)}
 
 SQL = {
     "op1_line_dedup": r"""
