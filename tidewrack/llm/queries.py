@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import ann, classifier, forest, lines, masked, mixing, packing, passages, simhash, topk, warc, whitening
+from tidewrack.llm import (
+    ann, classifier, forest, lexical, lines, masked, mixing, packing, passages, simhash, topk, warc, whitening,
+)
 from tidewrack.session import new_folder
 
 
@@ -67,9 +69,13 @@ def op12_whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
 
+def op13_ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc_chunks, op3_simhash_groups, op4_nearest_neighbours, op5_exact_topk, op6_repeated_passages,
                                 op7_mixed_sources, op8_packed_sequences, op9_quality_scores, op10_masked_likelihood,
-                                op11_near_vectors, op12_whitened_vectors)}
+                                op11_near_vectors, op12_whitened_vectors, op13_ranked_documents)}
 
 SQL = {
     "op1_line_dedup": r"""
@@ -139,4 +145,41 @@ SQL = {
                      ORDER BY list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) DESC, c.vec_id)
         QUALIFY row_number() OVER w <= 5
     """,
+    "op13_ranked_documents": r"""
+        WITH doc AS (
+            SELECT doc_id, r, t, len(t) AS n FROM (
+                SELECT doc_id, row_number() OVER () AS r,
+                       regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+                FROM documents WHERE text IS NOT NULL)
+            WHERE len(t) > 0
+        ), total AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM doc
+        ), item AS (
+            SELECT DISTINCT item_id, i, unnest(
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT item_id, text, row_number() OVER () AS i FROM (SELECT DISTINCT item_id, text FROM benchmark))
+        ), held AS (
+            SELECT doc_id, r, n, term, count(*) AS tf
+            FROM (SELECT doc_id, r, n, unnest(t) AS term FROM doc)
+            WHERE term IN (SELECT term FROM item)
+            GROUP BY ALL
+        ), weight AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total
+        ), impact AS (
+            SELECT doc_id, r, term,
+                   w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS part
+            FROM held JOIN weight USING (term), total
+        ), scored AS (
+            SELECT item_id, i, doc_id, r, CAST(sum(part) AS BIGINT) AS score
+            FROM item JOIN impact USING (term) WHERE doc_id IS NOT NULL
+            GROUP BY item_id, i, doc_id, r HAVING sum(part) > 0
+        )
+        SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+        FROM scored
+        WINDOW best AS (PARTITION BY item_id, i ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER best <= 50
+    """,
 }
