@@ -1,6 +1,7 @@
 import hashlib
 import json
-from datetime import datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
@@ -135,35 +136,154 @@ def test_stored_tables_round_trip(spark, tmp_path):
 
 
 REPORT = "mmsi string, at string, lat double, name string"
+ROSTER = "mmsi string, flag string, gear_type string, ship_name string"
 
 
 def put(spark, folder, rows):
     spark.createDataFrame(rows, REPORT).coalesce(1).write.mode("append").json(folder)
 
 
+def arrived(spark, inbox):
+    return spark.readStream.schema(REPORT).json(inbox).selectExpr(
+        "mmsi", "cast(at as timestamp) AS at_time", "lat", "-2D AS lon", "name")
+
+
+def drained(spark, tmp_path, roster, delay="30 minutes", **how):
+    """The query after it took all that has arrived; folders are in, table and state."""
+    query = live.start_hourly(
+        arrived(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "state"), lambda s: roster,
+        delay=delay, once=True, **how)
+    query.awaitTermination()
+    return query
+
+
+def stored(spark, tmp_path):
+    return {(r.mmsi, r.recorded_at.day, r.recorded_at.hour): (r.lat, r.ship_name)
+            for r in live.read_hourly(spark, str(tmp_path / "table")).collect()}
+
+
+def still_open(spark, tmp_path):
+    return {(r.mmsi, r.recorded_at.day, r.recorded_at.hour): r.lat
+            for r in live.open_hours(spark, str(tmp_path / "state")).collect()}
+
+
 def test_hourly_stream_first_write_wins_and_resumes(spark, tmp_path):
-    inbox, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
-    roster = spark.createDataFrame([("1", "FR", "trawlers", "OLD"), ("2", None, None, None)],
-                                   "mmsi string, flag string, gear_type string, ship_name string")
-
-    def drain():
-        reports = spark.readStream.schema(REPORT).json(inbox).selectExpr(
-            "mmsi", "cast(at as timestamp) AS at_time", "lat", "-2D AS lon", "name")
-        live.start_hourly(reports, table, state, lambda s: roster, delay="30 minutes", once=True).awaitTermination()
-        return {(r.mmsi, r.recorded_at.hour): (r.lat, r.ship_name) for r in live.read_hourly(spark, table).collect()}
-
-    put(spark, inbox, [("1", "2024-01-01 05:10:00", 1.0, None), ("1", "2024-01-01 05:50:00", 2.0, None),
-                       ("9", "2024-01-01 05:50:00", 9.0, None), ("2", "2024-01-01 07:00:00", 3.0, "TWO")])
-    # Hour 5 is closed (watermark 6:30); hour 7 is open and stays in state.
-    assert drain() == {("1", 5): (2.0, "OLD")}
+    roster = spark.createDataFrame([("1", "FR", "trawlers", "OLD"), ("2", None, None, None)], ROSTER)
+    put(spark, str(tmp_path / "in"), [
+        ("1", "2024-01-01 05:10:00", 1.0, None), ("1", "2024-01-01 05:50:00", 2.0, None),
+        ("9", "2024-01-01 05:50:00", 9.0, None), ("2", "2024-01-01 07:00:00", 3.0, "TWO")])
+    # Hour 5 is closed (watermark 6:30); hour 7 is open and stays in state, without the unknown vessel.
+    query = drained(spark, tmp_path, roster)
+    assert stored(spark, tmp_path) == {("1", 1, 5): (2.0, "OLD")}
+    assert still_open(spark, tmp_path) == {("2", 1, 7): 3.0}
+    assert live.roster_counts(query) == (4, 1)
     # A late repeat of a written hour is dropped; hour 7 closes with its latest position.
-    put(spark, inbox, [("1", "2024-01-01 05:59:00", 7.0, None), ("2", "2024-01-01 07:30:00", 4.0, None),
-                       ("1", "2024-01-01 09:00:00", 5.0, None)])
-    assert drain() == {("1", 5): (2.0, "OLD"), ("2", 7): (4.0, None)}
+    put(spark, str(tmp_path / "in"), [
+        ("1", "2024-01-01 05:59:00", 7.0, None), ("2", "2024-01-01 07:30:00", 4.0, None),
+        ("9", "2024-01-01 07:31:00", 4.0, None), ("1", "2024-01-01 09:00:00", 5.0, None)])
+    query = drained(spark, tmp_path, roster)
+    assert stored(spark, tmp_path) == {("1", 1, 5): (2.0, "OLD"), ("2", 1, 7): (4.0, None)}
+    assert live.roster_counts(query) == (4, 1)
+
+
+def test_an_hour_never_written_is_stored_once_however_late(spark, tmp_path):
+    roster = spark.createDataFrame([("1", "FR", "x", "A")], ROSTER)
+    inbox = str(tmp_path / "in")
+    put(spark, inbox, [("1", "2024-01-05 05:10:00", 1.0, None), ("1", "2024-01-05 08:00:00", 2.0, None)])
+    drained(spark, tmp_path, roster)
+    first = {("1", 5, 5): (1.0, "A")}
+    assert stored(spark, tmp_path) == first
+    # Three days late: two reports of one hour, the later one counts; the written hour 5 takes none.
+    put(spark, inbox, [("1", "2024-01-02 03:40:00", 7.0, None), ("1", "2024-01-02 03:20:00", 6.0, None),
+                       ("1", "2024-01-05 05:55:00", 8.0, None)])
+    drained(spark, tmp_path, roster)
+    assert stored(spark, tmp_path) == {**first, ("1", 2, 3): (7.0, "A")}
+    put(spark, inbox, [("1", "2024-01-02 03:59:00", 9.0, None)])
+    drained(spark, tmp_path, roster)
+    assert stored(spark, tmp_path) == {**first, ("1", 2, 3): (7.0, "A")}
+    assert still_open(spark, tmp_path) == {("1", 5, 8): 2.0}
+
+
+def test_marks_have_their_time_and_the_table_still_decides(spark, tmp_path):
+    roster = spark.createDataFrame([("1", "FR", "x", "A")], ROSTER)
+    inbox, keep = str(tmp_path / "in"), timedelta(hours=3)
+    put(spark, inbox, [("1", "2024-01-05 05:10:00", 1.0, None), ("1", "2024-01-05 08:00:00", 2.0, None)])
+    drained(spark, tmp_path, roster, keep=keep)
+    put(spark, inbox, [("1", "2024-01-05 13:00:00", 3.0, None)])
+    drained(spark, tmp_path, roster, keep=keep)
+    state = spark.read.format("statestore").option("stateVarName", "hours").load(str(tmp_path / "state"))
+    # 5:00 + 1 h + 3 h < 12:30: its mark is gone, that of 8:00 went with it at 12:00; 13:00 is open.
+    assert [(len(r.value.open), list(r.value.emitted)) for r in state.collect()] == [(1, [])]
+    put(spark, inbox, [("1", "2024-01-05 05:55:00", 8.0, None)])
+    drained(spark, tmp_path, roster, keep=keep)
+    assert stored(spark, tmp_path) == {("1", 5, 5): (1.0, "A"), ("1", 5, 8): (2.0, "A")}
+
+
+def test_closed_and_open_hours_are_the_batch_result(spark, tmp_path):
+    rng = random.Random(3)
+    roster = spark.createDataFrame([(str(v), "FR", "x", None) for v in range(6)], ROSTER)
+    base, rows = datetime(2024, 3, 1), []
+    for n in range(3):
+        part = [(str(rng.randrange(8)), str(base + timedelta(hours=8 * n, seconds=rng.randrange(8 * 3600))), float(rng.randrange(999)), None)
+                for _ in range(120)]
+        rows += part
+        put(spark, str(tmp_path / "in"), part)
+        drained(spark, tmp_path, roster)
+        last = {}
+        for mmsi, at, lat, _ in rows:
+            hour = datetime.fromisoformat(at).replace(minute=0, second=0)
+            if int(mmsi) < 6:
+                last[mmsi, hour.day, hour.hour] = max(last.get((mmsi, hour.day, hour.hour), ("", 0.0)), (at, lat))
+        closed, open_ = stored(spark, tmp_path), still_open(spark, tmp_path)
+        assert not set(closed) & set(open_)
+        assert {k: v[0] for k, v in closed.items()} | open_ == {k: v[1] for k, v in last.items()}
+    # What the query leaves behind can be stored as it is; running that again changes nothing.
+    for _ in range(2):
+        live.flush_open_hours(spark, str(tmp_path / "table"), str(tmp_path / "state"), lambda s: roster)
+        assert {k: v[0] for k, v in stored(spark, tmp_path).items()} == {k: v[1] for k, v in last.items()}
+    # A flushed hour that closes later stays as it was flushed.
+    put(spark, str(tmp_path / "in"), [("1", "2024-03-01 23:59:59.9", -1.0, None), ("0", "2024-03-03 00:00:00", 1.0, None)])
+    drained(spark, tmp_path, roster)
+    assert {k: v[0] for k, v in stored(spark, tmp_path).items() if k in last} == {
+        k: v[1] for k, v in last.items()} | ({} if ("1", 1, 23) in last else {("1", 1, 23): -1.0})
+
+
+def test_a_query_is_resumed_when_its_roster_is_old():
+    class Query:
+        def __init__(self, ends):
+            self.ends, self.stopped = ends, False
+
+        def awaitTermination(self, timeout):
+            return self.ends
+
+        def stop(self):
+            self.stopped = True
+
+    made = []
+
+    def start():
+        made.append(Query(ends=len(made) == 2))
+        return made[-1]
+
+    live.follow_hourly(start, timedelta(seconds=0))
+    assert [q.stopped for q in made] == [True, True, False]
+    made.clear()
+    live.follow_hourly(start, timedelta(hours=1), until=lambda: True)
+    assert [q.stopped for q in made] == [True]
+
+
+def test_a_resumed_query_lets_new_vessels_in(spark, tmp_path):
+    known = [("1", "FR", "x", "A")]
+    put(spark, str(tmp_path / "in"), [("1", "2024-01-01 05:10:00", 1.0, None), ("2", "2024-01-01 05:10:00", 1.0, None)])
+    drained(spark, tmp_path, spark.createDataFrame(known, ROSTER))
+    known.append(("2", "FR", "x", "B"))
+    put(spark, str(tmp_path / "in"), [("2", "2024-01-01 05:05:00", 2.0, None), ("9", "2024-01-01 07:00:00", 1.0, None)])
+    drained(spark, tmp_path, spark.createDataFrame(known, ROSTER))
+    assert stored(spark, tmp_path) == {("1", 1, 5): (1.0, "A"), ("2", 1, 5): (2.0, "B")}
 
 
 def test_a_batch_run_twice_changes_nothing(spark, tmp_path):
-    roster = spark.createDataFrame([("1", "FR", "x", "A")], "mmsi string, flag string, gear_type string, ship_name string")
+    roster = spark.createDataFrame([("1", "FR", "x", "A")], ROSTER)
     write = live.store_new_hours(str(tmp_path / "t"), lambda s: roster)
     batch = spark.createDataFrame([("1", datetime(2024, 1, 1, 5), 1.0, 2.0, None)],
                                   "mmsi string, recorded_at timestamp, lat double, lon double, name string")
@@ -174,6 +294,8 @@ def test_a_batch_run_twice_changes_nothing(spark, tmp_path):
     write(again, 1)
     got = sorted((r.recorded_at.hour, r.lat) for r in live.read_hourly(spark, str(tmp_path / "t")).collect())
     assert got == [(5, 1.0), (6, 1.0)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["day=2024-01-01"]
+    assert live.read_days(spark, str(tmp_path / "t"), [date(2024, 1, 1), date(2024, 1, 2)]).count() == 2
 
 
 def test_stream_result_equals_batch_on_closed_hours(spark, small):
