@@ -72,7 +72,7 @@ def event_distance(spark, folder):
     f"""SELECT g.lat, g.lon, round(d, 6) AS distance_km, round(elevation_m, 6) AS elevation_m
         FROM (SELECT g.lat, g.lon, min({HAVERSINE.format('p', 'g')}) AS d
               FROM {GRID_SQL} g, fx_segment_point p GROUP BY 1, 2) g
-        LEFT JOIN (SELECT lat, lon, 2 - avg(wave_height_m) AS elevation_m FROM fx_condition GROUP BY 1, 2) e
+        LEFT JOIN (SELECT lat, lon, round(2 - avg(wave_height_m), 6) AS elevation_m FROM fx_condition GROUP BY 1, 2) e
           USING (lat, lon)
         WHERE d <= 200 AND (coalesce(elevation_m, 0) < 0 OR d <= 30)""",
 )
@@ -81,7 +81,7 @@ def sampled_grid(spark, folder):
     height = (
         inputs.condition(spark, folder)
         .groupBy("lat", "lon")
-        .agg((F.lit(2.0) - F.avg("wave_height_m")).alias("elevation_m"))
+        .agg((F.round(F.lit(2.0) - F.avg("wave_height_m"), 6)).alias("elevation_m"))
     )
     measured = nearest.nearest_within(
         lattice.grid(spark), inputs.segment_points(spark, folder), COAST_LIMIT_KM
