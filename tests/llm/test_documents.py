@@ -89,7 +89,6 @@ def check_packing(rows, got, capacity):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     pieces = sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got)
     want = []
     for d, text in rows:
@@ -128,10 +127,28 @@ def test_wordwise_encoding_equals_the_whole_text():
     rng = random.Random(1)
     parts = list(" \n\t\r  \x0b\x0c\x1c\x1f\x85 　ab'sé1,.!|中<>|Ġ") + ["'ll", "the", " the", "<|endoftext|>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4_000)]
-    encoder = packing.WordwiseEncoder(TOKENIZER, held=500)
+    texts += [" ".join(rng.choice(WORDS) + rng.choice(["", ",", ".\nThe", "?\n", "'", "é.", "9;", ".\n\nx"]) for _ in range(40)) for _ in range(100)]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    encoder = packing.WordwiseEncoder(TOKENIZER, held_bytes=20_000)
     for at in range(0, len(texts), 100):
         for text, ids in zip(texts[at : at + 100], encoder.encode(texts[at : at + 100]), strict=True):
-            assert ids == encoder._ids(text).tobytes(), text
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert encoder.bytes < 1_000_000  # one batch beyond the bound
+
+
+def test_local_search_uses_fewer_bins_than_best_fit():
+    rng = np.random.default_rng(4)
+    saved = []
+    for _ in range(4):
+        lengths = rng.integers(300, 701, 5_000)
+        fitted = packing.best_fit(lengths, 1024)
+        done = packing.local_search([list(b) for b in fitted], lengths, 1024)
+        assert sorted(i for b in done for i in b) == list(range(5_000))
+        assert max(lengths[b].sum() for b in done) <= 1024
+        saved.append(len(fitted) - len(done))
+    assert min(saved) >= 0 and sum(saved) > 0
 
 
 def test_local_search_empties_a_bin():

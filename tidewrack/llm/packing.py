@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,58 +25,130 @@ PLACED = f"{PIECES}, part int, bin int, fill long, offset long"
 # -- tokens -----------------------------------------------------------------------------------------
 
 
+class Remembered(dict):
+    """What is known for good, and `once` what is known for now."""
+
+    once: dict = {}
+
+    def __missing__(self, key):
+        return self.once[key]
+
+
 class WordwiseEncoder:
     """Byte-level BPE ids of texts, from a `tokenizers` file, encoding each distinct word once.
 
-    A token never spans a space that a visible character follows, so a text is cut there and the
-    ids of its parts are looked up; new parts are encoded together. `held` bounds the look-up.
+    A text is cut at the file's added tokens first, as its own tokenizer does. A token never spans a
+    space that a visible character follows, so what is between is cut there and the ids of its parts
+    are looked up; new parts are encoded together. A line feed between visible characters, and a last
+    mark after a letter or digit, are tokens of their own, so what stands around them is looked up
+    before it is encoded. The look-up holds two generations of about `held_bytes` each; parts still
+    in use move on to the newer one.
     """
 
-    def __init__(self, path: str, held: int = 800_000) -> None:
+    def __init__(self, path: str, held_bytes: int = 48 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.blank_run = re.compile(r" (?:\s|$)").search
         self.cut_between = re.compile(r"(?<=\S) (?=\S)").split
-        self.known: dict[str, bytes] = {}
-        self.held = held
+        self.known, self.older = Remembered(), Remembered()
+        self.held_bytes, self.bytes = held_bytes, 0
+        self.marks = {m: self._ids([m])[0].tobytes() for m in ".,;:!?"}
+        self.feed = self._ids(["\n"])[0].tobytes()
 
     def _cut(self, text: str) -> list[str]:
         """The parts of a text between such spaces; where blanks follow one another, only between
         visible characters."""
         return self.cut_between(text) if self.blank_run(text) else text.split(" ")
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts (each follows a space) in one text; a part starts where a token starts with a space."""
-        plain = [p for p in parts if " " not in p]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, parts: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(parts, ids, strict=True))
+        self.bytes += 160 * len(parts) + sum(map(len, parts)) + sum(map(len, ids))  # entries and objects, about
+
+    def _again(self, parts: set[str]) -> set[str]:
+        """Those of `parts` that have to be encoded; the older generation's move on."""
+        known, older = self.known, self.older
+        missing = {p for p in parts if p not in known}
+        again = [p for p in missing if p in older]
+        self._keep(again, list(map(older.__getitem__, again)))
+        missing.difference_update(again)
+        return missing
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode parts: those that start a line (their key starts with a line feed) as they are, others
+        after a space. A part of letters only is one word for the file's model."""
+        model = self.tokenizer.model.tokenize
+        words = [p for p in parts if p.isascii() and p.isalpha()]
+        self._keep(words, [np.array([t.id for t in model("Ġ" + p)], dtype="<u4").tobytes() for p in words])
+        rest = [p for p in parts if not (p.isascii() and p.isalpha())]
+        heads = [p for p in rest if p[:1] == "\n"]
+        apart = [p for p in rest if " " in p]
+        plain = [p for p in rest if p[:1] != "\n" and " " not in p]
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = self._ids(" " + " ".join(some))
+            ids = self._ids([" " + " ".join(some)])[0]
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(some):
-                data, ends = ids.tobytes(), np.append(starts[1:], len(ids)).tolist()
-                self.known.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, starts.tolist(), ends, strict=True))
+                data, edges = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+                self._keep(some, [data[a:b] for a, b in zip(edges, edges[1:])])
             else:
-                self.known.update((p, self._ids(" " + p).tobytes()) for p in some)
-        self.known.update((p, self._ids(" " + p).tobytes()) for p in parts if " " in p)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+                apart += some
+        alone = apart + heads
+        texts = [" " + p for p in apart] + [p[1:] for p in heads]
+        self._keep(alone, [own.tobytes() for own in self._ids(texts)] if alone else [])
+
+    def _marked(self, part: str) -> bool:
+        """Whether the part ends in a mark right after a letter or digit."""
+        return part[-1] in self.marks and part[-2:-1].isalnum() and part[-2] < "\u0530"
+
+    def _look_up(self, wanted: set[str]) -> None:
+        """Have all wanted parts known; those over several lines only until the next call."""
+        if self.bytes > self.held_bytes:
+            self.known, self.older, self.bytes = Remembered(), self.known, 0
+        missing = self._again(wanted)
+        lines = {p: p.split("\n") for p in missing if "\n" in p[1:]}
+        lines = {p: [own[0], *("\n" + x for x in own[1:])] for p, own in lines.items() if p.split() == own}
+        missing.difference_update(lines)
+        missing |= self._again({x for own in lines.values() for x in own})
+        marked = [p for p in missing if p and self._marked(p)]
+        missing.difference_update(marked)
+        missing |= self._again({p[:-1] for p in marked})
+        self._learn(missing)
+        known = self.known
+        self._keep(marked, [known[p[:-1]] + self.marks[p[-1]] for p in marked])
+        known.once = {p: self.feed.join([known[x] for x in own]) for p, own in lines.items()}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that hold no added token."""
         cut = [self._cut(t) for t in texts]
         wanted: set[str] = set()
         for parts in cut:
             wanted.update(parts[1:])
-        if len(self.known) > self.held:
-            self.known.clear()
-        self._learn([p for p in wanted if p not in self.known])
+        self._look_up(wanted)
         look = self.known.__getitem__
-        return [self._ids(parts[0]).tobytes() + b"".join(map(look, parts[1:])) for parts in cut]
+        heads = self._ids([parts[0] for parts in cut])
+        return [h.tobytes() + b"".join(map(look, parts[1:])) for h, parts in zip(heads, cut, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if self.added is None or not any(map(self.added.search, texts)):
+            return self._plain(texts)
+        pieces = [self.added.split(t) for t in texts]  # what is between them, and every second one a token
+        between = iter(self._plain([p for own in pieces for p in own[::2]]))
+        out = []
+        for own in pieces:
+            ids = [next(between)]
+            for token in own[1::2]:
+                ids += [np.array([self.tokenizer.token_to_id(token)], dtype="<u4").tobytes(), next(between)]
+            out.append(b"".join(ids))
+        return out
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -135,67 +210,132 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(
-    bins: list[list[int]], lengths: np.ndarray, capacity: int, around: int = 256, most_steps: int = 4_000
-) -> list[list[int]]:
+class _Underfull:
+    """The bins with space left, by the size of each item and of each two items they hold."""
+
+    def __init__(self, capacity: int) -> None:
+        self.held = ({}, {})  # sizes of one item, sums of two: bins that have it, as ordered sets
+        self.mask = [0, 0]  # bit n is set if some bin has n
+
+    @staticmethod
+    def units(sizes: Counter) -> tuple[list[int], list[int]]:
+        one = sorted(sizes)
+        two = {a + b for n, a in enumerate(one) for b in one[n + 1 :]} | {2 * a for a in one if sizes[a] > 1}
+        return one, sorted(two)
+
+    def add(self, number: int, sizes: Counter) -> None:
+        for many, units in enumerate(self.units(sizes)):
+            for n in units:
+                self.held[many].setdefault(n, {})[number] = None
+                self.mask[many] |= 1 << n
+
+    def remove(self, number: int, sizes: Counter) -> None:
+        for many, units in enumerate(self.units(sizes)):
+            for n in units:
+                own = self.held[many][n]
+                del own[number]
+                if not own:
+                    self.mask[many] &= ~(1 << n)
+
+    def largest(self, many: int, most: int) -> int:
+        """The largest size up to `most` that a bin has, or -1."""
+        return (self.mask[many] & ((1 << (most + 1)) - 1)).bit_length() - 1
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchange items between underfull bins while squared fill grows, until bins empty.
 
-    Takes one of the `around` emptiest bins at a time, emptiest first, and tries to give one or two
-    of its items for none, one or two smaller ones (never two for two) of another of them that has
-    room for the difference; the exchange that moves most comes first. Ends when no exchange is
-    left, when no fewer bins could hold the items, or after `most_steps`.
+    The fullest bin with space left takes what fills it best: it gives none, one or two items for
+    one of another bin, or none or one for two of another bin (a move, one for one, two for one).
+    The sum of squared fills grows with each exchange, so space gathers in few bins and these
+    empty. Ends when no bin has such an exchange, or when no fewer bins could hold the items. All
+    underfull bins and all their items take part, equal sizes as one.
     """
     size = [int(x) for x in lengths]
     fill = [sum(size[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // capacity)
-    count = sum(1 for f in fill if f)
-
-    def units(b: int) -> list[tuple[int, tuple[int, ...]]]:
-        own = bins[b][:24]
-        pairs = ((i, j) for n, i in enumerate(own) for j in own[n + 1 :])
-        return [(size[i], (i,)) for i in own] + [(size[i] + size[j], (i, j)) for i, j in pairs]
-
-    near = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])[:around]
-    options = {b: units(b) for b in near}
-    steps = 0
-    while count > fewest and len(near) > 1 and steps < most_steps:
-        near.sort(key=lambda b: fill[b])
-        moved = False
-        for giver in near:
-            taker_of, sizes, sets = [], [], []
-            for b in near:
-                if b != giver and fill[b] < capacity and fill[b] >= fill[giver]:
-                    own = [(0, ()), *options[b]]
-                    taker_of += [b] * len(own)
-                    sizes += [u[0] for u in own]
-                    sets += [u[1] for u in own]
-            if not taker_of:
-                continue
-            got = np.array(sizes)
-            room = np.array([capacity - fill[b] for b in taker_of])
-            many = np.array([len(s) for s in sets])
-            best, chosen = 0, None
-            for given, items in options[giver]:
-                shift = given - got
-                fits = (shift > best) & (shift <= room) & (many + len(items) <= 3)
-                if fits.any():
-                    at = int(np.argmax(np.where(fits, shift, 0)))
-                    best, chosen = int(shift[at]), (items, taker_of[at], sets[at])
-            if chosen:
-                items, taker, back = chosen
-                bins[giver] = [i for i in bins[giver] if i not in items] + list(back)
-                bins[taker] = [i for i in bins[taker] if i not in back] + list(items)
-                fill[giver] -= best
-                fill[taker] += best
-                options[giver], options[taker] = units(giver), units(taker)
-                if not bins[giver]:
-                    near.remove(giver)
-                    count -= 1
-                moved, steps = True, steps + 1
+    items: list[dict[int, list[int]]] = []
+    for b in bins:
+        own: dict[int, list[int]] = {}
+        for i in b:
+            own.setdefault(size[i], []).append(i)
+        items.append(own)
+    sizes = [Counter({n: len(i) for n, i in own.items()}) for own in items]
+    fewest, count = -(-sum(fill) // capacity), sum(1 for f in fill if f)
+    index = _Underfull(capacity)
+    waiting = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
+    for b in waiting:
+        index.add(b, sizes[b])
+    queue = [(-fill[b], b) for b in waiting]
+    heapify(queue)
+
+    def parts(b: int, total: int, many: int) -> tuple[int, ...]:
+        """Sizes of `many` items of bin b that sum to `total`."""
+        if many < 2:
+            return (total,) * many
+        one = next(n for n in sizes[b] if total - n in sizes[b] and (2 * n != total or sizes[b][n] > 1))
+        return one, total - one
+
+    def shift(frm: int, to: int, moved: tuple[int, ...]) -> None:
+        for n in moved:
+            item = items[frm][n].pop()
+            sizes[frm][n] -= 1
+            if not sizes[frm][n]:
+                del sizes[frm][n], items[frm][n]
+            items[to].setdefault(n, []).append(item)
+            sizes[to][n] += 1
+
+    def best_exchange(b: int) -> tuple | None:
+        """(gain, sizes given, other bin, sizes taken) of the exchange that fills bin b most, among
+        those that let squared fill grow: the other bin must be less full than b will be."""
+        space, best, gain = capacity - fill[b], None, 0
+        one, two = _Underfull.units(sizes[b])
+        options = [
+            (given, given_many, taken_many)
+            for given, given_many in [(0, 0), *((n, 1) for n in one), *((n, 2) for n in two)]
+            for taken_many in ((1, 2) if given_many < 2 else (1,))
+        ]
+        for given, given_many, taken_many in options:
+            taken = index.largest(taken_many - 1, given + space)
+            while taken - given > gain:
+                # Of the bins that have it, one of the first few with the least fill.
+                other = min(islice(index.held[taken_many - 1][taken], 16), key=fill.__getitem__)
+                if fill[other] < fill[b] + taken - given:
+                    gain = taken - given
+                    best = gain, parts(b, given, given_many), other, parts(other, taken, taken_many)
+                    break
+                taken = index.largest(taken_many - 1, taken - 1)
+            if gain == space:
                 break
-        if not moved:
-            break
-    return [b for b in bins if b]
+        return best
+
+    moved = True
+    while moved and count > fewest:
+        moved, idle = False, []
+        while queue and count > fewest:
+            key, b = heappop(queue)
+            if -key != fill[b] or not 0 < fill[b] < capacity:
+                continue
+            index.remove(b, sizes[b])
+            found = best_exchange(b)
+            if found is None:
+                index.add(b, sizes[b])
+                idle.append((key, b))
+                continue
+            gain, back, other, there = found
+            index.remove(other, sizes[other])
+            shift(b, other, back)
+            shift(other, b, there)
+            fill[b] += gain
+            fill[other] -= gain
+            moved = True
+            for c in (b, other):
+                if 0 < fill[c] < capacity:
+                    index.add(c, sizes[c])
+                    heappush(queue, (-fill[c], c))
+            count -= not fill[other]
+        queue = idle + queue
+        heapify(queue)
+    return [[i for own in b.values() for i in own] for b in items if b]
 
 
 def pack_group(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -226,30 +366,38 @@ def packed(
 
     Full pieces are sequences of their own. The others are dealt by hash into groups of about
     `group_items`, each packed in one task; then the items of all bins filled below `loose` are dealt
-    and packed again, so that the remainders of all groups meet. A group holds ids and lengths only.
-    A null text is a document of `end_id` alone; repeated rows and rows without an id are documents
+    and packed again, in ever fewer groups, until the remainders of all groups have met in one. A
+    group holds ids and lengths only.
+    Added tokens of the file that stand in a text are such tokens, as the file has it. A null text is
+    a document of `end_id` alone; repeated rows and rows without an id are documents
     of their own. An empty table gives no rows. Other columns of `docs` are not used.
     """
     pieces = settled(tokenised_pieces(docs, tokenizer_path, capacity, end_id))
     whole = F.col("length") == capacity
 
-    def pack(items: DataFrame, key, label: str) -> DataFrame:
-        parts = ceil_div(items.count(), group_items)
-        names = [c.split()[0] for c in PLACED.split(", ")]
-        place = lambda frame: pack_group(frame, capacity)[names]
-        return settled(items.withColumn("part", deal(key, parts)).groupBy("part").applyInPandas(place, PLACED))
-
-    first = pack(pieces.where(~whole), F.struct("doc_id", "piece", "ids_crc32"), "first")
-    tight = F.col("fill") >= int(loose * capacity)
-    again = pack(first.where(~tight).drop("part", "bin", "fill", "offset"), F.struct("doc_id", "piece", "ids_crc32"), "again")
-    number = F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
+    names = [c.split()[0] for c in PLACED.split(", ")]
+    place = lambda frame: pack_group(frame, capacity)[names]
+    key = F.struct("doc_id", "piece", "ids_crc32")
     columns = ("doc_id", "piece", "start", "length", "ids_crc32")
-    return (
-        first.where(tight).select(*columns, (number * 3).alias("sequence_id"), "offset")
-        .unionByName(again.select(*columns, (number * 3 + 1).alias("sequence_id"), "offset"))
-        .unionByName(
-            pieces.where(whole).select(
-                *columns, (F.monotonically_increasing_id() * 3 + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-            )
+    tight = F.col("fill") >= int(loose * capacity)
+    left, placed, turn = pieces.where(~whole), [], 0
+    groups = ceil_div(left.count(), group_items)
+    while True:
+        done = settled(
+            left.withColumn("part", deal(key, groups)).groupBy("part").applyInPandas(place, PLACED)
         )
-    )
+        # What no other group can help is placed; the rest meets again, until one group has it all.
+        open_bins = done.where(~tight)
+        more = ceil_div(open_bins.count(), group_items)
+        last = groups == 1 or more >= groups
+        kept = done if last else done.where(tight)
+        number = F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
+        placed.append(kept.select(*columns, (number * 64 + turn).alias("sequence_id"), "offset"))
+        if last:
+            break
+        left, groups, turn = open_bins.drop("part", "bin", "fill", "offset"), more, turn + 1
+    own_bin = (F.monotonically_increasing_id() * 64 + 63).alias("sequence_id")
+    result = pieces.where(whole).select(*columns, own_bin, F.lit(0).cast("long").alias("offset"))
+    for part in placed:
+        result = result.unionByName(part)
+    return result
