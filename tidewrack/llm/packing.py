@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -85,9 +86,9 @@ class WordwiseEncoder:
         """Encode parts: those that start a line (their key starts with a line feed) as they are, others
         after a space. A part of letters only is one word for the file's model."""
         model = self.tokenizer.model.tokenize
-        words = [p for p in parts if p.isascii() and p.isalpha()]
-        self._keep(words, [np.array([t.id for t in model("Ġ" + p)], dtype="<u4").tobytes() for p in words])
-        rest = [p for p in parts if not (p.isascii() and p.isalpha())]
+        words = [p for p in parts if p.isalpha() and p.isascii()]
+        self._keep(words, [array("I", [t.id for t in model("Ġ" + p)]).tobytes() for p in words])
+        rest = parts.difference(words)
         heads = [p for p in rest if p[:1] == "\n"]
         apart = [p for p in rest if " " in p]
         plain = [p for p in rest if p[:1] != "\n" and " " not in p]
@@ -104,10 +105,6 @@ class WordwiseEncoder:
         texts = [" " + p for p in apart] + [p[1:] for p in heads]
         self._keep(alone, [own.tobytes() for own in self._ids(texts)] if alone else [])
 
-    def _marked(self, part: str) -> bool:
-        """Whether the part ends in a mark right after a letter or digit."""
-        return part[-1] in self.marks and part[-2:-1].isalnum() and part[-2] < "\u0530"
-
     def _look_up(self, wanted: set[str]) -> None:
         """Have all wanted parts known; those over several lines only until the next call."""
         if self.bytes > self.held_bytes:
@@ -117,12 +114,13 @@ class WordwiseEncoder:
         lines = {p: [own[0], *("\n" + x for x in own[1:])] for p, own in lines.items() if p.split() == own}
         missing.difference_update(lines)
         missing |= self._again({x for own in lines.values() for x in own})
-        marked = [p for p in missing if p and self._marked(p)]
+        marks = self.marks
+        marked = [p for p in missing if p[-1:] in marks and p[-2:-1].isalnum() and p[-2] < "\u0530"]
         missing.difference_update(marked)
         missing |= self._again({p[:-1] for p in marked})
         self._learn(missing)
         known = self.known
-        self._keep(marked, [known[p[:-1]] + self.marks[p[-1]] for p in marked])
+        self._keep(marked, [known[p[:-1]] + marks[p[-1]] for p in marked])
         known.once = {p: self.feed.join([known[x] for x in own]) for p, own in lines.items()}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
