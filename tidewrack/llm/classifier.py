@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -185,13 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 
 def _scorer(docs: DataFrame, model: Model):
-    """What gives the model in a task; it is broadcast, in single precision, at a fixed size."""
-    parts = (model.s, model.edges, model.w.astype(np.float32), model.v.astype(np.float32), model.w0)
+    """What gives the model in a task; it is broadcast, in single precision, at a fixed size.
+
+    What is broadcast is plain numbers and arrays: a class would travel by name, and executors need
+    no copy of this package.
+    """
+    parts = (astuple(model.s), model.edges, model.w.astype(np.float32), model.v.astype(np.float32), model.w0)
     sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def own() -> Model:
         here = Model.__new__(Model)
-        here.s, here.edges, here.w, here.v, here.w0 = sent.value
+        settings, here.edges, here.w, here.v, here.w0 = sent.value
+        here.s = Settings(*settings)
         return here
 
     return own
