@@ -51,8 +51,39 @@ def test_fishing_effort_at_any_depth(spark, tmp_path):
            for r in fishing.read_fishing_effort(spark, str(tmp_path)).orderBy("ordinal").collect()]
     at = datetime(2024, 1, 1, 5)
     assert got == [("7", 1.5, at, None, "x", None), ("7", 1.5, at, None, "x", 2.0)]
-    with pytest.raises(PySparkException, match="too deeply"):
-        fishing.parse_fishing_effort(texts(spark, payload), levels=2).collect()
+    with pytest.raises(PySparkException, match="JSON"):
+        fishing.parse_fishing_effort(texts(spark, '{"lat": NaN}')).collect()
+
+
+def test_fishing_effort_of_any_depth_in_document_order(spark, tmp_path):
+    def cell(n):
+        return {"mmsi": n, "lat": n, "lon": "2.5", "date": "2024-01-01T05:00:00Z", "nested": {"lat": 99}}
+
+    deep = cell(1)
+    for n in range(40):
+        deep = {"z": [[], deep]} if n % 2 else [deep, "x"]
+    wide = {"b": cell(3), "a": [cell(4), {"y": cell(5), "c": cell(6)}], "0": cell(7)}
+    got = {}
+    payloads = texts(spark, {"q": deep, "e": cell(2)}, wide, "null", "[]", json.dumps(cell(8)))
+    rows = payloads.unionByName(spark.createDataFrame([(None,)], "value string")).withColumn("n", F.monotonically_increasing_id())
+    for r in fishing.parse_fishing_effort(rows).orderBy("n", "cell").collect():
+        got.setdefault(r.n, []).append((r.cell, r.mmsi, r.lat, r.lon))
+    assert sorted(got.values()) == [
+        [(0, "1", 1.0, 2.5), (1, "2", 2.0, 2.5)],
+        [(0, "3", 3.0, 2.5), (1, "4", 4.0, 2.5), (2, "5", 5.0, 2.5), (3, "6", 6.0, 2.5), (4, "7", 7.0, 2.5)],
+        [(0, "8", 8.0, 2.5)],
+    ]
+
+
+def test_fishing_effort_on_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"a": [[[{"mmsi": 7, "lat": 1, "lon": 2, "date": "2024-01-01T05:00:00Z"}]]]}))
+    cells = fishing.parse_fishing_effort(spark.readStream.text(str(tmp_path / "in")))
+    seen = []
+    query = cells.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).foreachBatch(
+        lambda batch, _: seen.extend(r.mmsi for r in batch.collect())).start()
+    query.awaitTermination()
+    assert seen == ["7"]
 
 
 def test_occurrences(spark):

@@ -2,78 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidewrack.constants import GFW_FISHING
 from tidewrack.functions.timeline import utc_instant
 
-IS_CELL = "variant_get(v, '$.lat') IS NOT NULL"
-# One level down: cells stay, containers give their children, other scalars go away.
-DESCEND = (
-    f"flatten(transform(nodes, v -> CASE WHEN {IS_CELL} THEN array(v) ELSE coalesce("
-    "try_cast(v AS array<variant>), map_values(try_cast(v AS map<string, variant>)),"
-    " cast(array() AS array<variant>)) END))"
-)
-
-
-def nesting_depth(text: Column) -> Column:
-    """How many brackets are open at once in a JSON text."""
-    quoted = r'"(\\.|[^"\\])*"'
-    brackets = F.regexp_replace(F.regexp_replace(text, quoted, ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1))
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
-    return F.aggregate(
-        steps, start,
-        lambda a, s: F.struct((a["open"] + s).alias("open"), F.greatest(a["most"], a["open"] + s).alias("most")),
-        lambda a: a["most"],
-    )
-
-
-def parse_fishing_effort(
-    payloads: DataFrame, text: str = "value", levels: int | None = None
-) -> DataFrame:
+#: Fields of a cell, as the reports spell them (fixed values).
+FIELDS = ("mmsi", "date", "lat", "lon", "shipName", "flag", "geartype", "vesselType", "hours")
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(f"{text} is not JSON")
+
+
+def nested_cells(text: str | None) -> Iterator[dict]:
+    """Every object with a `lat`, however deep, in the order of the text; numbers stay text.
+
+    The open containers stand on a work list, so depth costs no recursion here, and a shallow text
+    is done as soon as its own containers are.
+    """
+    if text is None:
+        return
+    root = json.loads(text, parse_int=str, parse_float=str, parse_constant=_no_number)
+    waiting = [iter((root,))]
+    while waiting:
+        for node in waiting[-1]:
+            if isinstance(node, dict):
+                if "lat" in node:
+                    yield node
+                    continue
+                waiting.append(iter(node.values()))
+                break
+            if isinstance(node, list):
+                waiting.append(iter(node))
+                break
+        else:
+            waiting.pop()
+
+
+def _scalar(value: object) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value)
+
+
+def parse_fishing_effort(payloads: DataFrame, text: str = "value") -> DataFrame:
     """Every object holding a `lat` is a cell; keeps those with vessel, position and time.
 
-    `cell` numbers the cells inside their payload. The payloads are searched as deep as the
-    deepest of them goes, which one job finds out; a stream has to give `levels`, beyond which
-    a cell is an error rather than silently missing.
+    `cell` numbers the cells inside their payload in document order. A payload is searched as deep
+    as it goes, on streams and batches alike: built-in functions reach a fixed depth only and order
+    the keys of an object. A null payload has no cells; a text that is not JSON is an error.
     """
-    if levels is None:
-        levels = payloads.agg(F.max(nesting_depth(F.col(text)))).first()[0] or 0
     keep = [c for c in payloads.columns if c != text]
-    nodes = payloads.select(*keep, F.array(F.parse_json(F.col(text))).alias("nodes"))
-    for _ in range(levels):
-        nodes = nodes.select(*keep, F.expr(DESCEND).alias("nodes"))
-    too_deep = F.expr(f"exists(nodes, v -> NOT ({IS_CELL}) AND schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)')")
-    nodes = nodes.withColumn(
-        "nodes",
-        F.when(too_deep, F.raise_error(F.lit("payload is nested too deeply"))).otherwise(
-            F.expr(f"filter(nodes, v -> {IS_CELL})")
-        ),
+    found = StructType(
+        [*(payloads.schema[c] for c in keep), StructField("cell", IntegerType()), *(StructField(f"_{f}", StringType()) for f in FIELDS)]
     )
-    # Outer: an inner explode would evaluate the whole descent once more to skip empty ones.
-    cells = nodes.select(*keep, F.posexplode_outer("nodes").alias("cell", "v"))
-
-    def part(name: str, kind: str) -> Column:
-        return F.try_variant_get("v", f"$.{name}", kind)
 
-    def label(name: str) -> Column:
-        return F.nullif(part(name, "string"), F.lit(""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, numbers, values = [], [], [[] for _ in FIELDS]
+            for row, payload in enumerate(batch.column("_text").to_pylist()):
+                for number, cell in enumerate(nested_cells(payload)):
+                    rows.append(row)
+                    numbers.append(number)
+                    for column, name in zip(values, FIELDS, strict=True):
+                        column.append(_scalar(cell.get(name)))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i).take(take) for i in range(len(keep))), pa.array(numbers, pa.int32()),
+                    *(pa.array(v, pa.string()) for v in values),
+                ],
+                names=[f.name for f in found],
+            )
 
+    cells = payloads.select(*keep, F.col(text).alias("_text")).mapInArrow(run, found)
+    label = lambda name: F.nullif(F.col(f"_{name}"), F.lit(""))
+    number = lambda name: F.col(f"_{name}").try_cast("double")
     return cells.select(
         *keep,
         "cell",
         label("mmsi").alias("mmsi"),
-        utc_instant(part("date", "string")).alias("recorded_at"),
-        part("lat", "double").alias("lat"),
-        part("lon", "double").alias("lon"),
+        utc_instant(F.col("_date")).alias("recorded_at"),
+        number("lat").alias("lat"),
+        number("lon").alias("lon"),
         F.lit(GFW_FISHING).alias("source"),
         label("shipName").alias("ship_name"),
         label("flag").alias("flag"),
         label("geartype").alias("gear_type"),
         label("vesselType").alias("vessel_type"),
-        part("hours", "double").alias("effort_hours"),
+        number("hours").alias("effort_hours"),
     ).dropna(subset=["mmsi", "recorded_at", "lat", "lon"])
 
 
