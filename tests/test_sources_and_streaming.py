@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewrack.sources import coastline, fishing, positions, sightings, tables, weather
+from tidewrack.sources import features as features_source
 from tidewrack.streaming import positions as live
 
 
@@ -119,13 +120,61 @@ def test_coastline(spark, tmp_path):
         feature("MultiLineString", [[[-3, 44], [-3, 45]], [[0, 0], [13.5, 55.5]]]), feature("Polygon", [[[0, 45], [1, 45]]]),
         {"type": "Feature", "geometry": None}]}
     (tmp_path / "a.json").write_text(json.dumps(collection, indent=1))
-    rows = coastline.read_coastline(spark, str(tmp_path), whole_files=True).collect()
+    rows = coastline.read_coastline(spark, str(tmp_path)).collect()
     assert sorted([tuple(p) for p in r.points] for r in rows) == [
         [(0.0, 0.0), (55.5, 13.5)], [(44.0, -3.0), (45.0, -3.0)], [(45.0, -2.0), (45.1, -2.1)],
     ]
     assert len({r.line_id for r in rows}) == 3
 
 
+def test_one_collection_in_many_byte_ranges(spark, tmp_path):
+    rng = random.Random(6)
+    odd = ['a{b', 'c}', '"', '\\', '\\"{', ']', '{"type": "Feature"}', "é}"]
+
+    def feature(n):
+        points = [[round(rng.uniform(-5, 9), 3), round(rng.uniform(43, 51), 3)] for _ in range(rng.choice([2, 3, 400]))]
+        kind, coordinates = rng.choice([("LineString", points), ("MultiLineString", [points, points[:2]]), ("Point", points[0])])
+        return {"type": "Feature", "properties": {"name": rng.choice(odd) * rng.randint(0, 3), "n": {"m": [{"k": n}]}},
+                "geometry": {"type": kind, "coordinates": coordinates}}
+
+    features = [feature(n) for n in range(200)]
+    text = json.dumps({"type": "FeatureCollection", "crs": {"properties": {"x": "{"}}, "features": features}, ensure_ascii=False)
+    broken = text.replace('"Point", "coordinates": [', '"Point", "coordinates": [!', 3)
+    (tmp_path / "one").mkdir()
+    # Two collections in a file, and a file whose features are partly unreadable.
+    (tmp_path / "one" / "a.json").write_text(text + "\n" + json.dumps({"features": features[:5]}, indent=2), encoding="utf-8")
+    (tmp_path / "one" / "b.json").write_text(broken, encoding="utf-8")
+    want = [[tuple(reversed(p)) for p in line]
+            for f in [*features, *features[:5], *features]
+            for line in ({"LineString": [f["geometry"]["coordinates"]], "MultiLineString": f["geometry"]["coordinates"]}
+                         .get(f["geometry"]["type"], []))]
+    before, ids = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in (64 << 20, 24_000, 1_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = coastline.read_coastline(spark, str(tmp_path / "one")).collect()
+            assert sorted([tuple(p) for p in r.points] for r in rows) == sorted(want)
+            ids.append(sorted(r.line_id for r in rows))
+            report = {r.file.split("/")[-1]: (r.lines, r.broken) for r in coastline.coastline_report(spark, str(tmp_path / "one")).collect()}
+            lines = [sum(f["geometry"]["type"] != "Point" for f in own) for own in (features, features[:5])]
+            assert report == {"a.json": (sum(lines), 0), "b.json": (lines[0], 3)}
+        ranges = features_source._records(spark, str(tmp_path / "one")).select("file", "block").distinct().count()
+        assert ranges > 32 and ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(ids[0])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "c.json").write_text(text[:-9])
+    with pytest.raises(ValueError, match="ends inside"):
+        coastline.read_coastline(spark, str(tmp_path / "two"))
+
+
+def test_texts_that_are_not_json_are_errors(spark):
+    for parse in (sightings.parse_occurrences, coastline.parse_coastline):
+        assert parse(spark.createDataFrame([(None,), ("{}",), ('{"results": null, "features": []}',)], "value string")).count() == 0
+        with pytest.raises(PySparkException, match="not JSON"):
+            parse(texts(spark, "{}", '{"results": [')).collect()
+
+
 def test_grid_points(spark):
     got = coastline.parse_grid_points(texts(spark, {"points": [[42.00004, 3], [42, 3.25]]}))
     assert sorted(tuple(r) for r in got.collect()) == [(42.0, 3.0), (42.0, 3.25)]

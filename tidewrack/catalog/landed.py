@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewrack.catalog.expressions import SPARK_EVENT_TEXT, r6
 from tidewrack.catalog.registry import query
 from tidewrack.plans import inputs
+from tidewrack.session import new_folder
 from tidewrack.sources import coastline, fishing, positions, sightings, weather
 
 
@@ -183,6 +184,33 @@ def coast(spark, folder):
     )
 
 
+@query(
+    "s5_split_collection",
+    """SELECT cast(count(*) AS int) AS points, round(min(lon), 6) AS west, round(max(lat), 6) AS north
+       FROM fx_line_point WHERE line_id % 3 <> 2 GROUP BY line_id
+       HAVING bool_or(lat BETWEEN 38 AND 55.5 AND lon BETWEEN -10 AND 13.5)""",
+)
+def split_collection(spark, folder):
+    """All lines as one collection in one file, which its byte ranges' tasks read."""
+    coordinates = "to_json(transform(points, p -> array(p.lon, p.lat)))"
+    kind = "IF(line_id % 3 = 2, 'MultiPoint', 'LineString')"
+    feature = f"""concat('{{"type":"Feature","properties":{{"name":"{{' , line_id, '\\\\"]"}},"geometry":{{"type":"', {kind},
+        '","coordinates":', {coordinates}, '}}}},')"""
+    lines = inputs.lines(spark, folder).select(F.col("line_id").alias("place"), F.expr(feature).alias("value"))
+    ends = spark.createDataFrame(
+        [(-1, '{"type":"FeatureCollection","features":['), (2**62, '{"type":"Feature","geometry":null}]}')],
+        "place long, value string",
+    )
+    path = f"{new_folder(spark, 'collection')}/all"
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    rows = coastline.read_coastline(spark, path)
+    return rows.select(
+        F.size("points").alias("points"),
+        r6("west", F.array_min(F.transform("points", lambda p: p["lon"]))),
+        r6("north", F.array_max(F.transform("points", lambda p: p["lat"]))),
+    )
+
+
 @query(
     "s6_position_reports",
     """SELECT event_id, cast(user_id AS varchar) AS mmsi, date_trunc('second', ts) AS at_time,

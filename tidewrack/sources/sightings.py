@@ -14,7 +14,7 @@ from tidewrack.constants import (
     Box,
 )
 from tidewrack.functions.geodesy import in_box
-from tidewrack.functions.labels import coordinate_text, identity_hash
+from tidewrack.functions.labels import coordinate_text, identity_hash, readable
 from tidewrack.functions.timeline import event_window, utc_instant
 from tidewrack.operators.ranking import ordinal_in_group
 from tidewrack.operators.species import with_common_name, with_scientific_name
@@ -34,10 +34,12 @@ EVENT_LINE = r"^\s*(\d{4}-\d{2}-\d{2})\s*/\s*(\d+)\s*/\s*([^/]+?)\s*/\s*(.+?)\s*
 
 
 def parse_occurrences(payloads: DataFrame, text: str = "value") -> DataFrame:
-    """Occurrence pages to strandings; records without place or a usable date are dropped."""
-    occurrence = payloads.select(
-        F.explode_outer(F.from_json(F.col(text), PAGE)["results"]).alias("o")
-    ).select("o.*")
+    """Occurrence pages to strandings; records without place or a usable date are dropped.
+
+    A page that is not JSON is an error.
+    """
+    results = readable(F.col(text), F.from_json(F.col(text), PAGE)["results"])
+    occurrence = payloads.select(F.explode_outer(results).alias("o")).select("o.*")
     dated = (
         occurrence.dropna(subset=["decimalLatitude", "decimalLongitude", "eventDate"])
         .withColumn("w", event_window(F.col("eventDate")))
