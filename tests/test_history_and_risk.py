@@ -145,6 +145,77 @@ def test_monthly_matrix_open_year(spark):
     assert got[2024] == (0, 0, 0, 0, 3) + (None,) * 7
 
 
+def test_window_sums_equal_adding_up_the_neighbours(spark):
+    rng = random.Random(9)
+    own = {}
+    for _ in range(300):
+        key = (rng.randrange(3), rng.randrange(2020, 2023), rng.choice([0, 3, 14, 15, 16, 59, 200, 350, 351, 365]))
+        own[key] = own.get(key, 0) + 1
+    counts = spark.createDataFrame([(*k, n) for k, n in own.items()], "segment_id int, year int, slot int, records long")
+    want = {}
+    for (segment, year, slot_), n in own.items():
+        for o in range(-15, 16):
+            key = (segment, year, (slot_ + o) % 366)
+            want[key] = want.get(key, 0) + n
+    got = history.circular_window_sum(counts)
+    assert {(r.segment_id, r.year, r.slot): r.records for r in got.collect()} == want
+    few = history.circular_window_sum(counts, spark.createDataFrame([(0,), (365,)], "slot int"))
+    assert {(r.segment_id, r.year, r.slot): r.records for r in few.collect()} == {k: n for k, n in want.items() if k[2] in (0, 365)}
+    # What is shuffled are the counts themselves: nothing is multiplied before.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
+WILD = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2e-308, 1e300, -1e300, 1.7976931348623157e308, 1 + 2**-52, 1 - 2**-53]
+
+
+@pytest.mark.parametrize("shape", ["negative", "large", "repeated", "near", "wild", "infinite"])
+def test_exact_quantiles_of_any_value(spark, shape):
+    rng = np.random.default_rng(1)
+    data = {
+        "negative": rng.normal(size=3000) * 100,
+        "large": np.r_[rng.random(500) * 1e300, -rng.random(700) * 1e12, rng.random(300) * 1e-300],
+        "repeated": np.r_[np.full(900, -7.25), np.full(900, 3e9), rng.integers(-3, 3, 400)],
+        "near": 1e15 + np.arange(2000) * 0.125,
+        "wild": np.array(WILD * 3),
+        "infinite": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf, np.nan]),
+    }[shape]
+    frame = spark.createDataFrame([(float(v),) for v in rng.permutation(data)] + [(None,)], "p double")
+    wanted = (0.0, 0.1, 0.2, 0.5, 0.6, 0.999, 1.0)
+    got = {r.q: r.value for r in ranking.exact_quantiles(frame, "p", wanted).collect()}
+    ordered = np.sort(data)  # NaN last
+    for q in wanted:
+        at = q * (len(data) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        share = at - math.floor(at)
+        want = low if low == high or share == 0 else low * (1 - share) + high * share
+        assert got[q] == pytest.approx(want, rel=1e-12, abs=0, nan_ok=True)
+    if shape in ("negative", "large", "repeated", "near"):
+        exact = frame.selectExpr(f"percentile(p, array({', '.join(f'{q}D' for q in wanted)})) AS p").first().p
+        assert [got[q] for q in wanted] == pytest.approx(exact, rel=1e-12)
+
+
+def test_buckets_never_fall(spark):
+    values = sorted({*WILD, *(float(v) for v in np.random.default_rng(2).normal(size=500) ** 9), *(2.0**k for k in range(-1074, 1024, 7)),
+                     *(math.nextafter(2.0**k, 0) for k in range(-1000, 1024, 7))})
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    buckets = [r.b for r in frame.orderBy("v").select(ranking.coarse_bucket(F.col("v")).alias("b")).collect()]
+    assert buckets == sorted(buckets)
+
+
+@pytest.mark.parametrize("kind", ["scores", "ties", "one score", "no hits"])
+def test_misses_below_hits_equal_counting_pairs(spark, kind):
+    rng = random.Random(4)
+    score = {"scores": lambda: rng.gauss(0, 1), "ties": lambda: rng.choice([-2.0, 0.0, 1e-9, 0.5]), "one score": lambda: 0.25,
+             "no hits": lambda: rng.random()}[kind]
+    rows = [(score(), day, place, kind != "no hits" and rng.random() < 0.1) for day in range(12) for place in range(15)]
+    frame = spark.createDataFrame(rows, "p double, day int, place int, hit boolean").unionByName(
+        spark.createDataFrame([(None, 1, 1, True)], "p double, day int, place int, hit boolean"))
+    got = ranking.misses_below_hits(frame, "p", F.col("hit"), ["day", "place"]).first()
+    below = sum(1 for a in rows if a[3] for b in rows if not b[3] and b[:3] < a[:3])
+    assert tuple(got) == (len(rows), sum(r[3] for r in rows), below)
+
+
 @pytest.mark.parametrize("shape", ["spread", "ties", "one", "tiny"])
 def test_exact_quantiles(spark, shape):
     rng = np.random.default_rng(0)

@@ -69,19 +69,39 @@ def climatology_counts(observed: DataFrame) -> DataFrame:
 def circular_window_sum(counts: DataFrame, slots: DataFrame | None = None) -> DataFrame:
     """Moving +-15 slot sums that wrap inside the same year; optionally only of the rows of `slots`.
 
-    `slots(slot)` has at most one row per slot of the year, so it is broadcast.
+    The counts of a segment's year become one array of its slots, with the ends of the year repeated
+    at the other end; a sum is the difference of two places of its running sums. `slots(slot)` has at
+    most one row per slot of the year, so it is broadcast.
     """
-    shift = F.sequence(F.lit(-WINDOW_HALF_SLOTS), F.lit(WINDOW_HALF_SLOTS))
-    spread = counts.select("segment_id", "year", "slot", "records", F.explode(shift).alias("o"))
-    moved = spread.select(
-        "segment_id",
-        "year",
-        F.pmod(F.col("slot") + F.col("o"), F.lit(YEAR_SLOTS)).alias("slot"),
-        "records",
+    years = counts.groupBy("segment_id", "year").agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", F.col("records").cast("long")))).alias("own")
+    )
+    around = F.sequence(F.lit(-WINDOW_HALF_SLOTS), F.lit(YEAR_SLOTS - 1 + WINDOW_HALF_SLOTS))
+    running = F.aggregate(
+        around,
+        F.array(F.lit(0).cast("long")),
+        lambda sums, s: F.concat(
+            sums,
+            F.array(
+                F.element_at(sums, -1)
+                + F.coalesce(F.try_element_at("own", F.pmod(s, F.lit(YEAR_SLOTS))), F.lit(0).cast("long"))
+            ),
+        ),
+    )
+    width = 2 * WINDOW_HALF_SLOTS + 1
+    sums = F.transform(
+        F.sequence(F.lit(0), F.lit(YEAR_SLOTS - 1)),
+        lambda s: F.struct(
+            s.alias("slot"), (F.get("running", s + width) - F.get("running", s)).alias("records")
+        ),
+    )
+    moved = (
+        years.select("segment_id", "year", running.alias("running"))
+        .select("segment_id", "year", F.inline(F.filter(sums, lambda x: x["records"] > 0)))
     )
     if slots is not None:
         moved = moved.join(F.broadcast(slots), "slot", "left_semi")
-    return moved.groupBy("segment_id", "year", "slot").agg(F.sum("records").alias("records"))
+    return moved.select("segment_id", "year", "slot", "records")
 
 
 def leave_one_year_out(windowed: DataFrame, days: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from tidewrack.session import range_partitions, settled
 
 # Rows of a partition are numbered in the low bits, partitions in the high ones.
 ROW_BITS = 33
-LEVEL_BUCKETS = 1 << 20
+LEVEL_BUCKETS = 1 << 21
+# 1024 times the exponents of the smallest and of the largest double, and some.
+BEYOND_SMALLEST, BEYOND_LARGEST = 1100 * 1024, 2200 * 1024
 
 
 def ordinal_rank(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
@@ -63,18 +65,32 @@ def _locate(counted: DataFrame, path: Sequence[str], step: str) -> DataFrame:
     )
 
 
+def coarse_bucket(v: Column) -> Column:
+    """A whole number that never falls as `v` grows, for any double: 1024 buckets per power of two.
+
+    Negative numbers mirror positive ones; infinities and NaN (the largest) have buckets of their own.
+    """
+    size = F.abs(v)
+    of_size = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size).otherwise(1.0)) * 1024) + BEYOND_SMALLEST
+    bucket = F.when(size == float("inf"), 2 * BEYOND_LARGEST).when(v == 0, 0).otherwise(of_size)
+    return F.when(F.isnan(v), 3 * BEYOND_LARGEST).otherwise(F.signum(v).cast("long") * bucket)
+
+
+def fine_bucket(v: Column, low: Column, high: Column) -> Column:
+    """Where `v` lies between the ends of its bucket, in LEVEL_BUCKETS parts; never falls as `v` grows."""
+    return F.when(low < high, F.floor((v - low) / (high - low) * LEVEL_BUCKETS)).otherwise(0)
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles of a column in [0, 1]: rows (q, value); exact, nulls ignored.
+    """Interpolated quantiles of a column of any doubles: rows (q, value); exact, nulls ignored.
 
-    Three counting passes narrow the value range a million-fold at a time: each pass is a
-    map-side combined count, and at most 2 buckets per quantile go on to the next one.
+    Three counting passes whatever the values: by sign and power of two, then a million-fold inside
+    the buckets that hold a wanted place (which span less than a thousandth of their size), then by
+    the values themselves, of which no more than two million can be left. Each pass is a map-side
+    combined count, and at most 2 buckets per quantile go on to the next one.
     """
-    v = F.col(value)
-    known = df.select(v.alias("v")).filter(v.isNotNull())
-    scaled = F.col("v") * LEVEL_BUCKETS
-    known = known.withColumn("b1", F.floor(scaled)).withColumn(
-        "b2", F.floor((scaled - F.col("b1")) * LEVEL_BUCKETS)
-    )
+    v = F.col(value).cast("double")
+    known = df.select(v.alias("v")).filter(v.isNotNull()).withColumn("b1", coarse_bucket(F.col("v")))
     total = known.agg(F.count("*").alias("n")).scalar()
     places = []
     for q in quantiles:
@@ -90,7 +106,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float]) -> Da
             )
     first = _locate(
         known.groupBy("b1")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         .withColumn("_total", total)
         .withColumn("wanted", F.array(*places))
         .drop("_total"),
@@ -98,26 +114,68 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float]) -> Da
         "b1",
     )
     # At most two buckets per quantile are left on this side.
+    inside = known.join(F.broadcast(first), "b1").withColumn("b2", fine_bucket(F.col("v"), F.col("low"), F.col("high")))
     second = _locate(
-        known.join(F.broadcast(first), "b1")
-        .groupBy("b1", "b2")
-        .agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")),
+        inside.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")),
         ["b1"],
         "b2",
     )
     third = _locate(
-        known.join(F.broadcast(second), ["b1", "b2"])
+        inside.drop("wanted").join(F.broadcast(second), ["b1", "b2"])
         .groupBy("b1", "b2", "v")
         .agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")),
         ["b1", "b2"],
         "v",
-    )
+    )
     sides = third.select("v", F.inline("wanted"))
     low = F.max(F.when(F.col("side") == 0, F.col("v")))
     high = F.max(F.when(F.col("side") == 1, F.col("v")))
+    share = F.max("share")
+    # Weighted, so that no difference of two large values overflows.
     return sides.groupBy("q").agg(
-        (low + (high - low) * F.max("share")).alias("value")
+        F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias("value")
+    )
+
+
+def misses_below_hits(df: DataFrame, score: str, hit: Column, ties: Sequence[str]) -> DataFrame:
+    """One row (rows, hits, below): below is the number of misses under each hit, summed over the hits.
+
+    Rows are ordered by `score`, then by the columns `ties`, which make them unique. Nothing is
+    sorted as a whole: buckets of scores are counted, misses in lower buckets are taken as counted,
+    and only buckets with both hits and misses are looked into, in finer buckets, then by score, then
+    by each column of `ties`. Null scores do not count.
+    """
+    rows = settled(
+        df.select(F.col(score).cast("double").alias("_v"), hit.alias("_hit"), *ties)
+        .where("_v IS NOT NULL")
+        .withColumn("_b1", coarse_bucket(F.col("_v")))
     )
+    hits = F.count_if("_hit").alias("_hits")
+    counted, path, total = [], [], None
+    for key in ("_b1", "_b2", "_v", *ties):
+        own = rows.groupBy(*path, key).agg(
+            F.count("*").alias("_n"), hits, F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        )
+        own = settled(own)
+        before = Window.partitionBy(*path).orderBy(key) if path else Window.orderBy(key)
+        running = before.rowsBetween(Window.unboundedPreceding, -1)
+        misses = F.coalesce(F.sum(F.col("_n") - F.col("_hits")).over(running), F.lit(0))
+        counted.append(own.where("_hits > 0 OR _hits < _n").withColumn("_under", misses * F.col("_hits")).agg(F.sum("_under").alias("below")))
+        if total is None:
+            total = own.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_hits"), F.lit(0)).alias("hits"))
+        path.append(key)
+        mixed = own.where("_hits > 0 AND _hits < _n")
+        if key == ties[-1] or mixed.isEmpty():
+            break
+        # At most one bucket per hit is left on this side.
+        rows = rows.join(mixed.select(*path, "_low", "_high"), path)
+        if key == "_b1":
+            rows = rows.withColumn("_b2", fine_bucket(F.col("_v"), F.col("_low"), F.col("_high")))
+        rows = settled(rows.drop("_low", "_high"))
+    below = counted[0]
+    for part in counted[1:]:
+        below = below.unionByName(part)
+    return total.withColumn("below", F.lit(below.agg(F.coalesce(F.sum("below"), F.lit(0)).alias("below")).scalar()))
 
 
 def ordinal_in_group(
