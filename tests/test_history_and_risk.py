@@ -10,6 +10,7 @@ from tidewrack.constants import SIGNALS
 from tidewrack.operators import history, ranking, sea, serving
 from tidewrack.plans import evaluation
 from tidewrack.plans.risk import RiskModel, slots_between
+from tidewrack.sources import masses
 
 OBSERVED = "segment_id int, day date, records int"
 
@@ -94,6 +95,38 @@ def test_only_year_scored_against_itself_has_nothing_left(spark):
     assert got == pytest.approx(1 - math.exp(-0.5 / 31))
 
 
+def test_thirty_daily_updates_equal_one_full_run(spark, tmp_path):
+    rng, start, path = random.Random(8), date(2024, 1, 1), str(tmp_path / "mass")
+    days = {(rng.randrange(6), start + timedelta(days=rng.randrange(-400, 40))): rng.randint(1, 4) for _ in range(150)}
+    rows = [(s, d, n) for (s, d), n in days.items()]
+    observed = spark.createDataFrame(rows, OBSERVED)
+    segments = spark.createDataFrame([(s,) for s in range(7)], "segment_id long")
+
+    def want(day, known=rows):
+        out = {}
+        for s in range(7):
+            out[s] = sum(n * 0.5 ** (((day - timedelta(days=3)) - d).days / 365) for q, d, n in known
+                         if q == s and d < day - timedelta(days=3))
+        return out
+
+    def run(day, records):
+        return {r.segment_id: r.persistence for r in masses.daily_persistence(spark, path, records, segments, day).collect()}
+
+    for n in range(30):
+        day = start + timedelta(days=n)
+        # Only what came since the day before is there to read.
+        since = observed.where(F.col("day") >= F.lit(day - timedelta(days=4))) if n else observed
+        assert run(day, since) == pytest.approx(want(day))
+        assert run(day, observed.limit(0)) == pytest.approx(want(day))  # again, from what is stored
+    late = [(2, start + timedelta(days=10), 5)]
+    masses.forget_from(spark, path, start + timedelta(days=10))
+    masses.forget_from(spark, path, start + timedelta(days=10))
+    assert max(masses.stored_through(spark, path)) == start + timedelta(days=10)
+    both = observed.unionByName(spark.createDataFrame(late, OBSERVED))
+    day = start + timedelta(days=29)
+    assert run(day, both.where(F.col("day") >= F.lit(start + timedelta(days=10)))) == pytest.approx(want(day, rows + late))
+
+
 def test_window_wraps_inside_its_year(spark):
     counts = spark.createDataFrame([(1, 2023, 365, 1)], "segment_id int, year int, slot int, records int")
     slots = sorted(r.slot for r in history.circular_window_sum(counts).collect())

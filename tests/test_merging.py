@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.constants import MEASURES, WIND_MEASURES
+from tidewrack.sources import tables
 from tidewrack.operators import merging, shoreline
 
 AT = datetime(2024, 1, 1, 5)
@@ -103,8 +104,6 @@ def test_prune_guard(spark, stale, refused):
 
 
 def test_stored_days_are_replaced_and_merged(spark, tmp_path):
-    from tidewrack.sources import tables
-
     path = str(tmp_path / "job")
     schema = tables.TABLES["job"][1]
     day = lambda n: date(2024, 1, n)
@@ -127,3 +126,62 @@ def test_stored_days_are_replaced_and_merged(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "job" / "day=2024-01-01").glob("*.parquet")) == untouched
     with pytest.raises(ValueError):
         tables.replace_days(spark, "job", path, jobs((9, "done", 1)), "2024-01-01", "2024-01-02")
+
+
+class Dying:
+    """A file system whose owner dies before its n-th change."""
+
+    def __init__(self, store, steps):
+        self.store, self.steps = store, steps
+
+    def __getattr__(self, name):
+        real = getattr(self.store, name)
+        if name not in ("rename", "delete", "create"):
+            return real
+
+        def changing(*a):
+            if not self.steps:
+                raise KeyboardInterrupt
+            self.steps -= 1
+            return real(*a)
+
+        return changing
+
+
+def test_a_replacement_that_dies_leaves_the_old_span_or_the_new_one(spark, tmp_path, monkeypatch):
+    ddl = tables.TABLES["drift_daily"][1]
+
+    def rows(*days):
+        return spark.createDataFrame([(date(2024, 1, 1), date(2024, 1, d), s, float(w)) for d, s, w in days], ddl)
+
+    def content(path):
+        return sorted((r.day.day, r.coastal_segment_id, r.drift_index) for r in tables.read_days_of(spark, "drift_daily", path).collect())
+
+    old = [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1), (5, 1, 1)]
+    new = [(2, 3, 2), (4, 3, 2)]
+    after = sorted([*[o for o in old if o[0] in (1, 5)], *new])
+    real, seen = tables._store, set()
+    for steps in range(20):
+        path = str(tmp_path / f"t{steps}")
+        rows(*old).write.partitionBy("day").parquet(path)
+
+        shared = {}
+        monkeypatch.setattr(tables, "_store", lambda s, p, shared=shared, steps=steps: (
+            real(s, p)[0], shared.setdefault("store", Dying(real(s, p)[1], steps))))
+        try:
+            tables.replace_days(spark, "drift_daily", path, rows(*new), "2024-01-02", "2024-01-04")
+            finished = True
+        except KeyboardInterrupt:
+            finished = False
+        monkeypatch.setattr(tables, "_store", real)
+        got = content(path)
+        assert got in (sorted(old), after), steps
+        seen.add(got == after)
+        assert content(path) == got
+        # The next replacement goes on from there.
+        tables.replace_days(spark, "drift_daily", path, rows(), "2024-01-01", "2024-01-01")
+        assert content(path) == [r for r in got if r[0] != 1]
+        if finished:
+            assert got == after
+            break
+    assert finished and seen == {False, True}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewrack.operators import kernel, lattice, nearest, shoreline
+from tidewrack.operators import kernel, lattice, longlines, nearest, shoreline
 
 SITE = "segment_id int, lat double, lon double"
 
@@ -243,3 +243,41 @@ def test_densified_line_keeps_its_points(spark):
             want.append((a[0] + (b[0] - a[0]) * share, a[1] + (b[1] - a[1]) * share))
         want.append(b)
     assert got == [pytest.approx(w) for w in want]
+
+
+def wandering(rng, n, step):
+    """A line of n points near the middle of the region, with legs of very different lengths."""
+    lat, lon, out = 46.0, 1.0, []
+    for _ in range(n):
+        out.append((lat, lon))
+        far = rng.choice([0.0, step, step, step * 40])
+        lat = min(max(lat + rng.uniform(-far, far), 43.0), 50.0)
+        lon = min(max(lon + rng.uniform(-far, far), -5.0), 9.0)
+    return out
+
+
+@pytest.mark.parametrize("block_points", [7, 40, 65_536])
+def test_blocks_of_long_lines_are_cut_as_the_walk_cuts_them(spark, block_points):
+    rng = random.Random(11)
+    lines = [(0, wandering(rng, 900, 0.02)), (1, wandering(rng, 300, 0.0005)), (2, wandering(rng, 2, 0.5)), (3, [(46.0, 1.0)]),
+             (4, [(46.0, 1.0)] * 30), (5, [(46.0, 1.0 + 0.3 * k) for k in range(12)]), (6, [(46.0, 1.0), (46.0, 1.1)])]
+    frame = spark.createDataFrame([(i, [tuple(p) for p in points]) for i, points in lines],
+                                  "line_id long, points array<struct<lat: double, lon: double>>")
+    want = [(r.line_id, r.external_id, r.length_km, r.center_lat, r.center_lon, r.orientation_deg, [tuple(p) for p in r.path])
+            for r in shoreline.segment_lines(frame).orderBy("line_id", "piece").collect()]
+    # The order of the points need not be dense.
+    points = longlines.points_of(frame).withColumn("seq", F.col("seq") * 3 + F.col("line_id")).repartition(5)
+    got = [(r.line_id, r.external_id, r.length_km, r.center_lat, r.center_lon, r.orientation_deg, [tuple(p) for p in r.path])
+           for r in longlines.segment_points(points, block_points=3 * block_points).orderBy("line_id", "start").collect()]
+    assert len(want) > 60 and [(g[0], g[1], g[6]) for g in got] == [(w[0], w[1], w[6]) for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[2:6] == pytest.approx(w[2:6], rel=1e-12)
+    dense = shoreline.densify_line(frame).select("line_id", (F.col("leg") * 3 + F.col("line_id")).alias("seq"), "step", "lat", "lon")
+    mine = longlines.densify_points(points, block_points=3 * block_points)
+    as_rows = lambda df: sorted((r.line_id, r.seq, r.step, round(r.lat, 9), round(r.lon, 9)) for r in df.collect())
+    assert as_rows(mine) == as_rows(dense)
+
+
+def test_no_points_no_pieces(spark):
+    none = spark.createDataFrame([], "line_id long, seq long, lat double, lon double")
+    assert longlines.segment_points(none).count() == 0 and longlines.densify_points(none).count() == 0

@@ -142,11 +142,16 @@ def failures(spark, folder):
     "a15_complete_buckets",
     """SELECT kind, bucket, complete_days FROM (
          SELECT kind, date '2020-01-06' + cast(floor((day - date '2020-01-06') / 14e0) * 14 AS int) AS bucket,
-           count(*) FILTER (WHERE status <> 'failed') AS complete_days FROM fx_ledger GROUP BY 1, 2)
+           count(*) FILTER (WHERE complete) AS complete_days
+         FROM (SELECT event_type AS kind, cast(ts AS date) AS day, max(value) > 60 AS complete FROM events GROUP BY 1, 2)
+         GROUP BY 1, 2)
        WHERE complete_days = 14""",
 )
 def complete(spark, folder):
-    days = inputs.ledger(spark, folder).select(
-        "kind", "day", (F.col("status") != "failed").alias("complete")
+    """A day of a kind of event is complete if one of its values is over 60."""
+    days = (
+        inputs.table(spark, folder, "events")
+        .groupBy(F.col("event_type").alias("kind"), F.to_date("ts").alias("day"))
+        .agg((F.max("value") > 60).alias("complete"))
     )
     return coverage.complete_buckets(days)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from tidewrack.catalog.expressions import r6
@@ -10,6 +12,11 @@ from tidewrack.operators import history, sea
 from tidewrack.operators.nearest import coast_raster, observed_strandings
 from tidewrack.plans import inputs
 from tidewrack.plans.risk import slots_between
+from tidewrack.session import new_folder, settled
+from tidewrack.sources.masses import daily_persistence
+
+# The days on which the stored mass is brought up to date.
+UPDATES = ("1997-03-01", "1997-03-08")
 
 
 def observed(spark, folder):
@@ -68,6 +75,25 @@ def decayed(spark, folder):
     )
 
 
+@query(
+    "a6_daily_updates",
+    f"""SELECT s.segment_id, s.day,
+         round(coalesce(sum(o.records * power(0.5e0, ((s.day - 3) - o.day) / 365e0)), 0), 6) AS persistence
+       FROM (SELECT segment_id, cast(unnest(generate_series(date '{UPDATES[0]}', date '{UPDATES[1]}', INTERVAL 1 DAY)) AS date)
+               AS day FROM fx_segment) s
+       LEFT JOIN fx_observed o ON o.segment_id = s.segment_id AND o.day < s.day - 3 GROUP BY 1, 2""",
+)
+def updated_daily(spark, folder):
+    """One update a day: each reads the stored mass of the day before and the records since."""
+    path, records = new_folder(spark, "mass"), settled(observed(spark, folder))
+    first, last = map(date.fromisoformat, UPDATES)
+    segments, done = inputs.segments(spark, folder), None
+    for n in range((last - first).days + 1):
+        rows = daily_persistence(spark, path, records, segments, first + timedelta(days=n))
+        done = rows if done is None else done.unionByName(rows)
+    return done.select("segment_id", "day", r6("persistence"))
+
+
 @query(
     "a16_climatology_counts",
     """SELECT segment_id, cast(year AS int) AS year, cast(slot AS int) AS slot, cast(records AS bigint) AS records

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.registry import query
 from tidewrack.constants import COAST_LIMIT_KM
-from tidewrack.operators import kernel, lattice, nearest, sea, shoreline
+from tidewrack.operators import kernel, lattice, longlines, nearest, sea, shoreline
 from tidewrack.plans import inputs
 
 
@@ -295,3 +295,62 @@ def densified(spark, folder):
     return shoreline.densify_line(inputs.lines(spark, folder)).select(
         "line_id", "leg", "step", r6("lat"), r6("lon")
     )
+
+
+def coast_points(spark, folder):
+    """One long line per nation: the lines of its customers one after the other."""
+    points = longlines.points_of(inputs.lines(spark, folder))
+    nations = inputs.table(spark, folder, "customer").select(F.col("c_custkey").alias("line_id"), F.col("c_nationkey").cast("long").alias("nation"))
+    return points.join(nations, "line_id").select(
+        F.col("nation").alias("line_id"), (F.col("line_id") * inputs.LINE_POINTS + F.col("seq")).alias("seq"), "lat", "lon"
+    )
+
+
+COAST = """coast AS (SELECT cast(c_nationkey AS bigint) AS line_id, line_id * 40 + seq AS place, lat, lon,
+            row_number() OVER (PARTITION BY c_nationkey ORDER BY line_id, seq) - 1 AS seq
+          FROM fx_line_point JOIN customer ON c_custkey = line_id),
+        leg AS (SELECT b.line_id, b.seq, b.place, b.lat, b.lon, coalesce(a.lat, b.lat) AS a_lat, coalesce(a.lon, b.lon) AS a_lon,
+            coalesce({leg}, 0) AS km
+          FROM coast b LEFT JOIN coast a ON a.line_id = b.line_id AND a.seq = b.seq - 1)""".format(leg=LEG)
+
+
+@query(
+    "w7_long_lines",
+    f"""WITH RECURSIVE {COAST}, ends AS (SELECT line_id, max(seq) AS last FROM coast GROUP BY 1),
+          walk(line_id, seq, start, length, closed) AS (
+            SELECT line_id, seq, cast(0 AS bigint), 0e0, false FROM leg WHERE seq = 0
+            UNION ALL
+            SELECT l.line_id, l.seq, CASE WHEN w.closed THEN w.seq ELSE w.start END,
+              CASE WHEN w.closed THEN 0 ELSE w.length END + l.km,
+              CASE WHEN w.closed THEN 0 ELSE w.length END + l.km >= 10
+            FROM walk w JOIN leg l ON l.line_id = w.line_id AND l.seq = w.seq + 1),
+          piece AS (SELECT line_id, start, seq AS stop, length FROM walk JOIN ends USING (line_id)
+            WHERE closed OR (seq = last AND length >= 5 AND start < seq)),
+          shaped AS (SELECT p.line_id, arg_min(q.place, q.seq) AS start, p.length, avg(q.lat) AS center_lat,
+              avg(q.lon) AS center_lon, count(*) AS points
+            FROM piece p JOIN coast q ON q.line_id = p.line_id AND q.seq BETWEEN p.start AND p.stop
+            GROUP BY p.line_id, p.start, p.stop, p.length)
+        SELECT line_id, start, round(center_lat, 6) AS center_lat, round(center_lon, 6) AS center_lon,
+          round(length, 6) AS length_km, cast(points AS int) AS points
+        FROM shaped WHERE center_lat BETWEEN 42 AND 51.5 AND center_lon BETWEEN -6 AND 9.5""",
+)
+def cut_long_lines(spark, folder):
+    """Lines far longer than a block, cut by the tasks of all their blocks."""
+    return longlines.segment_points(coast_points(spark, folder), block_points=4096).select(
+        "line_id", "start", r6("center_lat"), r6("center_lon"), r6("length_km"), F.size("path").alias("points")
+    )
+
+
+@query(
+    "w9_densify_points",
+    f"""WITH {COAST}
+        SELECT line_id, place AS seq, cast(step AS int) AS step,
+          round(CASE WHEN step > floor(km / 25) THEN lat ELSE a_lat + (lat - a_lat) * step * 25 / km END, 6) AS lat,
+          round(CASE WHEN step > floor(km / 25) THEN lon ELSE a_lon + (lon - a_lon) * step * 25 / km END, 6) AS lon
+        FROM (SELECT *, unnest(range(1, cast(floor(km / 25) AS int) + 2)) AS step FROM leg)""",
+)
+def densified_points(spark, folder):
+    """A point every 25 km of lines far longer than a block."""
+    return longlines.densify_points(coast_points(spark, folder), spacing_km=25.0, block_points=4096).select(
+        "line_id", "seq", "step", r6("lat"), r6("lon")
+    )

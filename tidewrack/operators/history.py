@@ -6,6 +6,8 @@ day, so a segment's group never holds more rows than the calendar has days.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,30 @@ def persistence(observed: DataFrame, spine: DataFrame) -> DataFrame:
     )
 
 
+def record_mass(observed: DataFrame) -> DataFrame:
+    """(segment_id, mass): records weighted relative to the epoch, so that masses of spans add up."""
+    age = F.datediff("day", F.lit(DECAY_EPOCH).cast("date"))
+    return observed.groupBy("segment_id").agg(
+        F.sum(F.col("records") * F.pow(F.lit(2.0), age / HALF_LIFE_DAYS)).alias("mass")
+    )
+
+
+def advance_mass(mass: DataFrame, new_records: DataFrame) -> DataFrame:
+    """The mass of a span and of the records that follow it (or come late)."""
+    both = mass.select("segment_id", "mass").unionByName(record_mass(new_records))
+    return both.groupBy("segment_id").agg(F.sum("mass").alias("mass"))
+
+
+def persistence_from_mass(mass: DataFrame, segments: DataFrame, day: date) -> DataFrame:
+    """(segment_id, day, persistence) of one day, from the mass of all records before its cutoff."""
+    age = (day - timedelta(days=ISSUE_LAG_DAYS) - date.fromisoformat(DECAY_EPOCH)).days
+    return segments.select("segment_id").join(mass, "segment_id", "left").select(
+        "segment_id",
+        F.lit(day).alias("day"),
+        (F.coalesce("mass", F.lit(0.0)) * 2.0 ** (-age / HALF_LIFE_DAYS)).alias("persistence"),
+    )
+
+
 def climatology_counts(observed: DataFrame) -> DataFrame:
     """Records per (segment_id, year, slot)."""
     return observed.groupBy(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,8 @@ from tidewrack.constants import MEASURES, SIGNALS
 from tidewrack.operators.merging import merge_upsert
 from tidewrack.session import settled
 
+#: Folders of replacements in a table: being written, and decided. Spark reads neither.
+UNDECIDED, DECIDED, SWAPPED = "_writing-", "_replace-", "_emptied"
 _PATH = "array<struct<lon: double, lat: double>>"
 
 # table -> (conflict key, DDL)
@@ -69,22 +72,71 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
 def replace_days(spark: SparkSession, name: str, path: str, rows: DataFrame, start: str, end: str) -> None:
     """Make the days [start, end] of a stored table, partitioned by `day`, be exactly `rows`.
 
-    Only the partitions of those days are written or deleted. `rows` may read the table itself:
-    they are settled first. Rows of other days are an error.
+    All or nothing: the new rows are written beside the table first, with the span they replace;
+    from the moment their folder has its final name the replacement holds. Only then are the days
+    of the table swapped, which `finish_replacements` does again after a failure: readers call it
+    (see `read_days_of`) and so never see a mixture. Only the partitions of the span are written or
+    deleted. `rows` may read the table itself. Rows of other days are an error.
     """
     inside = F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     fresh = settled(rows.select(*spark.createDataFrame([], TABLES[name][1]).columns))
     if not fresh.filter(~F.coalesce(inside, F.lit(False))).isEmpty():
         raise ValueError(f"rows outside {start}..{end}")
-    writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("day").parquet(path)
-    kept = {str(r.day) for r in fresh.select("day").distinct().collect()}  # bounded by the span
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in store.listStatus(folder):
-        day = status.getPath().getName().removeprefix("day=")
-        if start <= day <= end and day not in kept:
-            store.delete(status.getPath(), True)
+    finish_replacements(spark, path)
+    stage_replacement(spark, path, fresh, start, end)
+    finish_replacements(spark, path)
+
+
+def _store(spark: SparkSession, path: str):
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    return new, new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stage_replacement(spark: SparkSession, path: str, rows: DataFrame, start: str, end: str) -> None:
+    """Write the rows of a replacement beside the table; renaming their folder decides that it holds."""
+    new, store = _store(spark, path)
+    token = uuid.uuid4().hex
+    rows.write.partitionBy("day").parquet(f"{path}/{UNDECIDED}{token}")
+    store.rename(new(f"{path}/{UNDECIDED}{token}"), new(f"{path}/{DECIDED}{start}_{end}_{token}"))
+
+
+def finish_replacements(spark: SparkSession, path: str) -> None:
+    """Carry out what has been decided: each day's folder is renamed into the table.
+
+    Every step can be done again: a day whose new folder is gone has been swapped, and a day of the
+    span without a new folder is empty from then on.
+    """
+    new, store = _store(spark, path)
+    if not store.exists(new(path)):
+        return
+    for status in store.listStatus(new(path)):
+        label = status.getPath().getName()
+        if not label.startswith(DECIDED):
+            continue
+        start, end, _ = label.removeprefix(DECIDED).split("_")
+        folder = f"{path}/{label}"
+        swapped = new(f"{folder}/{SWAPPED}")
+        own = {s.getPath().getName() for s in store.listStatus(new(folder)) if s.getPath().getName().startswith("day=")}
+        if not store.exists(swapped):
+            # Days that get no rows go first, while the folder still shows which days do.
+            for old in store.listStatus(new(path)):
+                day = old.getPath().getName()
+                if day.startswith("day=") and start <= day.removeprefix("day=") <= end and day not in own:
+                    store.delete(old.getPath(), True)
+            store.create(swapped).close()
+        for day in sorted(own):
+            store.delete(new(f"{path}/{day}"), True)
+            store.rename(new(f"{folder}/{day}"), new(f"{path}/{day}"))
+        store.delete(new(folder), True)
+
+
+def read_days_of(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A stored table partitioned by `day`, after decided replacements are carried out.
+
+    Folders of replacements, decided or not, are hidden from Spark's readers by their names.
+    """
+    finish_replacements(spark, path)
+    return read_table(spark, name, path)
 
 
 def upsert_days(
