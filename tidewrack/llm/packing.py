@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -47,6 +48,8 @@ class WordwiseEncoder:
     """
 
     def __init__(self, path: str, held_bytes: int = 48 << 20) -> None:
+        # Tasks keep the cores busy already; threads of its own would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
