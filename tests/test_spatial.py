@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.operators import kernel, lattice, longlines, nearest, shoreline
+from tidewrack.sources import rasters
 
 SITE = "segment_id int, lat double, lon double"
 
@@ -281,3 +282,42 @@ def test_blocks_of_long_lines_are_cut_as_the_walk_cuts_them(spark, block_points)
 def test_no_points_no_pieces(spark):
     none = spark.createDataFrame([], "line_id long, seq long, lat double, lon double")
     assert longlines.segment_points(none).count() == 0 and longlines.densify_points(none).count() == 0
+
+
+def test_a_changed_coastline_searches_its_own_nodes_only(spark, tmp_path):
+    rng = random.Random(12)
+    points = {s: [(43 + 8 * rng.random(), -5 + 13 * rng.random())] for s in range(40)}
+    for s, own in points.items():
+        own += [(own[0][0] + 0.02 * k, own[0][1] + 0.01 * k) for k in (1, 2)]
+
+    def table(coast):
+        rows = [(s, lat, lon) for s, own in coast.items() for lat, lon in own]
+        return spark.createDataFrame(rows, "segment_id long, lat double, lon double")
+
+    def content(raster):
+        return {(r.node_row, r.node_col): (r.segment_id, r.distance_km) for r in raster.collect()}
+
+    path, before = str(tmp_path / "rasters"), table(points)
+    first = content(rasters.stored_raster(spark, path, before))
+    assert first == content(nearest.coast_raster(before))
+    changed = {s: own for s, own in points.items() if s != 3}  # one went, one moved, one came, next to others
+    changed[5] = [(lat + 0.03, lon) for lat, lon in points[5]]
+    changed[99] = [(points[7][0][0] + 0.01, points[7][0][1])]
+    after = table(changed)
+    updated, touched = rasters.updated_raster(nearest.coast_raster(before), before, after, 15.0)
+    full = content(nearest.coast_raster(after))
+    assert content(updated) == full
+    searched = {(r.node_row, r.node_col) for r in touched.collect()}
+    moved = [p for s in (3, 5) for p in points[s]] + [p for s in (5, 99) for p in changed[s]]
+    for row, column in searched:
+        lat, lon = 42 + 0.02 * row, -6 + 0.02 * column
+        assert min(max(abs(lat - p[0]) * 110.6, abs(lon - p[1]) * 111.3 * math.cos(math.radians(p[0]))) for p in moved) < 15 + 3
+    assert {n for n in {*first, *full} if first.get(n) != full.get(n)} <= searched and len(searched) < len(first) / 3
+    assert content(rasters.stored_raster(spark, path, after)) == full
+    names = rasters._versions(spark, path)
+    assert content(rasters.stored_raster(spark, path, before.repartition(7))) == first  # another order, the same content
+    assert rasters._versions(spark, path) == names and len(names) == 2
+    for n in range(4):
+        rasters.stored_raster(spark, path, table({n: points[n]}))
+    assert len(rasters._versions(spark, path)) == 3
+    assert content(rasters.stored_raster(spark, path, table({}).limit(0))) == {}

@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.registry import query
 from tidewrack.operators import history, sea
-from tidewrack.operators.nearest import coast_raster, observed_strandings
+from tidewrack.operators.nearest import observed_strandings
 from tidewrack.plans import inputs
 from tidewrack.plans.risk import slots_between
-from tidewrack.session import new_folder, settled
+from tidewrack.session import new_folder, settled, shared_folder
 from tidewrack.sources.masses import daily_persistence
+from tidewrack.sources.rasters import stored_raster
 
 # The days on which the stored mass is brought up to date.
 UPDATES = ("1997-03-01", "1997-03-08")
 
 
+def raster(spark, folder):
+    """The raster of the folder's coastline, kept beside the session's checkpoints."""
+    return stored_raster(spark, f"{shared_folder(spark)}/coast-raster", inputs.segment_points(spark, folder))
+
+
 def observed(spark, folder):
-    return observed_strandings(
-        inputs.strandings(spark, folder), coast_raster(inputs.segment_points(spark, folder))
-    )
+    return observed_strandings(inputs.strandings(spark, folder), raster(spark, folder))
 
 
 def order_days(spark, folder):

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.registry import query
-from tidewrack.constants import COAST_LIMIT_KM
+from tidewrack.constants import COAST_LIMIT_KM, SNAP_RADIUS_KM
 from tidewrack.operators import kernel, lattice, longlines, nearest, sea, shoreline
 from tidewrack.plans import inputs
+from tidewrack.sources.rasters import updated_raster
 
 
 @query(
@@ -21,6 +22,21 @@ def snapped(spark, folder):
     ).select("external_id", "segment_id", r6("distance_km"))
 
 
+@query(
+    "j2_snap_updated",
+    "SELECT external_id, segment_id, round(distance_km, 6) AS distance_km FROM fx_snapped",
+)
+def snapped_after_update(spark, folder):
+    """Snapping on a raster brought up to date after every third segment was added or moved."""
+    after = inputs.segment_points(spark, folder)
+    place = F.col("segment_id") % 3
+    before = after.where(place > 0).withColumn("lat", F.when(place == 1, F.col("lat") + 0.05).otherwise(F.col("lat")))
+    raster, _ = updated_raster(nearest.coast_raster(before), before, after, SNAP_RADIUS_KM)
+    return nearest.snap_to_segment(inputs.strandings(spark, folder), raster).select(
+        "external_id", "segment_id", r6("distance_km")
+    )
+
+
 @query(
     "j2_observed_history",
     "SELECT segment_id, day, records FROM fx_observed",

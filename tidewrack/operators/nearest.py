@@ -251,14 +251,20 @@ def coast_raster(segment_points: DataFrame, radius_km: float = SNAP_RADIUS_KM) -
     """(node_row, node_col, segment_id, distance_km) of every raster node near a segment.
 
     It depends on the coastline only and never has more rows than the raster has nodes.
+    `sources.rasters` keeps it stored.
     """
-    node = segment_points.sparkSession.range(RASTER_ROWS * RASTER_COLUMNS).select(
+    nodes = segment_points.sparkSession.range(RASTER_ROWS * RASTER_COLUMNS).select(
         F.floor(F.col("id") / RASTER_COLUMNS).cast("int").alias("node_row"),
         (F.col("id") % RASTER_COLUMNS).cast("int").alias("node_col"),
     )
+    return nearest_nodes(nodes, segment_points, radius_km)
+
+
+def nearest_nodes(nodes: DataFrame, segment_points: DataFrame, radius_km: float) -> DataFrame:
+    """The rows of `coast_raster` for some nodes (node_row, node_col)."""
     lat, lon = node_position(F.col("node_row"), F.col("node_col"))
     return nearest_sites(
-        node.select("node_row", "node_col", lat.alias("lat"), lon.alias("lon")),
+        nodes.select("node_row", "node_col", lat.alias("lat"), lon.alias("lon")),
         segment_points.select(F.col("segment_id").alias("site_id"), "lat", "lon"),
         ["node_row", "node_col"],
         limit_km=radius_km,
