@@ -125,3 +125,17 @@ def test_the_ratio_follows_the_vectors(spark):
     rng = np.random.default_rng(14)
     x = rng.normal(size=(4000, 6)).astype(np.float32)
     assert recall(spark, x, ann.Settings(list_rows=16, boundary=1.0)) >= 0.95
+
+
+def test_vectors_of_each_size_are_searched_apart(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, [float(x) for x in rng.normal(size=3 if i % 3 else 5)], 0) for i in range(240)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), k=4, settings=ann.Settings(list_rows=20, task_rows=60, task_queries=4)).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hits = 0
+    for i, v, _ in rows[::20]:
+        ranked = sorted((-float(np.float32(v).astype(float) @ np.float32(w).astype(float)), j) for j, w, _ in rows if j != i and len(w) == len(v))
+        hits += len({j for _, j in ranked[:4]} & {j for _, j in found[i]})
+    assert set(found) == {i for i, _, _ in rows[::20]} and hits >= 0.9 * 4 * 12

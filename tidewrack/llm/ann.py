@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import ceil_div, deal, settled, vectors
+from tidewrack.llm.common import broadcast_if_small, ceil_div, deal, settled, vectors
 
 
 @dataclass(frozen=True)
@@ -268,24 +268,30 @@ def nearest(
     bundle of lists; larger ones are dealt into segments and the queries into blocks of bounded
     size, so a list that holds a third of all rows is searched by many tasks. A query gives k rows
     per bundle; how many lists it visits has no bound but their number; the
-    ratio that ends its search is measured on each run, see `measured_ratio`. Scores are products of the original vectors.
+    ratio that ends its search is measured on each run, see `measured_ratio`. The rows of a bundle
+    are sent once per block of the queries that visit it. Scores are products of the original vectors.
 
     Null, zero and empty vectors, vectors with a null or non-finite component and rows without an
-    id take no part; neither do vectors of another dimension than the most frequent one. An id that
-    occurs repeatedly counts once. Ties go to the smaller id. An empty table gives no rows.
+    id take no part. Vectors of different sizes are searched apart. An id that occurs repeatedly
+    counts once. Ties go to the smaller id. An empty table gives no rows.
     """
-    s = settings
-    spark = embeddings.sparkSession
     usable = vectors(embeddings, id_column, vector_column).where(F.exists("v", lambda x: x != 0))
     clean = settled(usable)
-    sizes = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = sizes["n"] if sizes else 1
+    found = None
+    for r in clean.select(F.size("v").alias("n")).distinct().orderBy("n").collect():
+        own = _nearest_of_one_size(clean.where(F.size("v") == r["n"]), k, query_every, settings)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return found
+
+
+def _nearest_of_one_size(clean: DataFrame, k: int, query_every: int, s: Settings) -> DataFrame:
+    """`nearest` for rows (vec_id, v) of one size."""
+    spark = clean.sparkSession
     length2 = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
-    clean = clean.where(F.size("v") == size)
     total, longest2 = clean.agg(F.count("*"), F.coalesce(F.max(length2), F.lit(0.0))).first()
     result = "query_id long, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = F.pmod(F.xxhash64("vec_id", F.lit(s.seed)), F.lit(1_000_000))
     taken = clean.where(share < F.lit(1_000_000 * min(1.0, s.sample_rows / total))).select("v")
     fitted = np.array([r["v"] for r in taken.toLocalIterator()] or [clean.first()["v"]])
@@ -319,7 +325,6 @@ def nearest(
     bundle_of = (np.cumsum(held) - held) // s.task_rows
     rows_of = np.bincount(bundle_of, weights=held)
     segments_of = np.maximum(1, np.ceil(rows_of / s.task_rows)).astype(int)
-    blocks = ceil_div(clean.where(F.col("vec_id") % query_every == 0).count(), s.task_queries)
     bundles = F.broadcast(
         spark.createDataFrame(
             [(i, int(b), int(segments_of[b])) for i, b in enumerate(bundle_of)], "list int, bundle int, segments int"
@@ -340,14 +345,19 @@ def nearest(
                 yield out
 
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    queries = (
+    visits = settled(
         clean.where(F.col("vec_id") % query_every == 0)
         .repartition("vec_id")
         .mapInPandas(visiting, "vec_id long, v array<double>, bundle int, lists array<int>, segments int")
-        .select("bundle", upto(F.col("segments")).alias("segment"), deal(F.col("vec_id"), blocks).alias("block"), "vec_id", "v", "lists")
     )
-    rows = postings.join(bundles, "list").select(
-        "bundle", deal(F.col("vec_id"), F.col("segments")).alias("segment"), upto(F.lit(blocks)).alias("block"),
+    # As many blocks of queries as visit a bundle: rows of others are not sent for them.
+    blocks = settled(visits.groupBy("bundle").agg(F.ceil(F.count("*") / s.task_queries).cast("int").alias("blocks")))
+    blocks = broadcast_if_small(blocks, 16)
+    queries = visits.join(blocks, "bundle").select(
+        "bundle", upto(F.col("segments")).alias("segment"), deal(F.col("vec_id"), F.col("blocks")).alias("block"), "vec_id", "v", "lists"
+    )
+    rows = postings.join(bundles, "list").join(blocks, "bundle").select(
+        "bundle", deal(F.col("vec_id"), F.col("segments")).alias("segment"), upto(F.col("blocks")).alias("block"),
         "vec_id", "v", "list",
     )
 
