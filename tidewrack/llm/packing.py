@@ -28,12 +28,13 @@ PLACED = f"{PIECES}, part int, bin int, fill long, offset long"
 
 
 class Remembered(dict):
-    """What is known for good, and `once` what is known for now."""
+    """What is known; `make` gives what is not."""
 
-    once: dict = {}
+    def __init__(self, make) -> None:
+        self.make = make
 
     def __missing__(self, key):
-        return self.once[key]
+        return self.make(key)
 
 
 class WordwiseEncoder:
@@ -41,10 +42,9 @@ class WordwiseEncoder:
 
     A text is cut at the file's added tokens first, as its own tokenizer does. A token never spans a
     space that a visible character follows, so what is between is cut there and the ids of its parts
-    are looked up; new parts are encoded together. A line feed between visible characters, and a last
-    mark after a letter or digit, are tokens of their own, so what stands around them is looked up
-    before it is encoded. The look-up holds two generations of about `held_bytes` each; parts still
-    in use move on to the newer one.
+    are looked up. A line feed between visible characters, and a last mark after a letter or digit,
+    are tokens of their own, so what stands around them is looked up before it is encoded. The
+    look-up holds two generations of about `held_bytes` each; parts still in use move on to the newer one.
     """
 
     def __init__(self, path: str, held_bytes: int = 48 << 20) -> None:
@@ -53,13 +53,12 @@ class WordwiseEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.model = self.tokenizer.model
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.blank_run = re.compile(r" (?:\s|$)").search
         self.cut_between = re.compile(r"(?<=\S) (?=\S)").split
-        self.known, self.older = Remembered(), Remembered()
+        self.known, self.older = Remembered(self._make), {}
         self.held_bytes, self.bytes = held_bytes, 0
         self.marks = {m: self._ids([m])[0].tobytes() for m in ".,;:!?"}
         self.feed = self._ids(["\n"])[0].tobytes()
@@ -72,67 +71,33 @@ class WordwiseEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, parts: list[str], ids: list[bytes]) -> None:
-        self.known.update(zip(parts, ids, strict=True))
-        self.bytes += 160 * len(parts) + sum(map(len, parts)) + sum(map(len, ids))  # entries and objects, about
-
-    def _again(self, parts: set[str]) -> set[str]:
-        """Those of `parts` that have to be encoded; the older generation's move on."""
-        known, older = self.known, self.older
-        missing = {p for p in parts if p not in known}
-        again = [p for p in missing if p in older]
-        self._keep(again, list(map(older.__getitem__, again)))
-        missing.difference_update(again)
-        return missing
-
-    def _learn(self, parts: set[str]) -> None:
-        """Encode parts: those that start a line (their key starts with a line feed) as they are, others
-        after a space. A part of letters only is one word for the file's model."""
-        model = self.tokenizer.model.tokenize
-        words = [p for p in parts if p.isalpha() and p.isascii()]
-        self._keep(words, [array("I", [t.id for t in model("Ġ" + p)]).tobytes() for p in words])
-        rest = parts.difference(words)
-        heads = [p for p in rest if p[:1] == "\n"]
-        apart = [p for p in rest if " " in p]
-        plain = [p for p in rest if p[:1] != "\n" and " " not in p]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = self._ids([" " + " ".join(some)])[0]
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(some):
-                data, edges = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-                self._keep(some, [data[a:b] for a, b in zip(edges, edges[1:])])
-            else:
-                apart += some
-        alone = apart + heads
-        texts = [" " + p for p in apart] + [p[1:] for p in heads]
-        self._keep(alone, [own.tobytes() for own in self._ids(texts)] if alone else [])
-
-    def _look_up(self, wanted: set[str]) -> None:
-        """Have all wanted parts known; those over several lines only until the next call."""
-        if self.bytes > self.held_bytes:
-            self.known, self.older, self.bytes = Remembered(), self.known, 0
-        missing = self._again(wanted)
-        lines = {p: p.split("\n") for p in missing if "\n" in p[1:]}
-        lines = {p: [own[0], *("\n" + x for x in own[1:])] for p, own in lines.items() if p.split() == own}
-        missing.difference_update(lines)
-        missing |= self._again({x for own in lines.values() for x in own})
-        marks = self.marks
-        marked = [p for p in missing if p[-1:] in marks and p[-2:-1].isalnum() and p[-2] < "\u0530"]
-        missing.difference_update(marked)
-        missing |= self._again({p[:-1] for p in marked})
-        self._learn(missing)
+    def _make(self, part: str) -> bytes:
+        """The ids of a part that is not in the newer generation: after a space, or, if it starts with a
+        line feed, those of what follows it."""
         known = self.known
-        self._keep(marked, [known[p[:-1]] + marks[p[-1]] for p in marked])
-        known.once = {p: self.feed.join([known[x] for x in own]) for p, own in lines.items()}
+        ids = self.older.get(part)
+        if ids is None:
+            if "\n" in part[1:] and (own := part.split("\n")) == part.split():
+                # Not kept: such parts rarely come again.
+                return self.feed.join([known[own[0]], *[known["\n" + x] for x in own[1:]]])
+            head = part[:1] == "\n"
+            word = part[1:] if head else part
+            if part[-1:] in self.marks and part[-2:-1].isalnum() and part[-2] < "\u0530":
+                ids = known[part[:-1]] + self.marks[part[-1]]
+            elif word.isalpha() and word.isascii():
+                # Letters only are one word for the file's model.
+                ids = array("I", [t.id for t in self.model.tokenize(word if head else "Ġ" + word)]).tobytes()
+            else:
+                ids = self._ids([word if head else " " + word])[0].tobytes()
+        known[part] = ids
+        self.bytes += 160 + len(part) + len(ids)  # the entry and its objects, about
+        return ids
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """The ids of texts that hold no added token."""
+        if self.bytes > self.held_bytes:
+            self.known, self.older, self.bytes = Remembered(self._make), dict(self.known), 0
         cut = [self._cut(t) for t in texts]
-        wanted: set[str] = set()
-        for parts in cut:
-            wanted.update(parts[1:])
-        self._look_up(wanted)
         look = self.known.__getitem__
         heads = self._ids([parts[0] for parts in cut])
         return [h.tobytes() + b"".join(map(look, parts[1:])) for h, parts in zip(heads, cut, strict=True)]
