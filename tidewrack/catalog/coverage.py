@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.registry import query
 from tidewrack.operators import coverage
-from tidewrack.plans import inputs
 
 
 def _plan(spark, folder):

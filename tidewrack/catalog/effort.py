@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.registry import query
 from tidewrack.constants import GFW_FISHING
 from tidewrack.operators import effort, species
-from tidewrack.plans import inputs
 
 
 def _effort_cells(spark, folder):

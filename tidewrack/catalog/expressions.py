@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.registry import query
 from tidewrack.constants import HALF_LIFE_DAYS, REGION
 from tidewrack.functions import effort as weights
 from tidewrack.functions import geodesy, labels, scoring, timeline
-from tidewrack.plans import inputs
 from tidewrack.sources.tables import scan_span
 
 

@@ -6,11 +6,11 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.registry import query
 from tidewrack.operators import history, sea
 from tidewrack.operators.nearest import observed_strandings
-from tidewrack.plans import inputs
 from tidewrack.plans.risk import slots_between
 from tidewrack.session import new_folder, settled, shared_folder
 from tidewrack.sources.masses import daily_persistence

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.expressions import SPARK_EVENT_TEXT, r6
 from tidewrack.catalog.registry import query
-from tidewrack.plans import inputs
 from tidewrack.session import new_folder
 from tidewrack.sources import coastline, fishing, positions, sightings, weather
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.landed import frames
 from tidewrack.catalog.registry import query
 from tidewrack.operators.effort import enrich_positions, last_known
-from tidewrack.plans import inputs
 from tidewrack.session import new_folder
 from tidewrack.sources.positions import parse_position_reports
 from tidewrack.streaming.positions import off_roster, open_hours, read_hourly, roster_counts, start_hourly

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.registry import query
 from tidewrack.constants import SEA_MEASURES, WIND_MEASURES
 from tidewrack.operators import merging
 from tidewrack.operators.shoreline import guarded_prune, prune_report, stale_rows
-from tidewrack.plans import inputs
 
 KEYS = list(inputs.DRIFT_KEYS)
 

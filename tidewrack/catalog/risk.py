@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.history import observed
 from tidewrack.catalog.registry import AS_OF, FIRST_DAY, LAST_DAY, query
 from tidewrack.constants import RIDGE, SIGNALS
 from tidewrack.operators import ranking, serving
 from tidewrack.operators.history import seasonal_baseline
-from tidewrack.plans import evaluation, inputs, risk
+from tidewrack.plans import evaluation, risk
 from tidewrack.session import settled
 
 SIGNAL_SQL = ", ".join(f"round({s}, 6) AS {s}" for s in SIGNALS)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.catalog import inputs
 from tidewrack.catalog.expressions import r6
 from tidewrack.catalog.registry import query
 from tidewrack.constants import COAST_LIMIT_KM, SNAP_RADIUS_KM
 from tidewrack.operators import kernel, lattice, longlines, nearest, sea, shoreline
-from tidewrack.plans import inputs
 from tidewrack.sources.rasters import updated_raster
 
 
