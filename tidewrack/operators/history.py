@@ -95,35 +95,25 @@ def climatology_counts(observed: DataFrame) -> DataFrame:
 def circular_window_sum(counts: DataFrame, slots: DataFrame | None = None) -> DataFrame:
     """Moving +-15 slot sums that wrap inside the same year; optionally only of the rows of `slots`.
 
-    The counts of a segment's year become one array of its slots, with the ends of the year repeated
-    at the other end; a sum is the difference of two places of its running sums. `slots(slot)` has at
-    most one row per slot of the year, so it is broadcast.
+    The counts of a segment's year meet in one row; its slots, with the ends of the year repeated at
+    the other end, get a running sum, and a window is the difference of two places of it. `slots(slot)`
+    has at most one row per slot of the year, so it is broadcast.
     """
     years = counts.groupBy("segment_id", "year").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", F.col("records").cast("long")))).alias("own")
     )
     around = F.sequence(F.lit(-WINDOW_HALF_SLOTS), F.lit(YEAR_SLOTS - 1 + WINDOW_HALF_SLOTS))
-    running = F.aggregate(
-        around,
-        F.array(F.lit(0).cast("long")),
-        lambda sums, s: F.concat(
-            sums,
-            F.array(
-                F.element_at(sums, -1)
-                + F.coalesce(F.try_element_at("own", F.pmod(s, F.lit(YEAR_SLOTS))), F.lit(0).cast("long"))
-            ),
-        ),
-    )
-    width = 2 * WINDOW_HALF_SLOTS + 1
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(YEAR_SLOTS - 1)),
-        lambda s: F.struct(
-            s.alias("slot"), (F.get("running", s + width) - F.get("running", s)).alias("records")
-        ),
-    )
+    count = F.coalesce(F.try_element_at("own", F.pmod("place", F.lit(YEAR_SLOTS))), F.lit(0).cast("long"))
+    places = years.withColumn("place", F.explode(around)).select("segment_id", "year", "place", count.alias("n"))
+    # The rows of a year are where the grouping has put them: the windows need no further shuffle.
+    along = Window.partitionBy("segment_id", "year").orderBy("place")
+    running = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.coalesce(F.lag("running", 2 * WINDOW_HALF_SLOTS + 1).over(along), F.lit(0).cast("long"))
     moved = (
-        years.select("segment_id", "year", running.alias("running"))
-        .select("segment_id", "year", F.inline(F.filter(sums, lambda x: x["records"] > 0)))
+        places.withColumn("running", running)
+        .withColumn("records", F.col("running") - before)
+        .where((F.col("place") >= WINDOW_HALF_SLOTS) & (F.col("records") > 0))
+        .withColumn("slot", F.col("place") - WINDOW_HALF_SLOTS)
     )
     if slots is not None:
         moved = moved.join(F.broadcast(slots), "slot", "left_semi")
