@@ -321,3 +321,22 @@ def test_a_changed_coastline_searches_its_own_nodes_only(spark, tmp_path):
         rasters.stored_raster(spark, path, table({n: points[n]}))
     assert len(rasters._versions(spark, path)) == 3
     assert content(rasters.stored_raster(spark, path, table({}).limit(0))) == {}
+
+
+def test_points_meet_the_sites_of_their_cell_in_one_row(spark):
+    """Dense sites, more than one chunk of them in a cell; points are not multiplied by tiles or sites."""
+    rng = np.random.default_rng(5)
+    sites = np.concatenate([[45.0, 3.0] + rng.random((3000, 2)) * 0.0005, [42.0, -6.0] + rng.random((300, 2)) * [9.0, 15.0]])
+    places = np.concatenate([[45.0, 3.0] + rng.random((40, 2)) * 0.019, [42.0, -6.0] + rng.random((160, 2)) * [9.0, 15.0]])
+    found = nearest.nearest_within(
+        spark.createDataFrame([tuple(map(float, p)) for p in places], "lat double, lon double"),
+        spark.createDataFrame([tuple(map(float, s)) for s in sites], "lat double, lon double"),
+        40.0,
+    )
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.lat, r.lon): r.distance_km for r in found.collect()}
+    for lat, lon in places:
+        a, b, c, d = map(np.radians, (lat, lon, sites[:, 0], sites[:, 1]))
+        chord = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+        true = float(2 * 6371.0088 * np.arcsin(np.sqrt(chord.min())))
+        assert got[lat, lon] == (pytest.approx(true, abs=1e-7) if true <= 40.0 else None)

@@ -1,11 +1,12 @@
 """Nearest-neighbour joins without comparing every pair.
 
-Sites are grouped into square tiles and each tile is summarised by a bounding box. For
-every point the boxes within reach give a lower and an upper bound on the distance to the
-nearest site inside; tiles whose lower bound exceeds the best upper bound cannot win and
-are dropped before any site is looked at. The bounds are exact, so the answer is the true
-minimum. All joins are equi-joins on tile keys; the aggregate after them is a minimum,
-combined on the map side. Skewed tiles are split by adaptive execution.
+Sites and points are grouped into the same square tiles, each summarised by a bounding box. Two
+boxes give a lower and an upper bound on the distance from any point of the one to the nearest
+site of the other; tiles whose lower bound exceeds the best upper bound of a cell of points cannot
+win and are dropped before any site is looked at, from coarse tiles to fine ones. The bounds are
+exact, so the answer is the true minimum. What is searched is tables of tiles, bounded by the area
+and not by the points: a point meets the few sites its cell has left in one row, and no pairs of
+points and tiles are ever shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, pi, sin
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.constants import (
@@ -29,17 +30,28 @@ from tidewrack.constants import (
 from tidewrack.functions.geodesy import chord_to_km, half_chord, planar_km
 from tidewrack.functions.scoring import clamp
 from tidewrack.functions.timeline import utc_day
+from tidewrack.session import settled
 
 # Bounds come from the same arithmetic as the distance; the slack covers the last bits.
 SLACK = 1.0 + 1e-9
+CELL_BOX = ("low_lat", "high_lat", "low_lon", "high_lon")
 
 
-def _gap(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low - value, value - high, F.lit(0.0))
+# Wrapped longitudes are right to some 5e-16: this covers it for boxes too near for the slack.
+LEAST = 1e-20
 
+# Sites of a cell that travel in one row.
+CHUNK = 1024
 
-def _far(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(F.abs(value - low), F.abs(value - high))
+
+def _gap(first: tuple[Column, Column], second: tuple[Column, Column]) -> Column:
+    """The distance of two intervals."""
+    return F.greatest(second[0] - first[1], first[0] - second[1], F.lit(0.0))
+
+
+def _far(first: tuple[Column, Column], second: tuple[Column, Column]) -> Column:
+    """The largest distance of a place in one interval from a place in the other."""
+    return F.greatest(first[1] - second[0], second[1] - first[0])
 
 
 def _planar_square(d_lat: Column, d_lon: Column, cos_site: Column) -> Column:
@@ -58,15 +70,23 @@ def _tile(value: Column, tile_deg: float) -> Column:
     return F.floor(value / tile_deg).cast("int")
 
 
-def _boxes(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bounding box of the sites of each tile."""
-    return sites.groupBy(*keys).agg(
+def _boxes(places: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bounding box of the sites (`site_lat`, `site_lon`) of each tile."""
+    return places.groupBy(*keys).agg(
         F.min("site_lat").alias("south"),
         F.max("site_lat").alias("north"),
         F.min("site_lon").alias("west"),
         F.max("site_lon").alias("east"),
-        F.min(F.cos(F.radians("site_lat"))).alias("cos_low"),
-        F.max(F.cos(F.radians("site_lat"))).alias("cos_high"),
+    )
+
+
+def _cells(places: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bounding box of the points of each cell, from those of smaller cells or of points."""
+    return places.groupBy(*keys).agg(
+        F.min("low_lat").alias("low_lat"),
+        F.max("high_lat").alias("high_lat"),
+        F.min("low_lon").alias("low_lon"),
+        F.max("high_lon").alias("high_lon"),
     )
 
 
@@ -76,47 +96,46 @@ def _wrapped(lon: Column) -> Column:
 
 
 def _bounds(planar: bool) -> tuple[Column, Column]:
-    """Lower and upper bound on the measure from (_lat, _lon) to the nearest site of a box."""
-    lat, lon = F.col("_lat"), F.col("_lon")
+    """Lower and upper bound on the measure from any point of a cell to its nearest site of a box."""
+
+    def cosines(low: Column, high: Column) -> tuple[Column, Column]:
+        ends = F.cos(F.radians(low)), F.cos(F.radians(high))
+        return F.least(*ends), F.when((low <= 0) & (high >= 0), 1.0).otherwise(F.greatest(*ends))
+
+    low_lat, high_lat, low_lon, high_lon = (F.col(n) for n in CELL_BOX)
     south, north, west, east = (F.col(n) for n in ("south", "north", "west", "east"))
+    least, most = cosines(south, north)
+    lats = (low_lat, high_lat), (south, north)
     if planar:
-        near = (_gap(lat, south, north), _gap(lon, west, east))
-        far = (_far(lat, south, north), _far(lon, west, east))
-        return _planar_square(*near, F.col("cos_low")), _planar_square(*far, F.col("cos_high"))
-    # The way round to the middle of the box, and half its width: both ends within half a turn.
-    away, half = F.abs(_wrapped(lon - (west + east) / 2)), (east - west) / 2
-    near = (_gap(lat, south, north), F.greatest(away - half, F.lit(0.0)))
-    far = (_far(lat, south, north), F.least(away + half, F.lit(180.0)))
-    here = F.cos(F.radians(lat))
+        lons = (low_lon, high_lon), (west, east)
+        return _planar_square(_gap(*lats), _gap(*lons), least), _planar_square(_far(*lats), _far(*lons), most)
+    # The way round from middle to middle, and half of both widths: both ends within half a turn.
+    away = F.abs(_wrapped((low_lon + high_lon) / 2 - (west + east) / 2))
+    half = (east - west) / 2 + (high_lon - low_lon) / 2
+    here_least, here_most = cosines(low_lat, high_lat)
     return (
-        _chord_square(*near, here * F.col("cos_low")),
-        _chord_square(*far, here * F.col("cos_high")),
+        _chord_square(_gap(*lats), F.greatest(away - half, F.lit(0.0)), here_least * least),
+        _chord_square(_far(*lats), F.least(away + half, F.lit(180.0)), here_most * most),
     )
 
 
 def _winnow(
-    bounded: DataFrame, point_key: Sequence[str], tile_key: Sequence[str], within: Column
+    held: DataFrame, boxes: DataFrame, on: Sequence[str], cell: Sequence[str], keep: Sequence[str], planar: bool, within: Column
 ) -> DataFrame:
-    """Per point the tiles that may still hold its nearest site.
+    """Rows of `held` with the boxes that may still hold the nearest site of a point of their cell.
 
-    The grouped array holds the tiles in reach of one point: a fixed number, not the sites.
+    `held` rows lead to their boxes by the keys `on`. The best upper bound of each cell is found
+    first and taken along, so that the pairs themselves are neither gathered nor shuffled.
     """
-    return (
-        bounded.filter(F.col("lower") <= within * SLACK)
-        .groupBy(*point_key)
-        .agg(
-            F.first("_lat").alias("_lat"),
-            F.first("_lon").alias("_lon"),
-            F.min("upper").alias("ceiling"),
-            F.collect_list(F.struct(*tile_key, "lower")).alias("tiles"),
-        )
-        .select(
-            *point_key,
-            "_lat",
-            "_lon",
-            F.inline_outer(F.expr(f"filter(tiles, t -> t.lower <= ceiling * {SLACK}D)")),
-        )
-        .drop("lower")
+    lower, upper = _bounds(planar)
+    pairs = held.join(boxes, list(on)).withColumn("lower", lower).where(F.col("lower") <= within * SLACK + LEAST)
+    ceiling = pairs.groupBy(*cell).agg(F.min(upper).alias("ceiling"))
+    return settled(
+        held.join(ceiling, list(cell))
+        .join(boxes, list(on))
+        .withColumn("lower", lower)
+        .where(F.col("lower") <= F.least(within, F.col("ceiling")) * SLACK + LEAST)
+        .select(*cell, *keep, *CELL_BOX)
     )
 
 
@@ -154,74 +173,89 @@ def nearest_sites(
     lat_km = KM_PER_LAT_DEG if planar else 111.19
     rows = ceil(limit_km / (lat_km * coarse))
     turn = round(360.0 / coarse)
-    reach = _reach_deg(F.col("row_0"), F.col("at_row"), limit_km, planar, coarse)
+    reach = _reach_deg(F.col("row_0"), F.col("at_row_0"), limit_km, planar, coarse)
     columns = F.least(F.ceil(reach / coarse + 1e-9), F.lit(turn // 2)).cast("int")
-    keys = [[f"row_{n}", f"col_{n}"] for n in range(len(tiles_deg))]
-    distinct = (
-        sites.groupBy("lat", "lon")
+    levels = range(len(tiles_deg))
+    keys = [[f"row_{n}", f"col_{n}"] for n in levels]
+    cells = [[f"at_{name}" for name in names] for names in keys]
+
+    def tiles(lat: Column, lon: Column, names: Sequence[Sequence[str]]) -> list[Column]:
+        return [
+            _tile(value, size).alias(name)
+            for pair, size in zip(names, tiles_deg, strict=True)
+            for value, name in zip((lat, lon), pair, strict=True)
+        ]
+
+    def path(names: Sequence[Sequence[str]], level: int) -> list[str]:
+        return [name for pair in names[: level + 1] for name in pair]
+
+    lat, lon = F.col("lat"), F.col("lon") if planar else _wrapped(F.col("lon"))
+    placeable = ~F.isnan("lat") & ~F.isnan("lon")
+    distinct = settled(
+        sites.where(placeable)
+        .groupBy("lat", "lon")
         .agg(F.min("site_id").alias("site_id"))
-        .select(
-            F.col("lat").alias("site_lat"),
-            (F.col("lon") if planar else _wrapped(F.col("lon"))).alias("site_lon"),
-            "site_id",
-            *(
-                _tile(F.col(axis) if planar or axis == "lat" else _wrapped(F.col(axis)), size).alias(name)
-                for names, size in zip(keys, tiles_deg, strict=True)
-                for axis, name in zip(("lat", "lon"), names, strict=True)
-            ),
-        )
+        .select(lat.alias("site_lat"), lon.alias("site_lon"), "site_id", *tiles(lat, lon, keys))
     )
-    # Boxes are the side bounded by the tiles of the region: they are repeated into the tiles
-    # they may matter to, and a point only looks at its own tile.
+    # Boxes are repeated into the tiles they may matter to, and a cell only looks at its own tile.
     reaching = (
         _boxes(distinct, keys[0])
         .withColumn("_shift", F.explode(F.sequence(F.lit(-rows), F.lit(rows))))
-        .withColumn("at_row", F.col("row_0") + F.col("_shift"))
+        .withColumn("at_row_0", F.col("row_0") + F.col("_shift"))
         .withColumn("_columns", columns)
         .withColumn(
             "_shift", F.explode(F.sequence(-F.col("_columns"), F.least("_columns", turn - 1 - F.col("_columns"))))
         )
-        .withColumn("at_col", F.col("col_0") + F.col("_shift"))
+        .withColumn("at_col_0", F.col("col_0") + F.col("_shift"))
         .drop("_shift", "_columns")
     )
     if not planar:
         half = turn // 2
-        reaching = reaching.withColumn("at_col", F.pmod(F.col("at_col") + half, F.lit(turn)) - half)
-    placed = points.select(
-        *point_key,
-        F.col("lat").alias("_lat"),
-        F.col("lon").alias("_lon"),
-        _tile(F.col("lat"), coarse).alias("at_row"),
-        _tile(F.col("lon") if planar else _wrapped(F.col("lon")), coarse).alias("at_col"),
+        reaching = reaching.withColumn("at_col_0", F.pmod(F.col("at_col_0") + half, F.lit(turn)) - half)
+    placed = points.where(placeable).select(
+        *point_key, lat.alias("_lat"), F.col("lon").alias("_lon"), *tiles(lat, lon, cells)
     )
-    lower, upper = _bounds(planar)
+    own = placed.select(
+        *path(cells, levels[-1]), *(F.col("_lat").alias(n) for n in CELL_BOX[:2]),
+        *((F.col("_lon") if planar else _wrapped(F.col("_lon"))).alias(n) for n in CELL_BOX[2:]),
+    )
+    finest = settled(_cells(own, path(cells, levels[-1])))
     within = (
         F.lit(limit_km * limit_km)
         if planar
         else F.pow(F.sin(F.lit(min(limit_km / (2 * EARTH_RADIUS_KM), pi / 2))), F.lit(2.0))
     )
 
-    def bounded(joined: DataFrame, tile_key: Sequence[str]) -> DataFrame:
-        return joined.select(
-            *point_key, "_lat", "_lon", *tile_key, lower.alias("lower"), upper.alias("upper")
-        )
-
-    best = _winnow(
-        bounded(placed.join(reaching, ["at_row", "at_col"]), keys[0]), point_key, keys[0], within
+    best = _winnow(_cells(finest, cells[0]), reaching, cells[0], cells[0], keys[0], planar, within)
+    for level in levels[1:]:
+        # Smaller cells among the tiles their larger one has left, then the smaller tiles of those.
+        inner, outer = path(cells, level), path(cells, level - 1)
+        beside = best.drop(*CELL_BOX).join(_boxes(distinct, path(keys, level - 1)), path(keys, level - 1))
+        best = _winnow(_cells(finest, inner), beside, outer, inner, path(keys, level - 1), planar, within)
+        best = _winnow(best, _boxes(distinct, path(keys, level)), path(keys, level - 1), inner, path(keys, level), planar, within)
+    cell, tile = path(cells, levels[-1]), path(keys, levels[-1])
+    single = distinct.select(
+        *tile, "site_lat", "site_lon", "site_id", *(F.col("site_lat").alias(n) for n in ("south", "north")),
+        *(F.col("site_lon").alias(n) for n in ("west", "east")),
+    )
+    left = _winnow(best, single, tile, cell, ["site_lat", "site_lon", "site_id"], planar, within)
+    numbered = F.row_number().over(Window.partitionBy(*cell).orderBy("site_lat", "site_lon"))
+    chunks = (
+        left.withColumn("_chunk", F.floor(numbered / CHUNK))
+        .groupBy(*cell, "_chunk")
+        .agg(F.collect_list(F.struct("site_lat", "site_lon", "site_id")).alias("_sites"))
     )
-    for level in range(1, len(keys)):
-        path = [name for names in keys[: level + 1] for name in names]
-        finer = _boxes(distinct, path)
-        parent = path[:-2]
-        best = _winnow(bounded(best.join(finer, parent), path), point_key, path, within)
-    path = [name for names in keys for name in names]
-    paired = best.join(distinct, path)
-    place = (F.col("_lat"), F.col("_lon"), F.col("site_lat"), F.col("site_lon"))
-    measure = planar_km(*place) if planar else half_chord(*place)
+
+    def measured(site: Column) -> Column:
+        place = (F.col("_lat"), F.col("_lon"), site["site_lat"], site["site_lon"])
+        measure = planar_km(*place) if planar else half_chord(*place)
+        return F.struct(measure.alias("measure"), site["site_id"].alias("site_id"))
+
     found = (
-        paired.select(*point_key, "site_id", measure.alias("measure"))
+        placed.join(chunks, cell)
+        .select(*point_key, F.array_min(F.transform("_sites", measured)).alias("best"))
         .groupBy(*point_key)
-        .agg(F.min(F.struct("measure", "site_id")).alias("best"))
+        .agg(F.min("best").alias("best"))
     )
     distance = F.col("best.measure") if planar else chord_to_km(F.col("best.measure"))
     return found.select(
