@@ -340,3 +340,18 @@ def test_points_meet_the_sites_of_their_cell_in_one_row(spark):
         chord = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
         true = float(2 * 6371.0088 * np.arcsin(np.sqrt(chord.min())))
         assert got[lat, lon] == (pytest.approx(true, abs=1e-7) if true <= 40.0 else None)
+
+
+def test_raster_nodes_meet_only_the_sites_left_to_them(spark):
+    """A dense coast: nodes of a tile are not paired with all sites of the tiles around."""
+    rng = np.random.default_rng(6)
+    sites = [(n, 45.0 + float(a) * 0.1, 3.0 + float(b) * 0.1) for n, (a, b) in enumerate(rng.random((2000, 2)))]
+    raster = nearest.coast_raster(spark.createDataFrame(sites, "segment_id long, lat double, lon double"), 15.0)
+    assert "Generate" not in raster._jdf.queryExecution().executedPlan().toString()
+    rows = raster.where("node_row % 5 = 0 AND node_col % 5 = 0").collect()
+    assert rows
+    lat, lon = np.array([s[1] for s in sites]), np.array([s[2] for s in sites])
+    for row in rows:
+        at = 42.0 + row.node_row * 0.02, -6.0 + row.node_col * 0.02
+        km = np.hypot((at[0] - lat) * 110.6, (at[1] - lon) * 111.3 * np.cos(np.radians(lat)))
+        assert row.segment_id == int(km.argmin()) and row.distance_km == pytest.approx(float(km.min()), abs=1e-9)

@@ -303,7 +303,7 @@ def nearest_nodes(nodes: DataFrame, segment_points: DataFrame, radius_km: float)
         ["node_row", "node_col"],
         limit_km=radius_km,
         planar=True,
-        tiles_deg=(0.1,),
+        tiles_deg=(0.1, 0.02),
     ).withColumnRenamed("site_id", "segment_id")
 
 
