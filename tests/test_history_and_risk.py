@@ -375,3 +375,20 @@ def test_skill_equals_the_rank_formula(spark):
     assert (none.positives, none.auc) == (0.0, 0.0)
     empty = evaluation.skill(risk.limit(0), observed).first()
     assert tuple(empty) == (0.0, 0.0, 0.0)
+
+
+def test_the_sums_of_all_slots_are_never_sorted_or_grouped(spark):
+    """The slots between two steps are made after the running sums, and years add up in the steps."""
+    rng = random.Random(8)
+    rows = [(s, y, slot, rng.randint(1, 4)) for s in range(3) for y in (1996, 1997) for slot in rng.sample(range(366), 20)]
+    rows += [(9, 1996, 0, 2), (9, 1996, 365, 3), (9, 1996, 350, 1), (9, 1997, 15, 1)]
+    counts = spark.createDataFrame(rows, "segment_id long, year int, slot int, records long")
+    for keys, sums in ((2, history.circular_window_sum(counts)), (1, history.all_years_sum(counts))):
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("explode") < plan.index("Sort ")
+        expected = {}
+        for s, y, slot, n in rows:
+            for off in range(-15, 16):
+                key = (s, y)[:keys] + ((slot + off) % 366,)
+                expected[key] = expected.get(key, 0) + n
+        assert {tuple(r)[:-1]: r.records for r in sums.collect()} == expected

@@ -119,8 +119,9 @@ def windowed(spark, folder):
 def _leave_out(spark, folder):
     counted = observed(spark, folder)
     calendar = order_days(spark, folder)
-    sums = history.circular_window_sum(history.climatology_counts(counted), slots_between(calendar))
-    return counted, history.leave_one_year_out(sums, calendar)
+    counts, slots = history.climatology_counts(counted), slots_between(calendar)
+    sums = history.circular_window_sum(counts, slots)
+    return counted, history.leave_one_year_out(sums, calendar, history.all_years_sum(counts, slots))
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.constants import (
@@ -95,39 +95,65 @@ def climatology_counts(observed: DataFrame) -> DataFrame:
 def circular_window_sum(counts: DataFrame, slots: DataFrame | None = None) -> DataFrame:
     """Moving +-15 slot sums that wrap inside the same year; optionally only of the rows of `slots`.
 
-    The counts of a segment's year meet in one row; its slots, with the ends of the year repeated at
-    the other end, get a running sum, and a window is the difference of two places of it. `slots(slot)`
-    has at most one row per slot of the year, so it is broadcast.
+    `slots(slot)` has at most one row per slot of the year, so it is broadcast.
     """
-    years = counts.groupBy("segment_id", "year").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.col("records").cast("long")))).alias("own")
-    )
-    around = F.sequence(F.lit(-WINDOW_HALF_SLOTS), F.lit(YEAR_SLOTS - 1 + WINDOW_HALF_SLOTS))
-    count = F.coalesce(F.try_element_at("own", F.pmod("place", F.lit(YEAR_SLOTS))), F.lit(0).cast("long"))
-    places = years.withColumn("place", F.explode(around)).select("segment_id", "year", "place", count.alias("n"))
-    # The rows of a year are where the grouping has put them: the windows need no further shuffle.
-    along = Window.partitionBy("segment_id", "year").orderBy("place")
-    running = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.coalesce(F.lag("running", 2 * WINDOW_HALF_SLOTS + 1).over(along), F.lit(0).cast("long"))
+    return _moving(counts, ["segment_id", "year"], slots)
+
+
+def all_years_sum(counts: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """(segment_id, slot, records): `circular_window_sum` added up over the years."""
+    return _moving(counts, ["segment_id"], slots)
+
+
+def _moving(counts: DataFrame, keys: list[str], slots: DataFrame | None) -> DataFrame:
+    """A record raises the sums of its window where that opens and lowers them where it closes.
+
+    The counts of a key meet in one row, which has at most one of each slot, and are opened into a
+    few steps each; the slots between two steps are made from the running sum last, row by row, so
+    that no task sorts or holds the sums of all slots.
+    """
+    n = F.col("records").cast("long")
+    once = counts.groupBy(*keys, "slot").agg(F.sum(n).alias("n")) if "year" not in keys else counts.withColumn("n", n)
+    met = once.where("slot IS NOT NULL").groupBy(*keys).agg(F.collect_list(F.struct("slot", "n")).alias("own"))
+
+    def step(at: Column, by: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), by.alias("by"))
+
+    def steps(own: Column) -> Column:
+        opens, closes = own["slot"] - WINDOW_HALF_SLOTS, own["slot"] + (WINDOW_HALF_SLOTS + 1)
+        return F.array(
+            step(F.greatest(opens, F.lit(0)), own["n"]),
+            F.when(closes < YEAR_SLOTS, step(closes, -own["n"])),
+            # What reaches over an end of the year opens at the other end.
+            F.when(opens < 0, step(opens + YEAR_SLOTS, own["n"])),
+            F.when(closes > YEAR_SLOTS, step(F.lit(0), own["n"])),
+            F.when(closes > YEAR_SLOTS, step(closes - YEAR_SLOTS, -own["n"])),
+        )
+
+    # The rows of a key are where the grouping has put them: the windows need no further shuffle.
+    along = Window.partitionBy(*keys).orderBy("at")
+    running = F.sum("by").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    until = F.coalesce(F.lead("at").over(along), F.lit(YEAR_SLOTS))
     moved = (
-        places.withColumn("running", running)
-        .withColumn("records", F.col("running") - before)
-        .where((F.col("place") >= WINDOW_HALF_SLOTS) & (F.col("records") > 0))
-        .withColumn("slot", F.col("place") - WINDOW_HALF_SLOTS)
+        met.select(*keys, F.inline(F.array_compact(F.flatten(F.transform("own", steps)))))
+        .select(*keys, "at", until.alias("until"), running.alias("records"))
+        .where((F.col("until") > F.col("at")) & (F.col("records") > 0))
+        .select(*keys, F.explode(F.sequence("at", F.col("until") - 1)).alias("slot"), "records")
     )
-    if slots is not None:
-        moved = moved.join(F.broadcast(slots), "slot", "left_semi")
-    return moved.select("segment_id", "year", "slot", "records")
+    return moved if slots is None else moved.join(F.broadcast(slots), "slot", "left_semi").select(*moved.columns)
 
 
-def leave_one_year_out(windowed: DataFrame, days: DataFrame) -> DataFrame:
+def leave_one_year_out(windowed: DataFrame, days: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """(segment_id, day, records): window sums of every year but the day's own.
 
     The sum over all years less the own year's row, so the work is that of the result. `days` is a
-    calendar (bounded by its span) and is broadcast; absent pairs are 0.
+    calendar (bounded by its span) and is broadcast; absent pairs are 0. `every` is the
+    `all_years_sum` of the same counts, where they are at hand.
     """
     asked = days.select("day", F.year("day").alias("year"), event_slot(F.col("day")).alias("slot"))
-    every = windowed.groupBy("segment_id", "slot").agg(F.sum("records").alias("every"))
+    if every is None:
+        every = windowed.groupBy("segment_id", "slot").agg(F.sum("records").alias("records"))
+    every = every.withColumnRenamed("records", "every")
     others = F.col("every") - F.coalesce(F.col("records"), F.lit(0))
     return (
         every.join(F.broadcast(asked), "slot")
@@ -159,12 +185,7 @@ def seasonal_baseline(observed: DataFrame, segments: DataFrame) -> DataFrame:
     Segment-slots without a record all share one value, so only the others are computed.
     """
     years = observed.agg(F.count_distinct(F.year("day")).alias("n")).scalar()
-    totals = (
-        circular_window_sum(climatology_counts(observed))
-        .groupBy("segment_id", "slot")
-        .agg(F.sum("records").alias("records"))
-        .withColumn("_years", years)
-    )
+    totals = all_years_sum(climatology_counts(observed)).withColumn("_years", years)
     busy = totals.agg(
         F.coalesce(F.sum(logit(poisson_chance(F.col("records"), F.col("_years")))), F.lit(0.0)).alias("s"),
         F.count("*").alias("n"),

@@ -13,6 +13,7 @@ from tidewrack.functions.geodesy import onshore_component
 from tidewrack.functions.scoring import log1p_scaled, logit, sigmoid
 from tidewrack.functions.timeline import event_slot, risk_source
 from tidewrack.operators.history import (
+    all_years_sum,
     circular_window_sum,
     climatology_counts,
     leave_one_year_out,
@@ -132,8 +133,9 @@ def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
 def seasonal(spine: DataFrame, observed: DataFrame, start: str, end: str) -> DataFrame:
     """`spine` (segment_id, day, ...) plus the chance from all years but the day's own."""
     calendar = spine.sparkSession.range(1).select(F.explode(days_between(start, end)).alias("day"))
-    windowed = circular_window_sum(climatology_counts(observed), slots_between(calendar))
-    return with_seasonal(spine, leave_one_year_out(windowed, calendar), observed)
+    counts, slots = climatology_counts(observed), slots_between(calendar)
+    held_out = leave_one_year_out(circular_window_sum(counts, slots), calendar, all_years_sum(counts, slots))
+    return with_seasonal(spine, held_out, observed)
 
 
 def design(scored: DataFrame, model: RiskModel) -> DataFrame:
