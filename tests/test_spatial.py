@@ -355,3 +355,18 @@ def test_raster_nodes_meet_only_the_sites_left_to_them(spark):
         at = 42.0 + row.node_row * 0.02, -6.0 + row.node_col * 0.02
         km = np.hypot((at[0] - lat) * 110.6, (at[1] - lon) * 111.3 * np.cos(np.radians(lat)))
         assert row.segment_id == int(km.argmin()) and row.distance_km == pytest.approx(float(km.min()), abs=1e-9)
+
+
+def test_blocks_hold_points_however_sparse_their_places_are(spark):
+    """Points far apart in `seq` share blocks, and points are not sorted where they are read."""
+    rows = [(1, 97 * n, 45.0 + (n % 7) * 0.01, 3.0 + n * 0.01) for n in range(400)]
+    points = spark.createDataFrame(rows, "line_id long, seq long, lat double, lon double")
+    legs = longlines.legs(points, block_points=32)
+    assert "SortAggregate" not in legs._jdf.queryExecution().executedPlan().toString()
+    got = legs.orderBy("seq").collect()
+    assert [(r.seq, r["from"] and (r["from"].lat, r["from"].lon)) for r in got] == [
+        (row[1], rows[n - 1][2:] if n else None) for n, row in enumerate(rows)
+    ]
+    blocks = [r.block for r in got]
+    assert blocks == sorted(blocks) and len(set(blocks)) <= 400 // 32 + 1
+    assert max(blocks.count(b) for b in set(blocks)) < 64

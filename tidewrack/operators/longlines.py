@@ -1,7 +1,7 @@
 """Cutting and densifying lines that are longer than a task: tables of points, in blocks.
 
 `points(line_id, seq, lat, lon)` has one row per point; `seq` orders the points of a line and need
-not be dense. A line is dealt into blocks of a bounded span of `seq`, and every step works on blocks:
+not be dense. A line is dealt into blocks of a bounded number of points, and every step works on blocks:
 leg lengths become running sums over the whole line, the point at which a piece that starts anywhere
 closes is found by a search in those sums, and the cuts are followed from block to block by doubling.
 """
@@ -32,19 +32,28 @@ def points_of(lines: DataFrame) -> DataFrame:
 def legs(points: DataFrame, block_points: int = BLOCK_POINTS) -> DataFrame:
     """`points` with their block, the point before (null for the first of a line) and the leg from it.
 
-    The point before the first of a block is the last of the block before, one row per block.
+    A span is `block_points` of `seq`, and the point before its first is the last of the span before,
+    one row per span. Spans that follow each other make one block as long as fewer than `block_points`
+    points begin it: a block has less than twice as many points, and few blocks are nearly empty.
     """
     blocked = points.select(
         F.col("line_id").cast("long").alias("line_id"), F.col("seq").cast("long").alias("seq"), "lat", "lon",
-        F.floor(F.col("seq") / block_points).alias("block"),
+        F.floor(F.col("seq") / block_points).alias("span"),
     )
-    ends = blocked.groupBy("line_id", "block").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("last"))
-    before = Window.partitionBy("line_id").orderBy("block")
-    borrowed = ends.select("line_id", "block", F.lag("last").over(before).alias("borrowed"))
-    inside = Window.partitionBy("line_id", "block").orderBy("seq")
-    placed = blocked.join(borrowed, ["line_id", "block"]).withColumn(
-        "from", F.coalesce(F.lag(F.struct("lat", "lon")).over(inside), F.col("borrowed"))
+    # Plain numbers, so that the points are hashed where they are read and not sorted there.
+    ends = blocked.groupBy("line_id", "span").agg(
+        F.max_by("lat", "seq").alias("last_lat"), F.max_by("lon", "seq").alias("last_lon"), F.count("*").alias("n")
+    )
+    before = Window.partitionBy("line_id").orderBy("span")
+    ahead = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.struct(F.col("last_lat").alias("lat"), F.col("last_lon").alias("lon"))
+    borrowed = ends.select(
+        "line_id", "span", F.lag(last).over(before).alias("borrowed"), F.floor(ahead / block_points).alias("block")
     )
+    inside = Window.partitionBy("line_id", "span").orderBy("seq")
+    placed = blocked.join(borrowed, ["line_id", "span"]).withColumn(
+        "from", F.coalesce(F.lag(F.struct("lat", "lon")).over(inside), F.col("borrowed"))
+    ).drop("span")
     km = F.when(F.col("from").isNull(), 0.0).otherwise(haversine_km(F.col("from.lat"), F.col("from.lon"), F.col("lat"), F.col("lon")))
     return placed.drop("borrowed").withColumn("km", km)
 
