@@ -370,3 +370,10 @@ def test_blocks_hold_points_however_sparse_their_places_are(spark):
     blocks = [r.block for r in got]
     assert blocks == sorted(blocks) and len(set(blocks)) <= 400 // 32 + 1
     assert max(blocks.count(b) for b in set(blocks)) < 64
+
+
+def test_lines_are_made_by_many_tasks(spark, small):
+    from tidewrack.catalog import inputs
+
+    # The table is one small file: without dealing it out, one task made and walked all lines.
+    assert inputs.lines(spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

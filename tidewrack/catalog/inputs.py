@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.operators.merging import keep_newest, merge_by_precedence
+from tidewrack.session import spread
 
 LINE_POINTS = 40
 
@@ -69,8 +70,11 @@ def segment_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One open line of LINE_POINTS points per customer: (line_id, points)."""
-    return table(spark, folder, "customer").select(
+    """One open line of LINE_POINTS points per customer: (line_id, points).
+
+    A customer is a few bytes, its line is not: they are dealt out before the lines are made.
+    """
+    return spread(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(
         F.col("c_custkey").alias("line_id"),
         F.expr(
             f"transform(sequence(0, {LINE_POINTS - 1}), k -> named_struct("
