@@ -392,3 +392,14 @@ def test_the_sums_of_all_slots_are_never_sorted_or_grouped(spark):
                 key = (s, y)[:keys] + ((slot + off) % 366,)
                 expected[key] = expected.get(key, 0) + n
         assert {tuple(r)[:-1]: r.records for r in sums.collect()} == expected
+
+
+def test_drift_is_dealt_to_tasks_of_bounded_rows(spark, small, monkeypatch):
+    from tidewrack.catalog import inputs
+
+    monkeypatch.setattr(inputs, "DRIFT_ROWS", 100, raising=False)
+    daily = inputs.drift_daily(spark, small)
+    assert daily.rdd.getNumPartitions() >= inputs.table(spark, small, "lineitem").count() / 100
+    # The sums of a segment are made where its rows are.
+    plan = sea.drift_recent(daily)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

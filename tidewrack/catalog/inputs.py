@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,6 +174,8 @@ def condition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DRIFT_KEYS = ("release_day", "day", "coastal_segment_id")
+#: Rows of drift that a task sorts, about.
+DRIFT_ROWS = 250_000
 
 
 def drift_versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,9 +190,11 @@ def drift_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drift_daily(spark: SparkSession, folder: str) -> DataFrame:
-    return keep_newest(drift_versions(spark, folder), DRIFT_KEYS).select(
-        *DRIFT_KEYS, "drift_index"
-    )
+    """Rows are dealt out by segment first, to tasks whose number follows the rows (counted from the
+    footers): no task sorts a whole split, and sums per segment and day need no further shuffle."""
+    rows = table(spark, folder, "lineitem").count()
+    dealt = spread(drift_versions(spark, folder), "coastal_segment_id", least=ceil(rows / DRIFT_ROWS))
+    return keep_newest(dealt, DRIFT_KEYS).select(*DRIFT_KEYS, "drift_index")
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:

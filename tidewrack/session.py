@@ -83,13 +83,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     """`df` dealt out over the cluster by `keys`, for few bytes that fan out into much work.
 
-    The number of partitions is given, as adaptive execution would put small ones together again.
+    The number of partitions, at least `least`, is given, as adaptive execution would put small ones
+    together again.
     """
     spark = df.sparkSession
-    return df.repartition(max(range_partitions(spark), spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(max(range_partitions(spark), spark.sparkContext.defaultParallelism, least), *keys)
 
 
 def range_partitions(spark: SparkSession) -> int:
