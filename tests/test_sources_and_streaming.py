@@ -387,3 +387,17 @@ def test_stream_result_equals_batch_on_closed_hours(spark, small):
         "42e0 + (event_id * 7919 % 9500) / 1000e0 AS lat", "0D AS lon", "cast(null AS string) AS name")
     batch = {(r.mmsi, r.recorded_at): round(r.lat, 6) for r in live.hourly_positions(events).collect()}
     assert stream and all(batch[key] == lat for key, lat in stream.items())
+
+
+def test_the_collection_is_written_without_a_sort(spark, small, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tidewrack.catalog import landed
+
+    def refused(*_):
+        raise AssertionError("the task that writes the file holds and sorts all of it")
+
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", refused)
+    assert landed.split_collection(spark, small).count() == spark.sql(
+        f"SELECT count(*) FROM parquet.`{small}/customer.parquet` WHERE c_custkey % 3 <> 2"
+    ).first()[0]

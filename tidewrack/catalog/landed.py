@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewrack.catalog import inputs
 from tidewrack.catalog.expressions import SPARK_EVENT_TEXT, r6
 from tidewrack.catalog.registry import query
-from tidewrack.session import new_folder
+from tidewrack.session import new_folder, settled
 from tidewrack.sources import coastline, fishing, positions, sightings, weather
 
 
@@ -196,13 +199,16 @@ def split_collection(spark, folder):
     kind = "IF(line_id % 3 = 2, 'MultiPoint', 'LineString')"
     feature = f"""concat('{{"type":"Feature","properties":{{"name":"{{' , line_id, '\\\\"]"}},"geometry":{{"type":"', {kind},
         '","coordinates":', {coordinates}, '}}}},')"""
-    lines = inputs.lines(spark, folder).select(F.col("line_id").alias("place"), F.expr(feature).alias("value"))
-    ends = spark.createDataFrame(
-        [(-1, '{"type":"FeatureCollection","features":['), (2**62, '{"type":"Feature","geometry":null}]}')],
-        "place long, value string",
-    )
+
+    def collection(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[']})
+        yield from batches
+        yield pa.RecordBatch.from_pydict({"value": ['{"type":"Feature","geometry":null}]}']})
+
+    # Texts are made by many tasks; the one that writes the file passes them on, batch by batch.
+    texts = settled(inputs.lines(spark, folder).select(F.expr(feature).alias("value")))
     path = f"{new_folder(spark, 'collection')}/all"
-    lines.unionByName(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    texts.coalesce(1).mapInArrow(collection, "value string").write.text(path)
     rows = coastline.read_coastline(spark, path)
     return rows.select(
         F.size("points").alias("points"),
