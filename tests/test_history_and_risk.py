@@ -403,3 +403,28 @@ def test_drift_is_dealt_to_tasks_of_bounded_rows(spark, small, monkeypatch):
     # The sums of a segment are made where its rows are.
     plan = sea.drift_recent(daily)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_risk_keeps_of_the_history_what_a_span_needs(spark):
+    rows = observed_rows()
+    observed = spark.createDataFrame(rows, OBSERVED)
+    first, last = date(2021, 1, 5), date(2021, 1, 9)
+    start, end = F.lit(first), F.lit(last)
+    few = history.gathered(observed, start, end)
+    assert few.count() < len(rows) / 4
+    assert few.groupBy("segment_id").agg(F.count_if(F.col("day") <= date(2021, 1, 1)).alias("n")).agg(F.max("n")).first()[0] == 1
+    days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+    spine = spark.createDataFrame([(s, d) for s in range(5) for d in days], "segment_id int, day date")
+    value = lambda of: {(r.segment_id, r.day): r.persistence for r in history.persistence(of, spine).collect()}
+    whole, short = value(observed), value(few)
+    assert whole.keys() == short.keys()
+    for key, expected in whole.items():
+        assert (expected or 0.0) == pytest.approx(short[key] or 0.0, rel=1e-12)
+
+    # The windows of days around the turn of the year reach into both ends of it.
+    slots = slots_between(spark.createDataFrame([(d,) for d in days], "day date"))
+    near = history.in_windows_of(observed, slots)
+    assert near.count() < len(rows) / 4
+    sums = lambda of: {tuple(r) for r in history.circular_window_sum(
+        history.climatology_counts(of), slots).select("segment_id", "year", "slot", "records").collect()}
+    assert sums(near) == sums(observed)

@@ -61,6 +61,20 @@ def persistence(observed: DataFrame, spine: DataFrame) -> DataFrame:
     )
 
 
+def gathered(observed: DataFrame, start: Column, end: Column) -> DataFrame:
+    """`observed` as far as `persistence` of the days in [start, end] needs it: the records before all
+    of their cutoffs in one row per segment, with the weight they have there; none after the last cutoff."""
+    first = F.date_sub(start, ISSUE_LAG_DAYS + 1)
+    day = F.greatest(F.col("day"), first)
+    weight = F.pow(F.lit(2.0), F.datediff("day", day) / HALF_LIFE_DAYS)
+    return (
+        observed.where(F.col("day") < F.date_sub(end, ISSUE_LAG_DAYS))
+        .select("segment_id", day.alias("day"), (F.col("records") * weight).alias("records"))
+        .groupBy("segment_id", "day")
+        .agg(F.sum("records").alias("records"))
+    )
+
+
 def record_mass(observed: DataFrame) -> DataFrame:
     """(segment_id, mass): records weighted relative to the epoch, so that masses of spans add up."""
     age = F.datediff("day", F.lit(DECAY_EPOCH).cast("date"))
@@ -92,6 +106,15 @@ def climatology_counts(observed: DataFrame) -> DataFrame:
     ).agg(F.sum("records").alias("records"))
 
 
+def in_windows_of(observed: DataFrame, slots: DataFrame) -> DataFrame:
+    """`observed` as far as the window sums of `slots(slot)` need it; both slot tables are bounded by the year."""
+    around = F.sequence(F.col("slot") - WINDOW_HALF_SLOTS, F.col("slot") + WINDOW_HALF_SLOTS)
+    near = slots.select(F.explode(around).alias("near")).select(
+        F.pmod("near", F.lit(YEAR_SLOTS)).cast("int").alias("near")
+    ).distinct()
+    return observed.join(F.broadcast(near), event_slot(F.col("day")) == F.col("near"), "left_semi")
+
+
 def circular_window_sum(counts: DataFrame, slots: DataFrame | None = None) -> DataFrame:
     """Moving +-15 slot sums that wrap inside the same year; optionally only of the rows of `slots`.
 

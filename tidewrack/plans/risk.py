@@ -16,6 +16,8 @@ from tidewrack.operators.history import (
     all_years_sum,
     circular_window_sum,
     climatology_counts,
+    gathered,
+    in_windows_of,
     leave_one_year_out,
     persistence,
     with_seasonal,
@@ -113,7 +115,7 @@ def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
     )
     east, north = (F.coalesce(c, F.lit(0.0)) for c in ("east_m", "north_m"))
     return (
-        persistence(inputs.observed, spine)
+        persistence(gathered(inputs.observed, first, last), spine)
         .join(drifted, ["segment_id", "day"], "left")
         .join(means, ["center_lat", "center_lon", "day"], "left")
         .select(
@@ -133,7 +135,8 @@ def signals(inputs: RiskInputs, start: str, end: str) -> DataFrame:
 def seasonal(spine: DataFrame, observed: DataFrame, start: str, end: str) -> DataFrame:
     """`spine` (segment_id, day, ...) plus the chance from all years but the day's own."""
     calendar = spine.sparkSession.range(1).select(F.explode(days_between(start, end)).alias("day"))
-    counts, slots = climatology_counts(observed), slots_between(calendar)
+    slots = slots_between(calendar)
+    counts = climatology_counts(in_windows_of(observed, slots))
     held_out = leave_one_year_out(circular_window_sum(counts, slots), calendar, all_years_sum(counts, slots))
     return with_seasonal(spine, held_out, observed)
 
