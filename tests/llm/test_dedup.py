@@ -70,6 +70,23 @@ def test_lines_equal_brute_force(spark, documents):
         assert by_id[d] == text, d
 
 
+def test_lines_of_a_group_that_are_not_alike_are_hardly_tried(spark, documents, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(55)]
+    # a passage behind long beginnings: no two are alike, all are close to it
+    rows = [(i, " ".join([f"x{rng.randrange(3000)}" for _ in range(rng.randint(6, 14))] + varied(rng, passage, 2))) for i in range(600)]
+    tried, verified = [], lines._verified
+
+    def counted(docs, candidates, *rest):
+        tried.append(candidates.count())
+        return verified(docs, candidates, *rest)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(documents(rows)).collect()}
+    assert {(d, got[d]) for d, _ in rows} == {(d, text) for (d, _), text in expected_lines(rows).items()}
+    assert sum(tried) < len(rows) / 4, tried
+
+
 def test_lines_keep_columns_repeated_rows_and_n_chars(spark):
     rows = [(1, "a b c d e\nf", 11, "x"), (1, "a b c d e\nf", 11, "x"), (2, "e d c b a\ng", 11, None)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, key string")

@@ -16,18 +16,25 @@ from tidewrack.llm.common import broadcast_if_small, settled
 BUCKETS = 1 << 16
 BLANK = r"[ \t-\r]+"
 HASH_BITS = 57
-#: Lines of so many tokens carry a second signature.
-LONG = 80
+#: The first tokens of a line that look for its group of near copies.
+LEADING = 6
+#: Lengths of a class, in which a token has an earliest and a most copied line, differ by this factor.
+CLASS = 1.06
 
 
 def _split(text: Column) -> Column:
-    return F.split(text, BLANK)
+    """The words, with empty ones among them. Few texts have white space other than spaces, and only they need a regular expression."""
+    odd = F.lit(False)
+    for c in "\t\n\x0b\f\r":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.split(text, BLANK)).otherwise(F.split(text, " "))
 
 
 def rarity_classes(docs: DataFrame) -> Column:
     """How often the tokens of each hash bucket occur in all texts: an array of classes from 0 (rare)
     to 63."""
-    tokens = docs.select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("t"))
+    tokens = lines.select(F.explode(_split(F.col("t"))).alias("w")).where("w <> ''")
     counted = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     classes = ["0"] * BUCKETS
     for row in counted.collect():  # at most BUCKETS rows
@@ -54,15 +61,15 @@ def _parity(codes: Column) -> Column:
 
 
 def _second_parity(codes: Column) -> Column:
-    """The same of half of the tokens, for long lines; null for short ones."""
-    return F.when(F.size(codes) >= LONG, _parity(F.filter(codes, lambda c: c.bitwiseAND(F.lit(64)) != 0)))
+    """The same of half of the tokens."""
+    return _parity(F.filter(codes, lambda c: c.bitwiseAND(F.lit(64)) != 0))
 
 
 def line_table(docs: DataFrame, classes: Column, threshold: float) -> DataFrame:
-    """(doc, text_hash, line, key, n, parity, prefix) of every line that has tokens.
+    """(doc, text_hash, line, key, n, parity, second, prefix) of every line that has tokens.
 
-    `doc` is the id, the largest long if null. `key` tells the set of tokens, `prefix` holds the
-    hashes of its first tokens in the common order: sets as similar as the threshold share one.
+    `doc` is the id, the largest long if null. `key` tells the set of tokens, `prefix` holds
+    its first tokens in the common order: sets as similar as the threshold share one.
     """
     n = F.size("codes")
     prefix = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
@@ -78,7 +85,7 @@ def line_table(docs: DataFrame, classes: Column, threshold: float) -> DataFrame:
         .select(
             "doc", "text_hash", "line", F.xxhash64("codes").alias("key"), n.alias("n"), _parity(F.col("codes")).alias("parity"),
             _second_parity(F.col("codes")).alias("second"),
-            F.transform(F.slice("codes", F.lit(1), prefix), lambda c: F.hash(c)).alias("prefix"),
+            F.slice("codes", F.lit(1), prefix).alias("prefix"),
         )
     )
 
@@ -87,40 +94,53 @@ def _place(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}doc"), F.col(f"{prefix}line"))
 
 
-def _enough(shared: Column, n: Column, m: Column, threshold: float) -> Column:
-    """Whether sets of n and m tokens could have the similarity if they share this many."""
-    return shared / (n + m - shared) >= F.lit(threshold - 1e-12)
-
-
 LINE = ("doc", "line", "n", "parity")
-TOKEN = (*LINE, "second", "i")
+#: A token of a prefix as it is shuffled, in few columns: `where` is the line and a mark, `at` is n and
+#: the token's place i, `first` and `second` are the parities of the two halves of the tokens.
+TOKEN = ("doc", "where", "at", "first", "second")
+LOW = 0xFFFFFFFF
+
+
+def _tokens(rows: DataFrame, mark: Column, most: int | None = None) -> DataFrame:
+    """(token, TOKEN, more) of the first tokens of each line, all of the prefix by default; `mark` is a boolean."""
+    prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
+    exploded = rows.select(
+        "doc", (F.col("line").cast("long") * 2 + mark.cast("long")).alias("where"), F.col("n").cast("long").alias("n"),
+        F.col("parity").bitwiseXOR(F.col("second")).alias("first"), "second", *(["c"] if most else []), F.posexplode(prefix).alias("i", "code"),
+    )
+    at = F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long") + 1).alias("at")
+    return exploded.select(
+        F.hash("code").alias("token"), "doc", "where", at, "first", "second", *(["c"] if most else [])
+    ).repartition("token")
 
 
-def _candidates(pairs: DataFrame, threshold: float, asks: Column, counted: bool) -> DataFrame:
+def _candidates(pairs: DataFrame, threshold: float, asks: Column, every: bool) -> DataFrame:
     """Pairs of a line and an earlier one (b_...) with the same token in their prefixes, once each,
-    that pass the length and positional filters and could differ as little as their signatures do.
+    that could differ as little as their signatures and the places of the token do.
 
-    With `counted`, `pairs` holds every token that the prefixes share. Of the line whose prefix ends
-    at the rarer token all matches of the prefix are among them, so the overlap is at most their
-    number and what follows that prefix.
+    With `every`, `pairs` holds every token that the prefixes share, and a pair has to pass at the first:
+    what stands before it is in one of the lines only. Otherwise it may be any of them.
     """
-    n, m, i, j = (F.col(c) for c in ("n", "b_n", "i", "b_i"))
-    every, half = F.col("parity").bitwiseXOR(F.col("b_parity")), F.col("second").bitwiseXOR(F.col("b_second"))
-    # Both halves of long lines, if both have them.
-    apart = F.coalesce(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)), F.bit_count(every))
-    # `asks` is part of one condition with columns of both sides: it is not pushed below the exchange
-    # of one of them, so that both sides stay the same exchange.
+    n, m = F.shiftright("at", 32), F.shiftright("b_at", 32)
+    i, j = F.col("at").bitwiseAND(F.lit(LOW)), F.col("b_at").bitwiseAND(F.lit(LOW))
+    line, b_line = F.shiftright("where", 1), F.shiftright("b_where", 1)
+    # Sets of n and m tokens are similar if they differ by at most this share of n + m.
+    most = (n + m) * F.lit((1 - threshold) / (1 + threshold) + 1e-12)
+    apart = F.bit_count(F.col("first").bitwiseXOR(F.col("b_first"))) + F.bit_count(F.col("second").bitwiseXOR(F.col("b_second")))
+    before = i + j - 2 if every else F.abs(i - j)
+    # What rules out most comes first. No part has columns of one side only: it would be pushed below
+    # the exchange of that side, and both sides have to stay the same exchange.
     possible = pairs.where(
-        F.when(asks, _place("b_") < _place()).otherwise(F.col("b_i") < 0)
-        & (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold - 1e-12))
-        & _enough((n + m - apart) / 2, n, m, threshold)
-        & _enough(F.least(i, j) + F.least(n - i, m - j), n, m, threshold)
+        (apart <= most)
+        & (before + F.abs((n - i) - (m - j)) <= most)
+        & ((F.col("b_doc") < F.col("doc")) | ((F.col("b_doc") == F.col("doc")) & (b_line < line)))
+        & asks
     )
-    once = possible.groupBy(*LINE, *(f"b_{c}" for c in LINE)).agg(F.count("*").alias("shared"))
-    if counted:
-        after = F.greatest(F.ceil(n * F.lit(threshold) - F.lit(1e-9)), F.ceil(m * F.lit(threshold) - F.lit(1e-9))) - 1
-        once = once.where(_enough(F.col("shared") + after, n, m, threshold))
-    return once.drop("shared")
+    return possible.select(
+        "doc", line.cast("int").alias("line"), n.cast("int").alias("n"), F.col("first").bitwiseXOR(F.col("second")).alias("parity"),
+        "b_doc", b_line.cast("int").alias("b_line"), m.cast("int").alias("b_n"),
+        F.col("b_first").bitwiseXOR(F.col("b_second")).alias("b_parity"),
+    ).distinct()
 
 
 def _words_at(docs: DataFrame, needed: DataFrame, classes: Column) -> DataFrame:
@@ -169,15 +189,11 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     stands = table.join(broadcast_if_small(copies, 48), "key", "left").where(~F.coalesce(later, F.lit(False)))
     stands = stands.withColumn("c", F.coalesce("c", F.lit(1)))
 
-    def by_token(rows: DataFrame, *more: str) -> DataFrame:
-        exploded = rows.select(*LINE, "second", *more, F.posexplode("prefix").alias("i", "token"))
-        return exploded.withColumn("i", F.col("i") + 1).repartition("token")
-
-    # First against the earliest and the most copied line of each token: that settles most of a group
-    # of near copies without pairing its members.
-    tokens = by_token(stands, "c")
+    # First against the earliest and the most copied line that have a leading token and a like length:
+    # that settles most of a group of near copies without pairing its members.
+    tokens = _tokens(stands, F.lit(False), LEADING)
     heads = (
-        tokens.groupBy("token")
+        tokens.groupBy("token", F.floor(F.log(F.shiftright("at", 32)) / math.log(CLASS)).alias("length"))
         .agg(
             F.count("*").alias("lines"), F.min(F.struct(*TOKEN)).alias("earliest"),
             F.max(F.struct("c", F.struct(*TOKEN).alias("t")))["t"].alias("copied"),
@@ -186,12 +202,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         .select("token", F.explode(F.array_distinct(F.array("earliest", "copied"))).alias("b"))
         .select("token", *(F.col(f"b.{x}").alias(f"b_{x}") for x in TOKEN))
     )
-    once = _verified(docs, _candidates(tokens.join(heads, "token"), threshold, F.col("c") >= 1, False), classes, threshold)
+    once = _verified(docs, _candidates(tokens.join(heads, "token"), threshold, (F.col("c") > 0) | (F.col("b_where") < 0), False), classes, threshold)
     # Then what is left against all earlier lines of its tokens.
     settled_once = once.withColumn("done", F.lit(True))
-    marked = by_token(stands.join(broadcast_if_small(settled_once, 32), list(LINE), "left"), "done")
-    earlier = marked.select("token", *(F.col(x).alias(f"b_{x}") for x in (*TOKEN, "done")))
-    asks = F.col("done").isNull() & (F.col("b_done").isNotNull() | (F.col("b_line") >= 0))
+    marked = _tokens(stands.join(broadcast_if_small(settled_once, 32), list(LINE), "left"), F.col("done").isNotNull())
+    earlier = marked.select("token", *(F.col(x).alias(f"b_{x}") for x in TOKEN))
+    asks = (F.col("where").bitwiseAND(F.lit(1)) == 0) | (F.col("b_where") < 0)
     again = _verified(docs, _candidates(marked.join(earlier, "token"), threshold, asks, True), classes, threshold)
     similar = once.unionByName(again).distinct().withColumn("similar", F.lit(True))
     found = stands.select("key", *LINE).join(broadcast_if_small(settled(similar), 32), list(LINE)).select("key", "similar").distinct()
