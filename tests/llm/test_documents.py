@@ -325,6 +325,27 @@ def test_gradients_lower_the_loss_and_both_sides_matter():
     assert network.log_probabilities(changed, middle).mean() < network.log_probabilities(stream, middle).mean()
 
 
+def test_chances_hold_for_logits_far_from_zero():
+    network = masked.Network(masked.Settings(width=4))
+    network.p["third"] += 300
+    network.p["first"][0, 1:] -= 200
+    stream = np.array([masked.PAD] * 2 + [0, 1, 33] + [masked.PAD] * 2, np.int32)
+    got = network.log_probabilities(stream, np.arange(2, 5))
+    assert np.isfinite(got).all() and got[0] > -9 and got[1] < -60
+    near = masked.Network(masked.Settings(width=4))
+    assert got[0] == pytest.approx(near.log_probabilities(stream, np.arange(2, 3))[0] + np.log(32), abs=0.5)
+
+
+def test_words_outside_the_vocabulary_are_looked_up_once():
+    codes = masked.Codes([b"a"])
+    first = codes.of([b"a", b"rare", b"rare"])
+    assert first[1] == first[2] >= masked.CODES - masked.SHARED
+    assert b"rare" in codes and codes.of([b"rare"])[0] == first[1]
+    codes.kept = len(codes)
+    codes.of([b"other"])
+    assert b"other" not in codes
+
+
 def test_scores_per_document(documents):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(WORDS[:40]) for _ in range(50))) for i in range(200)]

@@ -22,6 +22,8 @@ CODES = BASE**3
 #: The last codes are shared, by hash, by the words outside the vocabulary.
 SHARED = 1024
 PAD = CODES
+#: So many words outside the vocabulary are looked up once by each task; the others again.
+KEPT = 100_000
 BLOCK = 8192
 FAN_IN = 64
 
@@ -87,9 +89,13 @@ class Codes(dict):
 
     def __init__(self, words: list[bytes]) -> None:
         super().__init__((w, i) for i, w in enumerate(words))
+        self.kept = len(words) + KEPT
 
     def __missing__(self, word: bytes) -> int:
-        return CODES - SHARED + zlib.crc32(word) % SHARED
+        code = CODES - SHARED + zlib.crc32(word) % SHARED
+        if len(self) < self.kept:
+            self[word] = code
+        return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
@@ -99,11 +105,17 @@ class Codes(dict):
 
 
 def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
+    """The distinct keys, all below 2^16, and the sums of their rows."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(rows[order], starts)
+    return keys[starts], np.add.reduceat(np.take(rows, order, axis=0), starts)
+
+
+#: Adds up the chances of each of the three digits.
+DIGITS = np.kron(np.eye(3, dtype=np.float32), np.ones((BASE, 1), np.float32))
+#: Exponentials of logits within this of zero neither overflow nor vanish.
+SAFE = 60.0
 
 
 class Network:
@@ -144,38 +156,40 @@ class Network:
             at += v.size
 
     def forward(self, stream: np.ndarray, at: np.ndarray):
-        """Probabilities of the digits at positions `at` of a stream padded by `reach` on both ends."""
+        """Exponentials of the digits' logits at positions `at` of a stream padded by `reach` on both
+        ends, and their sums over each digit: shares of them are the probabilities."""
         p, y = self.p, stream[at]
         around = stream[at[:, None] + self.offsets]
-        seen = p["embedding"][around]
+        seen = np.take(p["embedding"], around, axis=0)
         h = np.tanh(np.einsum("nod,od->nd", seen, p["place"]) + p["bias"])
         digits = np.stack([y % BASE, y // BASE % BASE, y // (BASE * BASE)], axis=1)
         upper = digits[:, 0] * BASE + digits[:, 1]
         logits = (h @ p["out"]).reshape(len(at), 3, BASE)
         logits[:, 0] += p["first"][0]
-        logits[:, 1] += p["second"][digits[:, 0]]
-        logits[:, 2] += p["third"][upper]
-        logits -= logits.max(axis=2, keepdims=True)
+        logits[:, 1] += np.take(p["second"], digits[:, 0], axis=0)
+        logits[:, 2] += np.take(p["third"], upper, axis=0)
+        if logits.size and max(logits.max(), -logits.min()) > SAFE:
+            logits -= logits.max(axis=2, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        return logits, digits, upper, around, seen, h
+        return logits, logits.reshape(len(at), -1) @ DIGITS, digits, upper, around, seen, h
 
     def log_probabilities(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        chances, digits, *_ = self.forward(stream, at)
-        picked = np.take_along_axis(chances, digits[:, :, None], axis=2)[:, :, 0]
+        chances, sums, digits, *_ = self.forward(stream, at)
+        picked = np.take_along_axis(chances, digits[:, :, None], axis=2)[:, :, 0] / sums
         return np.log(np.maximum(picked, 1e-30)).sum(axis=1, dtype=np.float64)
 
     def _step(self, name: str, rows: np.ndarray | slice, g: np.ndarray) -> None:
         squares = self.squares[name]
-        squares[rows] += (g * g).mean(axis=1, keepdims=True)
-        self.p[name][rows] -= self.s.rate * g / np.sqrt(squares[rows])
+        grown = squares[rows] + (np.einsum("ij,ij->i", g, g) / g.shape[1])[:, None]
+        squares[rows] = grown
+        self.p[name][rows] -= g * (self.s.rate / np.sqrt(grown))
 
     def learn(self, stream: np.ndarray, at: np.ndarray) -> None:
         """One step on these positions: row-wise AdaGrad."""
         p, every = self.p, slice(None)
-        g, digits, upper, around, seen, h = self.forward(stream, at)
-        np.put_along_axis(g, digits[:, :, None], np.take_along_axis(g, digits[:, :, None], 2) - 1, axis=2)
-        g /= len(at)
+        g, sums, digits, upper, around, seen, h = self.forward(stream, at)
+        g *= (1 / (sums * len(at)))[:, :, None]
+        g.ravel()[np.arange(0, g.size, BASE) + digits.ravel()] -= 1 / len(at)
         flat = g.reshape(len(at), -1)
         dx = (flat @ p["out"].T) * (1 - h * h)
         back = (dx[:, None, :] * p["place"]).reshape(-1, self.s.width)
