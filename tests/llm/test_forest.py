@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewrack.llm import forest
+from tidewrack.llm import common, components, forest
 
 SCHEMA = "vec_id long, embedding array<float>, node string, key int"
 ODD = [
@@ -100,3 +100,33 @@ def test_a_pair_that_shares_leaves_counts_once():
     assert links.tolist() == [0, 0, 0] and label.tolist() == [0, 0, 2]
     links, _ = forest.compare(x, copies, none, np.array([0, 1, 0]), False, -1.0)
     assert links.tolist() == [5, 3, 5]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that are written."""
+    seen = []
+    for module in (forest, components):
+        monkeypatch.setattr(module, "settled", lambda df: (seen.append(plan(df)), common.settled(df))[1])
+    return seen
+
+
+def test_tables_that_grow_are_broadcast_only_if_counted_small(spark, plans, monkeypatch):
+    """Spark takes the 16 copies of a row that a salted join makes for one, and files for what they hold."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)  # no count is small enough
+    rows = [*enumerate(scattered(np.random.default_rng(9), 300, 6).tolist()), *ODD]
+    done = forest.near_vectors(frame(spark, rows), trees=12, spill=2.0, leaf_rows=40, block_rows=64)
+    assert in_order(got(done)) == in_order(plain(rows))
+    assert len(plans) > 10 and not [p for p in (*plans, plan(done)) if "Broadcast" in p]
+
+
+def test_a_job_broadcasts_the_leaves_of_one_turn(spark, plans):
+    base = np.random.default_rng(10).normal(size=(3000, 16))
+    found = forest.near_vectors(frame(spark, list(enumerate(base.tolist()))), trees=1, leaf_rows=8, sample_rows=300)
+    assert found.count() == 3000
+    assert sum("cuts" in p for p in plans) > 2  # it took several turns
+    assert max(p.count("BroadcastExchange") for p in plans) == 1

@@ -16,12 +16,21 @@ from tidewrack.session import settled
 BROADCAST_BYTES = 48 << 20
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df`, never broadcast by the joins it is in.
+
+    Spark takes a written table for as large as its files and a generator's rows for as many as it
+    reads, so it broadcasts tables by itself that are many times what the driver can hold.
+    """
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else unchanged.
+    """`df` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else `shuffled`.
 
     `df` should be a settled table, so that counting it reads metadata only.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else shuffled(df)
 
 
 def vectors(embeddings: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -88,5 +97,6 @@ def whole_groups(
 
 
 __all__ = [
-    "BROADCAST_BYTES", "broadcast_if_small", "ceil_div", "deal", "settled", "vectors", "whole_groups", "worker_kept",
+    "BROADCAST_BYTES", "broadcast_if_small", "ceil_div", "deal", "settled", "shuffled", "vectors", "whole_groups",
+    "worker_kept",
 ]

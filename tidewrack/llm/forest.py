@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import broadcast_if_small, settled
+from tidewrack.llm.common import broadcast_if_small, settled, shuffled
 from tidewrack.llm.components import component_labels
 
 #: Splits in a row that one pass over the rows makes; a leaf's code grows by so many bits a pass.
@@ -66,7 +66,7 @@ def salted_join(rows: DataFrame, unique: DataFrame, key: str, spread: str) -> Da
     the column `spread` over SALTS partitions."""
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+    return rows.withColumn("_salt", salt).join(shuffled(copies), [key, "_salt"], "left").drop("_salt")
 
 
 # -- trees ------------------------------------------------------------------------------------------
@@ -163,7 +163,7 @@ def _leaves(
         open_leaves = counts.where((F.col("n") > leaf_rows) & helped & ~F.lit(last)).select("leaf", "n")
         few = broadcast_if_small(settled(open_leaves), 32)
         to_end = F.shiftleft("leaf", DEPTH * (PASSES - turn)).alias("leaf")
-        done.append(rows.join(few, "leaf", "left_anti").select("node", to_end))
+        done.append(settled(rows.join(few, "leaf", "left_anti").select("node", to_end)))
         if few.isEmpty():
             break
 
@@ -178,7 +178,7 @@ def _leaves(
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
-    return settled(placed)
+    return placed
 
 
 # -- inside a leaf -----------------------------------------------------------------------------------
@@ -237,7 +237,7 @@ def _found(placed: DataFrame, points: DataFrame, threshold: float, block_rows: i
     own = placed.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     rows = (
-        points.join(own, "node")
+        points.join(shuffled(own), "node")
         .withColumn("leaf", F.explode("leaves"))
         .withColumn("earlier", F.filter("leaves", lambda x: x < F.col("leaf")))
         .join(broadcast_if_small(many, 32), "leaf", "left")
@@ -309,8 +309,8 @@ def near_vectors(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = component_labels(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # Points without links are labelled by themselves; their least id is their own.
-    own = points.select("node", "key", "copies", "least").join(links, "node", "left").join(labels, "node", "left")
-    own = settled(own.withColumn("label", F.coalesce("label", "node")))
+    own = points.select("node", "key", "copies", "least").join(shuffled(links), "node", "left")
+    own = settled(own.join(shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node")))
     least = own.groupBy("label").agg(F.min("least").alias("component_id"))
     known = settled(
         salted_join(own, least, "label", "node").select(
