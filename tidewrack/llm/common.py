@@ -25,12 +25,14 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """`df` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else `shuffled`.
 
-    `df` should be a settled table, so that counting it reads metadata only.
+    `df` should be a settled table, so that counting it reads metadata only; or else `rows` says how
+    many rows it has at most.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else shuffled(df)
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else shuffled(df)
 
 
 def vectors(embeddings: DataFrame, id_column: str, vector_column: str) -> DataFrame:
